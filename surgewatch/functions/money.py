@@ -14,14 +14,15 @@ MONEY = "decimal(18,2)"
 WIDE_MONEY = "decimal(38,2)"
 
 
-def as_money(col: Column | str) -> Column:
+def as_money(col: Column | str, scale: int = 2) -> Column:
+    """``decimal(18, scale)``; exact for amounts that have at most ``scale`` decimals."""
     col = F.col(col) if isinstance(col, str) else col
-    return col.cast(MONEY)
+    return col.cast(MONEY if scale == 2 else f"decimal(18,{scale})")
 
 
-def money_sum(col: Column | str) -> Column:
+def money_sum(col: Column | str, scale: int = 2) -> Column:
     """Exact decimal sum of an amount column (result stays decimal)."""
-    return F.sum(as_money(col))
+    return F.sum(as_money(col, scale))
 
 
 def resum(col: Column | str) -> Column:

@@ -65,15 +65,15 @@ def grouped_count(df: DataFrame, keys: Sequence[str], keep: Sequence[str] | None
 
 
 def two_sums(df: DataFrame, key: str, first: str, second: str, names: tuple[str, str],
-             key_name: str | None = None) -> DataFrame:
+             key_name: str | None = None, scales: tuple[int, int] = (2, 2)) -> DataFrame:
     """Two exact sums per key over (possibly nested) amount fields.
 
     Equal to ``groupBy(key).sum(first, second)``, whose automatic column names
     (``sum(ticket.cashAmount)``-like) are replaced by ``names``.
     """
     return df.groupBy(F.col(key).alias(key_name or key.split(".")[-1])).agg(
-        money.to_double(money.money_sum(first)).alias(names[0]),
-        money.to_double(money.money_sum(second)).alias(names[1]))
+        money.to_double(money.money_sum(first, scales[0])).alias(names[0]),
+        money.to_double(money.money_sum(second, scales[1])).alias(names[1]))
 
 
 def summary(df: DataFrame, fields: Sequence[str], digits: int | None = 4) -> DataFrame:

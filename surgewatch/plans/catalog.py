@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surgewatch.functions.timewin import column_type, day_range, lookback, relative_month
-from surgewatch.operators import baseline, labels, rollup, search
+from surgewatch.operators import baseline, classify, evaluate, labels, rollup, search, stats
 from surgewatch.plans import flagship
-from surgewatch.sources import fixtures
+from surgewatch.session import shared_dir
+from surgewatch.sources import fixtures, tables
 from surgewatch.sources.fixtures import Tables
 from surgewatch.sources.sqlview import sql_with
 
@@ -219,7 +220,7 @@ def monthly_counts_sql(t: Tables) -> DataFrame:
 @query
 def tickets_sum(t: Tables) -> DataFrame:
     return rollup.two_sums(fixtures.tickets(t), "ticket.agentNumericCode", "ticket.cashAmount",
-                           "ticket.ticketAmount", ("cash_amount", "ticket_amount"), "agent_code")
+                           "ticket.ticketAmount", ("cash_amount", "ticket_amount"), "agent_code", (2, 4))
 
 
 @query
@@ -235,7 +236,7 @@ def tickets_month_sum(t: Tables) -> DataFrame:
     tk = fixtures.tickets(t)
     when = day_range(F.col("ticket.issueDate"), tk.schema["ticket"].dataType["issueDate"].dataType, TICKETS_NOW, 1)
     return rollup.two_sums(tk.filter(when), "ticket.agentNumericCode", "ticket.cashAmount",
-                           "ticket.ticketAmount", ("cash_amount", "ticket_amount"), "agent_code")
+                           "ticket.ticketAmount", ("cash_amount", "ticket_amount"), "agent_code", (2, 4))
 
 
 @query
@@ -275,5 +276,139 @@ def client_buckets_month(t: Tables) -> DataFrame:
     return rollup.client_buckets(fixtures.sales(t, month), size=BUCKETS)
 
 
+# ---- splits, features, evaluation, classifier ---------------------------------
+
+SPLIT_SEED = 42
+TRAIN_ITERATIONS = 50      # the library default stays 300; the catalog keeps the check quick
+
+
+def _labelled(t: Tables) -> DataFrame:
+    return t.memo("labelled", lambda: flagship.label_spikes_from_tables(t, FULL_ANCHOR, LOOKBACK_DAYS))
+
+
+def _rule_predicted(t: Tables) -> DataFrame:
+    """A percent-only rule as the 'prediction', so the evaluation has an exact oracle."""
+    pred = (F.when(F.col("pct") > F.col("big_spike_pct"), F.lit("BIG_SPIKE"))
+            .when(F.col("pct") > F.col("spike_pct"), F.lit("SPIKE")).otherwise(F.lit("NO_SPIKE")))
+    return _labelled(t).withColumn("predicted_label", pred)
+
+
+@query
+def split_by_key(t: Tables) -> DataFrame:
+    df = _labelled(t).withColumn("hour_epoch", F.unix_timestamp("hour"))
+    return classify.split_by_key(df, ["client_id", "country", "hour_epoch"], 20.0).select(
+        "client_id", "country", "hour", "label", "part")
+
+
+@query
+def split_random(t: Tables) -> DataFrame:
+    train, test = classify.split_random(_labelled(t), classify.JOB_TRAIN_SHARE, SPLIT_SEED)
+    cols = ["client_id", "country", "hour", "label"]
+    return (train.select(*cols, F.lit("train").alias("part"))
+            .unionByName(test.select(*cols, F.lit("test").alias("part"))))
+
+
+@query
+def feature_matrix(t: Tables) -> DataFrame:
+    return _labelled(t).select(*classify.SPIKE_FEATURES, "label")
+
+
+@query
+def label_index(t: Tables) -> DataFrame:
+    return evaluate.label_index(_labelled(t))
+
+
+@query
+def eval_accuracy(t: Tables) -> DataFrame:
+    return evaluate.accuracy(_rule_predicted(t))
+
+
+@query
+def eval_class_share(t: Tables) -> DataFrame:
+    return evaluate.class_share(_rule_predicted(t))
+
+
+@query
+def eval_recall(t: Tables) -> DataFrame:
+    return evaluate.recall(_rule_predicted(t))
+
+
+def _network(t: Tables, seed: int = SPLIT_SEED):
+    train, test = classify.split_random(_labelled(t), classify.JOB_TRAIN_SHARE, seed)
+    settings = classify.NetworkSettings(inputs=len(classify.SPIKE_FEATURES), outputs=classify.JOB_OUTPUTS,
+                                        hidden=classify.JOB_HIDDEN, seed=seed, max_iter=TRAIN_ITERATIONS)
+    return classify.train_network(train, "label", classify.SPIKE_FEATURES, settings), test
+
+
+@query
+def classify_spikes(t: Tables) -> DataFrame:
+    net, test = _network(t)
+    return net.classify(test).select("client_id", "country", "hour", "label", "predicted_label")
+
+
+@query
+def training_error(t: Tables) -> DataFrame:
+    net, _ = _network(t)
+    return t.spark.createDataFrame([(",".join(net.labels), net.accuracy, net.error_pct)],
+                                   "labels string, accuracy double, error_pct double")
+
+
+@query
+def eval_network(t: Tables) -> DataFrame:
+    net, test = _network(t)
+    scored = net.classify(test)
+    return evaluate.recall(scored)
+
+
+# ---- statistics -------------------------------------------------------------
+
+@query
+def chi_square(t: Tables) -> DataFrame:
+    return stats.chi_square(fixtures.chi_rows(t), digits=6).drop("p_value")
+
+
+@query
+def chi_square_test(t: Tables) -> DataFrame:
+    return stats.chi_square(fixtures.chi_rows(t))
+
+
+# ---- table jobs ---------------------------------------------------------------
+
+@query
+def table_profile(t: Tables) -> DataFrame:
+    return tables.table_profile({name: t[name] for name in fixtures.TABLES})
+
+
+@query
+def describe_schema(t: Tables) -> DataFrame:
+    return tables.schema_rows(t.spark, fixtures.alerts(t))
+
+
+@query
+def export_restore(t: Tables) -> DataFrame:
+    dest = shared_dir(t.spark, "export")
+    tables.export_tables(t.spark, {"events": t["events"], "nation": t["nation"]}, dest)
+    return tables.restore_tables(t.spark, dest)["events"]
+
+
+@query
+def export_projected(t: Tables) -> DataFrame:
+    dest = shared_dir(t.spark, "export")
+    fields = ["ticket.issueDate", "ticket.cashAmount", "ticket.operationCode", "ticket.agentNumericCode"]
+    tables.export_tables(t.spark, {"tickets": fixtures.tickets(t)}, dest, columns=fields)
+    return tables.restore_tables(t.spark, dest)["tickets"]
+
+
+@query
+def copy_tables(t: Tables) -> DataFrame:
+    dest = shared_dir(t.spark, "copy")
+
+    def write(name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{dest}/{name}")
+
+    tables.copy_tables(lambda name: t[name], write, ["orders", "customer"])
+    return t.spark.read.parquet(f"{dest}/orders")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -41,7 +41,8 @@ MONTHLY_SALES = """monthly_sales AS (
 
 TICKETS = """tickets AS (
   SELECT l_shipdate AS issue_date, l_suppkey AS agent_code, l_returnflag AS operation_code,
-         l_extendedprice AS cash_amount, l_extendedprice * (1 + l_tax) AS ticket_amount
+         l_extendedprice AS cash_amount,
+         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 + CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS ticket_amount
   FROM lineitem)"""
 
 
@@ -100,9 +101,13 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def labelled_ctes(anchor: str, days: int, null_region: int | None = None) -> list[str]:
+    return [SALES, hourly(window(anchor, days)), LAST24, HISTORY, LATEST, BASELINE, thresholds(null_region),
+            BT, METRICS, FLAGS, LABELLED]
+
+
 def labelled(anchor: str, days: int, null_region: int | None = None) -> str:
-    return with_(SALES, hourly(window(anchor, days)), LAST24, HISTORY, LATEST, BASELINE, thresholds(null_region),
-                 BT, METRICS, FLAGS, LABELLED)
+    return with_(*labelled_ctes(anchor, days, null_region))
 
 
 FULL = ("2024-01-31 00:00:00", 90)
@@ -141,13 +146,13 @@ ORACLE: dict[str, str] = {
         "SELECT agent_code, count(*) AS count FROM monthly_sales GROUP BY agent_code, country_code"),
     "tickets_sum": with_(TICKETS) + (
         "SELECT agent_code, CAST(SUM(CAST(cash_amount AS DECIMAL(18,2))) AS DOUBLE) AS cash_amount, "
-        "CAST(SUM(CAST(ticket_amount AS DECIMAL(18,2))) AS DOUBLE) AS ticket_amount FROM tickets GROUP BY agent_code"),
+        "CAST(SUM(CAST(ticket_amount AS DECIMAL(18,4))) AS DOUBLE) AS ticket_amount FROM tickets GROUP BY agent_code"),
     "tickets_last_month": with_(TICKETS) + (
         "SELECT * FROM tickets WHERE issue_date >= TIMESTAMP '2000-03-01 12:00:00' "
         "AND issue_date < TIMESTAMP '2000-04-01 12:00:00'"),
     "tickets_month_sum": with_(TICKETS) + (
         "SELECT agent_code, CAST(SUM(CAST(cash_amount AS DECIMAL(18,2))) AS DOUBLE) AS cash_amount, "
-        "CAST(SUM(CAST(ticket_amount AS DECIMAL(18,2))) AS DOUBLE) AS ticket_amount FROM tickets "
+        "CAST(SUM(CAST(ticket_amount AS DECIMAL(18,4))) AS DOUBLE) AS ticket_amount FROM tickets "
         "WHERE issue_date < DATE '2000-04-01' AND issue_date >= DATE '2000-03-01' GROUP BY agent_code"),
     "filter_agent_operation": with_(TICKETS) + (
         "SELECT * FROM tickets WHERE agent_code = 58 AND operation_code = 'R'"),
@@ -172,5 +177,70 @@ GROUP BY client_id ORDER BY doc_count DESC, client_id LIMIT 100000""",
 }
 
 
+RULE = """ruled AS (
+  SELECT *, CASE WHEN pct > big_spike_pct THEN 'BIG_SPIKE' WHEN pct > spike_pct THEN 'SPIKE'
+                 ELSE 'NO_SPIKE' END AS predicted_label
+  FROM labelled)"""
+
+CHI = """chi AS (
+  SELECT CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS label, l_quantity AS f0, l_discount AS f1, l_tax AS f2
+  FROM lineitem),
+cells AS (
+  SELECT 0 AS feature_index, f0 AS value, label, count(*) AS o FROM chi GROUP BY 1, 2, 3
+  UNION ALL SELECT 1, f1, label, count(*) FROM chi GROUP BY 1, 2, 3
+  UNION ALL SELECT 2, f2, label, count(*) FROM chi GROUP BY 1, 2, 3),
+value_totals AS (SELECT feature_index, value, sum(o) AS r FROM cells GROUP BY 1, 2),
+label_totals AS (SELECT feature_index, label, sum(o) AS c FROM cells GROUP BY 1, 2),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM chi)"""
+
+# Column counts of the driver's tables.
+TABLE_COLUMNS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6,
+                 "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3,
+                 "benchmark": 2, "labels": 3, "conversations": 4}
+
+LABELLED_FULL = labelled(*FULL)
+
+ORACLE.update({
+    "split_by_key": LABELLED_FULL + """SELECT client_id, country, hour, label,
+  CASE WHEN substring(md5(concat_ws('|', CAST(client_id AS VARCHAR), country,
+                                   CAST(CAST(epoch(hour) AS BIGINT) AS VARCHAR))), 1, 2) < '33'
+       THEN 'train' ELSE 'test' END AS part
+FROM labelled""",
+    "feature_matrix": LABELLED_FULL + """SELECT last24h_amount, daily_amount, spike_amount, big_spike_amount,
+  spike_pct, big_spike_pct, diff, pct, label FROM labelled""",
+    "label_index": LABELLED_FULL + """SELECT label, count(*) AS count,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS DOUBLE) AS label_index
+FROM labelled GROUP BY label""",
+    "eval_accuracy": with_(*labelled_ctes(*FULL), RULE) + """SELECT
+  CAST(count_if(label = predicted_label) AS BIGINT) AS correct, count(*) AS total,
+  CAST(count_if(label = predicted_label) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100 AS accuracy_pct
+FROM ruled""",
+    "eval_class_share": with_(*labelled_ctes(*FULL), RULE) + """SELECT label, count(*) AS count,
+  CAST(sum(count(*)) OVER () AS BIGINT) AS total,
+  CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100 AS share_pct
+FROM ruled GROUP BY label""",
+    "eval_recall": with_(*labelled_ctes(*FULL), RULE) + """SELECT label, count(*) AS total,
+  CAST(count_if(label = predicted_label) AS BIGINT) AS correct,
+  CAST(count_if(label = predicted_label) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100 AS recall_pct
+FROM ruled GROUP BY label""",
+    "chi_square": with_(CHI) + """SELECT c.feature_index,
+  CAST((count(DISTINCT c.value) - 1) * (count(DISTINCT c.label) - 1) AS BIGINT) AS degrees_of_freedom,
+  round(sum(CAST(c.o AS DOUBLE) * CAST(c.o AS DOUBLE) / (CAST(v.r AS DOUBLE) * CAST(l.c AS DOUBLE))) * max(t.n)
+        - max(t.n), 6) AS statistic
+FROM cells c
+JOIN value_totals v ON c.feature_index = v.feature_index AND c.value = v.value
+JOIN label_totals l ON c.feature_index = l.feature_index AND c.label = l.label
+CROSS JOIN total t
+GROUP BY c.feature_index""",
+    "table_profile": "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST({n} AS BIGINT) AS column_count FROM {name}"
+        for name, n in TABLE_COLUMNS.items()),
+    "export_restore": "SELECT * FROM events",
+    "export_projected": """SELECT l_shipdate AS ticket_issueDate, l_extendedprice AS ticket_cashAmount,
+  l_returnflag AS ticket_operationCode, l_suppkey AS ticket_agentNumericCode FROM lineitem""",
+    "copy_tables": "SELECT * FROM orders",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -155,14 +155,18 @@ def monthly_sales(t: Tables) -> DataFrame:
 
 
 def tickets(t: Tables) -> DataFrame:
-    """Sale tickets as a nested struct, the older document layout."""
+    """Sale tickets as a nested struct, the older document layout.
+
+    ``ticketAmount`` has up to 4 decimals: sum it with ``scale=4``.
+    """
     li = t["lineitem"]
     ticket = F.struct(
         F.col("l_shipdate").alias("issueDate"),
         F.col("l_suppkey").alias("agentNumericCode"),
         F.col("l_returnflag").alias("operationCode"),
         F.col("l_extendedprice").alias("cashAmount"),
-        (F.col("l_extendedprice") * (F.lit(1) + F.col("l_tax"))).alias("ticketAmount"),
+        # price with tax, exact to 4 decimals, kept as a double like the other amounts
+        (money.as_money("l_extendedprice") * (F.lit(1) + money.as_money("l_tax"))).cast("double").alias("ticketAmount"),
     )
     return li.select(ticket.alias("ticket"))
 
