@@ -1,8 +1,15 @@
-"""Exact money arithmetic.
-
-Amounts are cast to ``decimal(18,2)`` before summing and to ``double`` only at
-the end, so partial sums, re-aggregation and window sums are exact and do not
-depend on the order in which partitions are combined.
+"""Exact money arithmetic in integer minor units.
+
+Amounts are turned into whole minor units (cents for ``scale=2``) before
+summing and back into ``double`` only at the end: partial sums,
+re-aggregation and window sums are exact long additions, independent of the
+order in which partitions are combined, and they stay on Spark's fast
+fixed-width path (a ``decimal(38,2)`` sum would run on Java BigDecimal).
+
+For amounts with at most ``scale`` decimals the result equals summing
+``CAST(x AS DECIMAL(18, scale))`` and casting the sum to double: both are
+the correctly rounded double of the same exact total. Sums beyond
+±9.2e18 minor units overflow ``bigint`` and raise under ANSI mode.
 """
 
 from __future__ import annotations
@@ -10,27 +17,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-WIDE_MONEY = "decimal(38,2)"
+
+def _col(col: Column | str) -> Column:
+    return F.col(col) if isinstance(col, str) else col
 
 
-def as_money(col: Column | str, scale: int = 2) -> Column:
-    """``decimal(18, scale)``; exact for amounts that have at most ``scale`` decimals."""
-    col = F.col(col) if isinstance(col, str) else col
-    return col.cast(MONEY if scale == 2 else f"decimal(18,{scale})")
+def minor_units(col: Column | str, scale: int = 2) -> Column:
+    """Whole minor units of an amount: ``rint(x * 10^scale)`` as bigint."""
+    return F.rint(_col(col) * F.lit(10.0 ** scale)).cast("bigint")
 
 
 def money_sum(col: Column | str, scale: int = 2) -> Column:
-    """Exact decimal sum of an amount column (result stays decimal)."""
-    return F.sum(as_money(col, scale))
+    """Exact sum of an amount column, in minor units (bigint)."""
+    return F.sum(minor_units(col, scale))
 
 
 def resum(col: Column | str) -> Column:
-    """Sum already-decimal partial sums (for re-aggregation)."""
-    col = F.col(col) if isinstance(col, str) else col
-    return F.sum(col.cast(WIDE_MONEY))
+    """Sum partial sums already in minor units (for re-aggregation)."""
+    return F.sum(_col(col))
 
 
-def to_double(col: Column | str) -> Column:
-    col = F.col(col) if isinstance(col, str) else col
-    return col.cast("double")
+def to_double(col: Column | str, scale: int = 2) -> Column:
+    """Minor units back to a double amount."""
+    return _col(col) / F.lit(10.0 ** scale)

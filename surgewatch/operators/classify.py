@@ -137,3 +137,20 @@ def train_network(df: DataFrame, label_col: str, feature_cols, settings: Network
         accuracy = MulticlassClassificationEvaluator(labelCol="label_index", predictionCol="prediction",
                                                      metricName="accuracy").evaluate(scored)
     return TrainedNetwork(model, labels, accuracy)
+
+
+def train_on_split(labelled: DataFrame, label_col: str, feature_cols, settings: NetworkSettings,
+                   train_share: float = JOB_TRAIN_SHARE) -> tuple[TrainedNetwork, DataFrame]:
+    """The job's flow: cut the labelled rows' lineage once, split, train, return the scoring part.
+
+    The labelled rows are checkpointed to the shared checkpoint folder, so the
+    split, the indexer fit, the iterations and the scoring all read the same
+    materialised rows (and survive a lost executor) instead of recomputing the
+    labelling chain for each.
+    """
+    ensure_checkpoint_dir(labelled.sparkSession)
+    labelled = labelled.checkpoint(eager=True)
+    train, test = split_random(labelled, train_share, settings.resolved_seed)
+    inner = NetworkSettings(settings.inputs, settings.outputs, settings.hidden, settings.held_out_pct,
+                            settings.resolved_seed, settings.block_size, settings.max_iter, checkpoint_input=False)
+    return train_network(train, label_col, feature_cols, inner), test

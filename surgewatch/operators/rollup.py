@@ -39,7 +39,7 @@ def trailing_sum(hourly: DataFrame, seconds: int = 24 * 3600, keys: Sequence[str
     """
     epoch = epoch_seconds(F.col(hour), column_type(hourly, hour))
     win = Window.partitionBy(*keys).orderBy(epoch).rangeBetween(-seconds, 0)
-    total = F.sum(F.col(amount).cast(money.WIDE_MONEY)).over(win)
+    total = money.money_sum(amount).over(win)
     return hourly.withColumn(out, money.to_double(total))
 
 
@@ -72,8 +72,8 @@ def two_sums(df: DataFrame, key: str, first: str, second: str, names: tuple[str,
     (``sum(ticket.cashAmount)``-like) are replaced by ``names``.
     """
     return df.groupBy(F.col(key).alias(key_name or key.split(".")[-1])).agg(
-        money.to_double(money.money_sum(first, scales[0])).alias(names[0]),
-        money.to_double(money.money_sum(second, scales[1])).alias(names[1]))
+        money.to_double(money.money_sum(first, scales[0]), scales[0]).alias(names[0]),
+        money.to_double(money.money_sum(second, scales[1]), scales[1]).alias(names[1]))
 
 
 def summary(df: DataFrame, fields: Sequence[str], digits: int | None = 4) -> DataFrame:

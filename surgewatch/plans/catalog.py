@@ -116,19 +116,19 @@ def latest_history_rank(t: Tables) -> DataFrame:
 
 @query
 def daily_baseline(t: Tables) -> DataFrame:
-    return baseline.daily_rate(baseline.latest_rows(fixtures.history(t)))
+    return baseline.daily_rate(baseline.latest_rows(fixtures.history(t), method="window"))
 
 
 @query
 def baseline_thresholds(t: Tables) -> DataFrame:
-    return flagship.baseline_thresholds(fixtures.history(t), fixtures.thresholds(t))
+    return flagship.baseline_thresholds(fixtures.history(t), fixtures.thresholds(t), latest_method="window")
 
 
 # ---- spike labelling -------------------------------------------------------
 
 def _metrics(t: Tables) -> DataFrame:
     hourly = fixtures.hourly_sales(t, flagship.sales_window(FULL_ANCHOR, LOOKBACK_DAYS))
-    base = flagship.baseline_thresholds(fixtures.history(t), fixtures.thresholds(t))
+    base = flagship.baseline_thresholds(fixtures.history(t), fixtures.thresholds(t), latest_method="window")
     return labels.spike_metrics(rollup.trailing_sum(hourly), base)
 
 
@@ -334,10 +334,13 @@ def eval_recall(t: Tables) -> DataFrame:
 
 
 def _network(t: Tables, seed: int = SPLIT_SEED):
-    train, test = classify.split_random(_labelled(t), classify.JOB_TRAIN_SHARE, seed)
-    settings = classify.NetworkSettings(inputs=len(classify.SPIKE_FEATURES), outputs=classify.JOB_OUTPUTS,
-                                        hidden=classify.JOB_HIDDEN, seed=seed, max_iter=TRAIN_ITERATIONS)
-    return classify.train_network(train, "label", classify.SPIKE_FEATURES, settings), test
+    """The job's training step: label, checkpoint, split 20 / 80, train on the 20 %, keep the 80 %."""
+    return classify.train_on_split(_labelled(t), "label", classify.SPIKE_FEATURES,
+                                   classify.NetworkSettings(inputs=len(classify.SPIKE_FEATURES),
+                                                            outputs=classify.JOB_OUTPUTS,
+                                                            hidden=classify.JOB_HIDDEN, seed=seed,
+                                                            max_iter=TRAIN_ITERATIONS),
+                                   classify.JOB_TRAIN_SHARE)
 
 
 @query

@@ -64,9 +64,13 @@ def sales_window(anchor: str | None, lookback_days: int, bounds: str = "[)") ->
 
 def label_spikes_from_tables(t: Tables, anchor: str | None = DEFAULT_ANCHOR,
                              lookback_days: int = DEFAULT_LOOKBACK_DAYS,
-                             window_seconds: int = WINDOW_SECONDS, latest_method: str = "join",
+                             window_seconds: int = WINDOW_SECONDS, latest_method: str = "window",
                              null_big_amount_region: int | None = None) -> DataFrame:
-    """The job over the driver's tables (sales pre-summed per user and hour before the join)."""
+    """The job over the driver's tables (sales pre-summed per user and hour before the join).
+
+    The derived history holds one row per (client, country, month), so rows per
+    key are bounded by the months and the latest row can be ranked in one pass.
+    """
     hourly = fixtures.hourly_sales(t, sales_window(anchor, lookback_days))
     return label_hourly(hourly, fixtures.history(t), fixtures.thresholds(t, null_big_amount_region),
                         window_seconds, latest_method)

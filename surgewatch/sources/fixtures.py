@@ -54,24 +54,46 @@ class Tables:
         return self._frames[key]
 
 
+def month_index(col: Column) -> Column:
+    """``year * 100 + month`` of a timestamp: a cheap, hashable grouping key."""
+    return F.year(col) * F.lit(100) + F.month(col)
+
+
+def month_text(index: Column) -> Column:
+    """``yyyy-MM`` from a month index (equal to the first 7 characters of the timestamp text)."""
+    year = F.floor(index / F.lit(100)).cast("int")
+    month = (index % F.lit(100)).cast("int")
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
+
+
 def month_of(col: Column) -> Column:
-    """``yyyy-MM`` text of a timestamp (from its text form, so time-zone free)."""
-    return F.substring(col.cast("string"), 1, 7)
+    """``yyyy-MM`` text of a timestamp (from its fields, so time-zone free)."""
+    return month_text(month_index(col))
 
 
-def _countries(t: Tables, key: str = "nationkey") -> DataFrame:
-    def build() -> DataFrame:
-        nation = t["nation"].select(F.col("n_nationkey").alias(key), F.col("n_name").alias("country"))
-        return broadcast_if_bounded(nation)
+# Dimension rows broadcast to the fact side when proven to be at most this many.
+DIMENSION_BROADCAST_ROWS = 2_000_000
 
-    return t.memo(f"countries:{key}", build)
+
+def _countries(t: Tables, key: str = "nationkey") -> DataFrame:
+    """nation key -> name. The file's size lets the planner broadcast it by itself."""
+    return t["nation"].select(F.col("n_nationkey").alias(key), F.col("n_name").alias("country"))
 
 
 def _client_countries(t: Tables) -> DataFrame:
-    """client_id -> country (customer x nation)."""
-    customer = t["customer"].select(F.col("c_custkey").alias("client_id"),
-                                    F.col("c_nationkey").alias("nationkey"))
-    return customer.join(_countries(t), "nationkey").select("client_id", "country")
+    """client_id -> country (customer x nation), broadcast only behind a row bound.
+
+    Broadcast, it leaves the pre-summed fact side's partitioning in place (no
+    shuffle before the re-aggregation); beyond the bound the join is a
+    shuffle join on client_id, which the later groupings and windows reuse.
+    """
+    def build() -> DataFrame:
+        customer = t["customer"].select(F.col("c_custkey").alias("client_id"),
+                                        F.col("c_nationkey").alias("nationkey"))
+        dim = customer.join(_countries(t), "nationkey").select("client_id", "country")
+        return broadcast_if_bounded(dim, DIMENSION_BROADCAST_ROWS)
+
+    return t.memo("client_countries", build)
 
 
 def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None) -> DataFrame:
@@ -108,12 +130,13 @@ def hourly_sales(t: Tables, where: Callable[[DataFrame], Column] | None = None)
 
 def history(t: Tables) -> DataFrame:
     """Monthly totals per client and country; ``amount`` is the month's sum / 100."""
-    orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_of(F.col("o_orderdate")).alias("month"),
+    orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
-    per_client = orders.groupBy("client_id", "month").agg(money.money_sum("price").alias("part"))
+    per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
     return (per_client.join(_client_countries(t), "client_id")
-            .groupBy("client_id", "country", "month")
-            .agg((money.to_double(money.resum("part")) / F.lit(100)).alias("amount")))
+            .groupBy("client_id", "country", "m")
+            .agg((money.to_double(money.resum("part")) / F.lit(100)).alias("amount"))
+            .select("client_id", "country", month_text(F.col("m")).alias("month"), "amount"))
 
 
 def thresholds(t: Tables, null_big_amount_region: int | None = None) -> DataFrame:
@@ -134,22 +157,23 @@ def thresholds(t: Tables, null_big_amount_region: int | None = None) -> DataFram
 
 def alerts(t: Tables) -> DataFrame:
     """Accumulated sales per country and month (orders pre-summed per client-month)."""
-    orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_of(F.col("o_orderdate")).alias("month"),
+    orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
-    per_client = orders.groupBy("client_id", "month").agg(money.money_sum("price").alias("part"))
+    per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
     customer = t["customer"].select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nationkey"))
-    per_nation = (per_client.join(customer, "client_id").groupBy("nationkey", "month")
+    per_nation = (per_client.join(customer, "client_id").groupBy("nationkey", "m")
                   .agg(money.resum("part").alias("part")))
     return (per_nation.join(_countries(t), "nationkey")
-            .groupBy(F.col("country").alias("country_code"), "month")
-            .agg(money.to_double(money.resum("part")).alias("accumulated_sales")))
+            .groupBy(F.col("country").alias("country_code"), "m")
+            .agg(money.to_double(money.resum("part")).alias("accumulated_sales"))
+            .select("country_code", month_text(F.col("m")).alias("month"), "accumulated_sales"))
 
 
 def monthly_sales(t: Tables) -> DataFrame:
     """One row per line item: the supplier as agent, its country, the ship month."""
     items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_of(F.col("l_shipdate")).alias("month"))
     supplier = t["supplier"].select(F.col("s_suppkey").alias("agent_code"), F.col("s_nationkey").alias("nationkey"))
-    countries = _countries(t).withColumnRenamed("country", "country_code")
+    countries = _countries(t).withColumnRenamed("country", "country_code")  # 25 rows
     return (items.join(supplier, "agent_code").join(countries, "nationkey")
             .select("agent_code", "country_code", "month"))
 
@@ -166,7 +190,8 @@ def tickets(t: Tables) -> DataFrame:
         F.col("l_returnflag").alias("operationCode"),
         F.col("l_extendedprice").alias("cashAmount"),
         # price with tax, exact to 4 decimals, kept as a double like the other amounts
-        (money.as_money("l_extendedprice") * (F.lit(1) + money.as_money("l_tax"))).cast("double").alias("ticketAmount"),
+        money.to_double(money.minor_units("l_extendedprice") * (F.lit(100) + money.minor_units("l_tax")), 4)
+        .alias("ticketAmount"),
     )
     return li.select(ticket.alias("ticket"))
 
