@@ -32,6 +32,7 @@ ALERT_COUNTRY = "NATION_7"
 MATCH_CLIENT = 89
 MATCH_COUNTRY = "NATION_7"
 HITS = 20
+PAGE = 10
 BUCKETS = 100_000
 AGENT = 58
 OPERATION = "R"
@@ -161,6 +162,16 @@ def spike_label_flat(t: Tables) -> DataFrame:
                                  anchor=FULL_ANCHOR, lookback_days=LOOKBACK_DAYS)
 
 
+@query
+def spike_label_nested(t: Tables) -> DataFrame:
+    """The job over document-shaped sales, reading the nested ``details`` fields."""
+    docs = fixtures.sales_documents(t)
+    docs = docs.filter(lookback(docs["sold_at"], column_type(docs, "sold_at"), FULL_ANCHOR, LOOKBACK_DAYS))
+    hourly = rollup.hourly_sales(docs, client="details.client_id", country="details.country",
+                                 ts="sold_at", amount="details.amount")
+    return flagship.label_hourly(hourly, fixtures.history(t), fixtures.thresholds(t), latest_method="window")
+
+
 # ---- alerts examples -------------------------------------------------------
 
 @query
@@ -258,6 +269,12 @@ def match_any(t: Tables) -> DataFrame:
                             "sale_id", HITS)
 
 
+@query
+def sales_lookback_page(t: Tables) -> DataFrame:
+    """The 90-day query as a plain fetch: the default page of 10 hits (in sale order)."""
+    return search.first_n(sales_between(t, TEST_ANCHOR, LOOKBACK_DAYS, "(]"), "sale_id", PAGE)
+
+
 @query
 def first_n(t: Tables) -> DataFrame:
     return search.first_n(fixtures.sales(t), "sale_id", HITS)
@@ -415,3 +432,27 @@ def copy_tables(t: Tables) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
+
+
+# ---- streaming -----------------------------------------------------------------
+
+STREAM_WATERMARK = "1 hour"
+
+
+@query
+def spike_label_stream(t: Tables) -> DataFrame:
+    """The job as a stream over the events file, run to completion; returns the sink's rows.
+
+    Hours whose window the final watermark has not passed are not emitted yet.
+    """
+    from surgewatch.streaming import spikes
+
+    events = (t.spark.readStream.schema(t["events"].schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events.parquet").parquet(t.sf_dir))
+    stream_sales = fixtures.sales(t, flagship.sales_window(FULL_ANCHOR, LOOKBACK_DAYS), events=events)
+    base = flagship.baseline_thresholds(fixtures.history(t), fixtures.thresholds(t), latest_method="window")
+    out = shared_dir(t.spark, "stream")
+    q = spikes.start_to_files(spikes.label_stream(stream_sales, base, STREAM_WATERMARK), f"{out}/labelled",
+                              f"{out}/checkpoint")
+    q.awaitTermination()
+    return t.spark.read.parquet(f"{out}/labelled")

@@ -133,6 +133,8 @@ ORACLE: dict[str, str] = {
     "spike_label": labelled(*FULL) + "SELECT * FROM labelled",
     "spike_label_window": labelled(TEST, 7, 4) + "SELECT * FROM labelled",
     "spike_label_flat": labelled(*FULL) + "SELECT * FROM labelled",
+    "spike_label_nested": labelled(*FULL) + "SELECT * FROM labelled",
+    "sales_lookback_page": with_(SALES) + "SELECT * FROM sales " + window(TEST, 90, "(]") + " ORDER BY sale_id LIMIT 10",
     "project_country": with_(ALERTS) + "SELECT country_code FROM alerts",
     "project_plus": with_(ALERTS) + "SELECT country_code, accumulated_sales + 10 AS sales_plus_10 FROM alerts",
     "filter_large_alerts": with_(ALERTS) + "SELECT * FROM alerts WHERE accumulated_sales > 2000000",
@@ -242,5 +244,11 @@ GROUP BY c.feature_index""",
 })
 
 
+ORACLE["spike_label_stream"] = labelled(*FULL) + """SELECT * FROM labelled
+WHERE hour + INTERVAL 1 HOUR <= (
+  SELECT date_trunc('second', max(sold_at)) - INTERVAL 1 HOUR FROM sales
+  WHERE sold_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 90 DAYS AND sold_at < TIMESTAMP '2024-01-31 00:00:00')"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

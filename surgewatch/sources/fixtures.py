@@ -96,13 +96,15 @@ def _client_countries(t: Tables) -> DataFrame:
     return t.memo("client_countries", build)
 
 
-def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None,
+          events: DataFrame | None = None) -> DataFrame:
     """Row-level sales: one row per event with its client's country.
 
     ``where`` filters the raw events before the join (it receives the renamed
-    frame), so a time range reaches the parquet scan.
+    frame), so a time range reaches the parquet scan. ``events`` replaces the
+    events table (e.g. by a streaming read of it).
     """
-    events = t["events"].select(F.col("event_id").alias("sale_id"), F.col("user_id").alias("client_id"),
+    events = (t["events"] if events is None else events).select(F.col("event_id").alias("sale_id"), F.col("user_id").alias("client_id"),
                                 F.col("ts").alias("sold_at"), F.col("value").alias("amount"))
     if where is not None:
         events = events.filter(where(events))
@@ -110,6 +112,17 @@ def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None) -> Data
             .select("sale_id", "client_id", "country", "sold_at", "amount"))
 
 
+def sales_documents(t: Tables) -> DataFrame:
+    """The sales as documents: ``sold_at`` plus a nested ``details`` struct.
+
+    details = struct<client_id, country, amount>, the one-level nesting of a
+    document index; read it with dotted paths (``details.client_id``).
+    """
+    flat = sales(t)
+    return flat.select("sale_id", "sold_at",
+                       F.struct("client_id", "country", "amount").alias("details"))
+
+
 def hourly_sales(t: Tables, where: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Hourly sales per client and country, equal to grouping :func:`sales`.
 

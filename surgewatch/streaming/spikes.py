@@ -1,0 +1,85 @@
+"""The spike labelling job over a Structured Streaming source.
+
+    sales stream --watermark--> sliding 25 h windows, 1 h apart, per client and country
+        sum over the window          = trailing 24 h total of the window's last hour
+        sum over the window's last h = that hour's own bucket (NULL: no sale that hour)
+    --> stream-static join with the baseline --> metrics, flags, label --> file sink
+
+The window ending at ``h + 1 h`` spans the buckets ``h - 24 h .. h``: the
+batch job's value-based frame with both ends included. A window is final
+once the watermark passes its end, so the output is append-only, and each
+labelled hour is written once. Rows later than the watermark are dropped
+(the batch job would still count them).
+
+State is kept per (client, country, window): bounded by the hours in
+flight, not by how many rows a hot client sends; partial sums are built
+before the shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from surgewatch.functions import alerts, money
+from surgewatch.functions.timewin import column_type, hour_bucket
+from surgewatch.operators import labels
+from surgewatch.operators.baseline import THRESHOLD_COLUMNS
+
+EVENT_TIME = "_event_time"
+
+
+def event_time(col: Column, dtype: T.DataType) -> Column:
+    """An instant for the watermark: ``timestamp_ntz`` wall clock read as UTC, whole seconds."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_seconds(F.unix_timestamp(col))
+    if isinstance(dtype, T.TimestampType):
+        return col
+    return col.cast("timestamp")
+
+
+def trailing_totals_stream(sales: DataFrame, watermark: str = "1 hour", hours: int = 24,
+                           client: str = "client_id", country: str = "country",
+                           ts: str = "sold_at", amount: str = "amount") -> DataFrame:
+    """Streaming rows of (client_id, country, hour, amount, last24h_amount), final hours only."""
+    dtype = column_type(sales, ts)
+    df = sales.withColumn(EVENT_TIME, event_time(F.col(ts), dtype)).withWatermark(EVENT_TIME, watermark)
+    df = df.withColumn("w", F.window(EVENT_TIME, f"{hours + 1} hours", "1 hour"))
+    last_hour = F.col(EVENT_TIME) >= F.col("w.end") - F.expr("INTERVAL 1 HOUR")
+    grouped = (df.groupBy(F.col(client).alias("client_id"), F.col(country).alias("country"), "w")
+               .agg(F.sum(F.when(last_hour, money.minor_units(amount))).alias("_own"),
+                    money.money_sum(amount).alias("_total")))
+    start = F.col("w.end") - F.expr("INTERVAL 1 HOUR")
+    hour = hour_bucket(start, T.TimestampType())
+    if isinstance(dtype, T.TimestampNTZType):
+        # back to wall clock: epoch seconds added to the NTZ epoch (no time zone involved)
+        seconds = F.unix_timestamp(start)
+        hour = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+                + F.make_dt_interval(F.floor(seconds / 86400).cast("int"), F.lit(0), F.lit(0),
+                                     (seconds % 86400).cast("decimal(18,6)")))
+    return (grouped.filter(F.col("_own").isNotNull())
+            .select("client_id", "country", hour.alias("hour"), money.to_double("_own").alias("amount"),
+                    money.to_double("_total").alias("last24h_amount")))
+
+
+def label_stream(sales: DataFrame, baseline_thresholds: DataFrame, watermark: str = "1 hour",
+                 hours: int = 24, **columns) -> DataFrame:
+    """Streaming labelled rows; ``baseline_thresholds`` is a static frame (client_id, country, ...)."""
+    last24 = trailing_totals_stream(sales, watermark, hours, **columns)
+    joined = last24.join(baseline_thresholds, ["client_id", "country"])
+    metrics = joined.select(*labels.HOURLY_COLUMNS, "daily_amount", *THRESHOLD_COLUMNS,
+                            alerts.diff().alias("diff"), alerts.pct().alias("pct"))
+    return labels.spike_label(labels.spike_flags(metrics))
+
+
+def start_to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                   processing_time: str | None = None) -> StreamingQuery:
+    """Append the stream to parquet files (exactly once through the sink's log)."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    if processing_time is not None:
+        writer = writer.trigger(processingTime=processing_time)
+    elif available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start(path)

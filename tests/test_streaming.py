@@ -1,0 +1,33 @@
+from datetime import datetime, timedelta
+
+from surgewatch.plans import flagship
+from surgewatch.streaming import spikes
+from tests.helpers import HISTORY_SCHEMA, THRESHOLD_SCHEMA, rows
+
+SALES_SCHEMA = "client_id bigint, country string, sold_at timestamp_ntz, amount double"
+
+
+def test_stream_equals_batch_on_final_hours(spark, tmp_dir):
+    base = datetime(2024, 1, 1)
+    first = [(1, "A", base + timedelta(minutes=37 * i), 1.25 + i % 3) for i in range(60)]
+    second = [(1, "A", base + timedelta(hours=30, minutes=13 * i), 0.5 * i) for i in range(30)]
+    second += [(2, "A", base + timedelta(hours=31, minutes=5), 99.0)]
+    for i, part in enumerate((first, second)):
+        spark.createDataFrame(part, SALES_SCHEMA).coalesce(1).write.parquet(f"{tmp_dir}/in/{i}")
+    history = spark.createDataFrame([(1, "A", "2023-12", 30.0), (2, "A", "2023-12", 300.0)], HISTORY_SCHEMA)
+    thresholds = spark.createDataFrame([("A", 1.0, 5.0, 10.0, 50.0)], THRESHOLD_SCHEMA)
+    bt = flagship.baseline_thresholds(history, thresholds)
+
+    stream = (spark.readStream.schema(SALES_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(f"{tmp_dir}/in"))
+    q = spikes.start_to_files(spikes.label_stream(stream, bt, "1 hour"), f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_dir}/out")
+
+    batch_sales = spark.createDataFrame(first + second, SALES_SCHEMA)
+    want = flagship.label_spikes(batch_sales, history, thresholds, anchor=None)
+    last = max(r[2] for r in first + second).replace(microsecond=0) - timedelta(hours=1)
+    want = want.filter(want.hour <= last - timedelta(hours=1))
+    cols = ("client_id", "hour", "amount", "last24h_amount", "pct", "label")
+    assert rows(got, *cols) == rows(want, *cols)
+    assert got.count() > 20
