@@ -58,9 +58,14 @@ def client_buckets(sales: DataFrame, key: str = "client_id", amount: str = "amou
             .limit(size))
 
 
-def grouped_count(df: DataFrame, keys: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
-    """``groupBy(keys).count()``; ``keep`` narrows the output afterwards (repeated rows stay)."""
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+def grouped_count(df: DataFrame, keys: Sequence[str], keep: Sequence[str] | None = None,
+                  weight: str | None = None) -> DataFrame:
+    """``groupBy(keys).count()``; ``keep`` narrows the output afterwards (repeated rows stay).
+
+    ``weight`` names a column of row counts when ``df`` is already collapsed.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")
+    out = df.groupBy(*keys).agg(n.alias("count"))
     return out.select(*keep, "count") if keep is not None else out
 
 

@@ -214,8 +214,8 @@ def sql_select_all(t: Tables) -> DataFrame:
 
 @query
 def monthly_counts(t: Tables) -> DataFrame:
-    return rollup.grouped_count(fixtures.monthly_sales(t), ["agent_code", "country_code", "month"],
-                                keep=["agent_code"])
+    return rollup.grouped_count(fixtures.monthly_sales_counted(t), ["agent_code", "country_code", "month"],
+                                keep=["agent_code"], weight="rows")
 
 
 @query

@@ -182,13 +182,34 @@ def alerts(t: Tables) -> DataFrame:
             .select("country_code", month_text(F.col("m")).alias("month"), "accumulated_sales"))
 
 
+def _agent_countries(t: Tables) -> DataFrame:
+    """agent_code -> country_code (supplier x nation), broadcast only behind a row bound."""
+    def build() -> DataFrame:
+        supplier = t["supplier"].select(F.col("s_suppkey").alias("agent_code"),
+                                        F.col("s_nationkey").alias("nationkey"))
+        dim = (supplier.join(_countries(t), "nationkey")
+               .select("agent_code", F.col("country").alias("country_code")))
+        return broadcast_if_bounded(dim, DIMENSION_BROADCAST_ROWS)
+
+    return t.memo("agent_countries", build)
+
+
 def monthly_sales(t: Tables) -> DataFrame:
     """One row per line item: the supplier as agent, its country, the ship month."""
     items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_of(F.col("l_shipdate")).alias("month"))
-    supplier = t["supplier"].select(F.col("s_suppkey").alias("agent_code"), F.col("s_nationkey").alias("nationkey"))
-    countries = _countries(t).withColumnRenamed("country", "country_code")  # 25 rows
-    return (items.join(supplier, "agent_code").join(countries, "nationkey")
-            .select("agent_code", "country_code", "month"))
+    return items.join(_agent_countries(t), "agent_code").select("agent_code", "country_code", "month")
+
+
+def monthly_sales_counted(t: Tables) -> DataFrame:
+    """``monthly_sales`` collapsed to (agent_code, country_code, month, rows).
+
+    Line items are counted per (agent, month) before the dimension join, so
+    the join and the shuffle carry counts, not line items.
+    """
+    items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_index(F.col("l_shipdate")).alias("m"))
+    per_agent = items.groupBy("agent_code", "m").agg(F.count(F.lit(1)).alias("rows"))
+    return (per_agent.join(_agent_countries(t), "agent_code")
+            .select("agent_code", "country_code", month_text(F.col("m")).alias("month"), "rows"))
 
 
 def tickets(t: Tables) -> DataFrame:
