@@ -64,3 +64,14 @@ def test_grouped_count_keep_and_summary(spark):
     assert rows(out, "agent_code", "count") == [(1, 1), (1, 2), (2, 1)]
     s = rollup.summary(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double"), ["x"]).first()
     assert (s.field, s["count"], s.mean, s.stddev, s["min"], s["max"]) == ("x", 3, 2.0, 1.0, 1.0, 3.0)
+
+
+def test_top_by_count_equals_plain_top_k(spark):
+    import random
+
+    rnd = random.Random(5)
+    data = [(k, rnd.choice([1, 1, 1, 2, 2, 3, 5, 8])) for k in range(500)]
+    df = spark.createDataFrame(data, "client_id bigint, doc_count bigint").repartition(7)
+    for size in (1, 10, 137, 499, 500, 900):
+        want = df.orderBy(F.col("doc_count").desc(), F.col("client_id")).limit(size).collect()
+        assert rollup.top_by_count(df, size, "client_id").collect() == want
