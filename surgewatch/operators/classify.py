@@ -72,6 +72,16 @@ class TrainedNetwork:
         return self.model.transform(df)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the written rows.
+
+    The plan's lineage ends at the written files: a lost executor re-reads
+    them instead of recomputing the plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def split_by_key(df: DataFrame, keys, share_pct: float = 20.0, out: str = "part") -> DataFrame:
     """Portable split: ``train`` when the first md5 byte of the key is below share * 256.
 
@@ -116,8 +126,7 @@ def train_network(df: DataFrame, label_col: str, feature_cols, settings: Network
     held = settings.held_out_pct / 100
     train, test = df.randomSplit([1 - held, held], settings.resolved_seed)
     if settings.checkpoint_input:
-        ensure_checkpoint_dir(df.sparkSession)
-        train = train.checkpoint(eager=True)
+        train = checkpointed(train)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error"),
@@ -148,8 +157,7 @@ def train_on_split(labelled: DataFrame, label_col: str, feature_cols, settings:
     materialised rows (and survive a lost executor) instead of recomputing the
     labelling chain for each.
     """
-    ensure_checkpoint_dir(labelled.sparkSession)
-    labelled = labelled.checkpoint(eager=True)
+    labelled = checkpointed(labelled)
     train, test = split_random(labelled, train_share, settings.resolved_seed)
     inner = NetworkSettings(settings.inputs, settings.outputs, settings.hidden, settings.held_out_pct,
                             settings.resolved_seed, settings.block_size, settings.max_iter, checkpoint_input=False)

@@ -227,12 +227,11 @@ FROM ruled GROUP BY label""",
 FROM ruled GROUP BY label""",
     "chi_square": with_(CHI) + """SELECT c.feature_index,
   CAST((count(DISTINCT c.value) - 1) * (count(DISTINCT c.label) - 1) AS BIGINT) AS degrees_of_freedom,
-  round(sum(CAST(c.o AS DOUBLE) * CAST(c.o AS DOUBLE) / (CAST(v.r AS DOUBLE) * CAST(l.c AS DOUBLE))) * max(t.n)
-        - max(t.n), 6) AS statistic
+  round(sum(CAST(c.o AS DOUBLE) * CAST(c.o AS DOUBLE) / (CAST(v.r AS DOUBLE) * CAST(l.c AS DOUBLE)))
+        * (SELECT n FROM total) - (SELECT n FROM total), 6) AS statistic
 FROM cells c
 JOIN value_totals v ON c.feature_index = v.feature_index AND c.value = v.value
 JOIN label_totals l ON c.feature_index = l.feature_index AND c.label = l.label
-CROSS JOIN total t
 GROUP BY c.feature_index""",
     "table_profile": "\nUNION ALL\n".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST({n} AS BIGINT) AS column_count FROM {name}"
