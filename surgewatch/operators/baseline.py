@@ -17,19 +17,19 @@ def latest_month(history: DataFrame, keys: Sequence[str] = ("client_id", "countr
 
 
 def latest_rows(history: DataFrame, keys: Sequence[str] = ("client_id", "country"), month: str = "month",
-                method: str = "join") -> DataFrame:
+                method: str = "window") -> DataFrame:
     """Every row of a key whose ``month`` equals the key's latest month.
 
     Duplicates of the latest month all stay (they multiply later joins, as the
     job does); rows with a NULL key or month never match.
 
-    ``method="join"`` (default): ``max`` per key with partial aggregation, then
-    an equi-join back. A key holding a large share of the rows is split by
-    AQE's skew-join handling, and the maxima side is broadcast when AQE sees it
-    is small.
-    ``method="window"``: ``rank()`` over the key, one scan and one shuffle, but
-    a key's rows all meet in one task; use it when rows per key are bounded
-    (e.g. history already aggregated per month).
+    ``method="window"`` (default): ``rank() == 1`` over the key: one scan and
+    one shuffle. Spark evaluates the rank filter inside each map task before
+    the shuffle as well (a partial ``WindowGroupLimit``), so a hot key ships
+    only its latest-month rows, which are all part of the result anyway.
+    ``method="join"``: ``max`` per key with partial aggregation, then an
+    equi-join back (the self-join form): two scans and more shuffles, but a
+    hot join key is split by AQE's skew-join handling.
     """
     if method == "window":
         win = Window.partitionBy(*keys).orderBy(F.col(month).desc())

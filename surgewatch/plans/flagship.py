@@ -27,7 +27,7 @@ DAYS_PER_MONTH = 30
 WINDOW_SECONDS = 24 * 3600
 
 
-def baseline_thresholds(history: DataFrame, thresholds: DataFrame, latest_method: str = "join",
+def baseline_thresholds(history: DataFrame, thresholds: DataFrame, latest_method: str = "window",
                         days_per_month: int = DAYS_PER_MONTH) -> DataFrame:
     latest = baseline.latest_rows(history, method=latest_method)
     daily = baseline.daily_rate(latest, days=days_per_month)
@@ -35,7 +35,7 @@ def baseline_thresholds(history: DataFrame, thresholds: DataFrame, latest_method
 
 
 def label_hourly(hourly: DataFrame, history: DataFrame, thresholds: DataFrame,
-                 window_seconds: int = WINDOW_SECONDS, latest_method: str = "join",
+                 window_seconds: int = WINDOW_SECONDS, latest_method: str = "window",
                  days_per_month: int = DAYS_PER_MONTH) -> DataFrame:
     """Label hourly sales (client_id, country, hour, amount) against the baseline."""
     last24 = rollup.trailing_sum(hourly, seconds=window_seconds)
@@ -45,7 +45,7 @@ def label_hourly(hourly: DataFrame, history: DataFrame, thresholds: DataFrame,
 
 def label_spikes(sales: DataFrame, history: DataFrame, thresholds: DataFrame,
                  anchor: str | None = DEFAULT_ANCHOR, lookback_days: int = DEFAULT_LOOKBACK_DAYS,
-                 window_seconds: int = WINDOW_SECONDS, latest_method: str = "join",
+                 window_seconds: int = WINDOW_SECONDS, latest_method: str = "window",
                  ts: str = "sold_at") -> DataFrame:
     """The whole job over flat sales rows (client_id, country, sold_at, amount).
 
