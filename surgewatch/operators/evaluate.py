@@ -40,3 +40,20 @@ def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("count").desc(), F.col("label").asc())
     return counts.withColumn("label_index", (F.row_number().over(order) - 1).cast("double"))
+
+
+def report(df: DataFrame, actual: str = "label", predicted: str = "predicted_label") -> DataFrame:
+    """The job's printed report as rows, one per actual class, in one aggregation.
+
+    label, count, correct, total, share_pct, recall_pct, accuracy_pct (the last
+    is the same on every row). The window spans the per-class rows only.
+    """
+    per = df.groupBy(F.col(actual).alias("label")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(F.col(actual) == F.col(predicted)).alias("correct"))
+    everything = Window.partitionBy(F.lit(0))
+    return (per.withColumn("total", F.sum("count").over(everything))
+            .withColumn("_right", F.sum("correct").over(everything))
+            .withColumn("share_pct", _pct("count", "total"))
+            .withColumn("recall_pct", _pct("correct", "count"))
+            .withColumn("accuracy_pct", _pct("_right", "total"))
+            .drop("_right"))

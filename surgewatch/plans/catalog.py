@@ -380,6 +380,19 @@ def eval_network(t: Tables) -> DataFrame:
     return evaluate.recall(scored)
 
 
+@query
+def spike_job(t: Tables) -> DataFrame:
+    """The main job end to end: labels, network, scoring, and its report per class."""
+    _, _, _, rep = flagship.run_job(t, FULL_ANCHOR, LOOKBACK_DAYS, TRAIN_ITERATIONS, SPLIT_SEED)
+    return rep
+
+
+@query
+def eval_report(t: Tables) -> DataFrame:
+    """The job's report on the rule prediction (exact oracle)."""
+    return evaluate.report(_rule_predicted(t))
+
+
 # ---- statistics -------------------------------------------------------------
 
 @query

@@ -74,3 +74,20 @@ def label_spikes_from_tables(t: Tables, anchor: str | None = DEFAULT_ANCHOR,
     hourly = fixtures.hourly_sales(t, sales_window(anchor, lookback_days))
     return label_hourly(hourly, fixtures.history(t), fixtures.thresholds(t, null_big_amount_region),
                         window_seconds, latest_method)
+
+
+def run_job(t: Tables, anchor: str = DEFAULT_ANCHOR, lookback_days: int = DEFAULT_LOOKBACK_DAYS,
+            iterations: int | None = None, seed: int | None = None):
+    """The whole job: label, split 20 / 80, train the 8-20-3 network on the 20 %, score the 80 %.
+
+    Returns (labelled rows, trained network, scored rows, report rows).
+    """
+    from surgewatch.operators import classify, evaluate
+
+    labelled = label_spikes_from_tables(t, anchor, lookback_days)
+    settings = classify.NetworkSettings(
+        inputs=len(classify.SPIKE_FEATURES), outputs=classify.JOB_OUTPUTS, hidden=classify.JOB_HIDDEN,
+        seed=seed, max_iter=iterations if iterations is not None else classify.DEFAULT_MAX_ITER)
+    net, test = classify.train_on_split(labelled, "label", classify.SPIKE_FEATURES, settings)
+    scored = net.classify(test)
+    return labelled, net, scored, evaluate.report(scored)

@@ -225,6 +225,14 @@ FROM ruled GROUP BY label""",
   CAST(count_if(label = predicted_label) AS BIGINT) AS correct,
   CAST(count_if(label = predicted_label) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100 AS recall_pct
 FROM ruled GROUP BY label""",
+    "eval_report": with_(*labelled_ctes(*FULL), RULE, """per AS (
+  SELECT label, count(*) AS count, CAST(count_if(label = predicted_label) AS BIGINT) AS correct
+  FROM ruled GROUP BY label)""") + """SELECT label, count, correct,
+  CAST(sum(count) OVER () AS BIGINT) AS total,
+  CAST(count AS DOUBLE) / CAST(sum(count) OVER () AS DOUBLE) * 100 AS share_pct,
+  CAST(correct AS DOUBLE) / CAST(count AS DOUBLE) * 100 AS recall_pct,
+  CAST(sum(correct) OVER () AS DOUBLE) / CAST(sum(count) OVER () AS DOUBLE) * 100 AS accuracy_pct
+FROM per""",
     "chi_square": with_(CHI) + """SELECT c.feature_index,
   CAST((count(DISTINCT c.value) - 1) * (count(DISTINCT c.label) - 1) AS BIGINT) AS degrees_of_freedom,
   round(sum(CAST(c.o AS DOUBLE) * CAST(c.o AS DOUBLE) / (CAST(v.r AS DOUBLE) * CAST(l.c AS DOUBLE)))

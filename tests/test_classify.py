@@ -68,3 +68,11 @@ def test_evaluation(spark):
     assert share == {"A": (2, 4, 50.0), "B": (1, 4, 25.0), "C": (1, 4, 25.0)}
     rec = {r.label: (r.total, r.correct, r.recall_pct) for r in evaluate.recall(df).collect()}
     assert rec == {"A": (2, 1, 50.0), "B": (1, 1, 100.0), "C": (1, 0, 0.0)}
+
+
+def test_report(spark):
+    df = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "B"), ("C", None)], "label string, predicted_label string")
+    rep = {r.label: (r["count"], r.correct, r.total, r.share_pct, r.recall_pct, r.accuracy_pct)
+           for r in evaluate.report(df).collect()}
+    assert rep == {"A": (2, 1, 4, 50.0, 50.0, 50.0), "B": (1, 1, 4, 25.0, 100.0, 50.0),
+                   "C": (1, 0, 4, 25.0, 0.0, 50.0)}
