@@ -85,3 +85,18 @@ def test_latest_methods_agree_on_history(spark):
 def test_duplicate_keys(spark):
     df = spark.createDataFrame(THR + THR + [("B", 1.0, 2.0, 3.0, 4.0)], THRESHOLD_SCHEMA)
     assert rows(baseline.duplicate_keys(df, ["country"]), "country", "count") == [("A", 2)]
+
+
+def test_flagship_unchanged_by_partitioning(spark):
+    from surgewatch.sources import fixtures
+    from surgewatch.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+
+    t = Tables(spark, SF_SMALL)
+    sales, hist, thr = fixtures.sales(t), fixtures.history(t), fixtures.thresholds(t)
+    cols = ("client_id", "country", "hour", "amount", "last24h_amount", "pct", "label")
+    base = rows(flagship.label_spikes(sales, hist, thr, anchor=None), *cols)
+    for n in (1, 7):
+        again = flagship.label_spikes(sales.repartition(n), hist.repartition(n), thr.repartition(n), anchor=None)
+        assert rows(again, *cols) == base
+    assert len(base) == 951
