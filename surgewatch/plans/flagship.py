@@ -71,6 +71,7 @@ def label_spikes_from_tables(t: Tables, anchor: str | None = DEFAULT_ANCHOR,
     The derived history holds one row per (client, country, month), so rows per
     key are bounded by the months and the latest row can be ranked in one pass.
     """
+    t.prefetch("events", "customer", "nation", "orders")
     hourly = fixtures.hourly_sales(t, sales_window(anchor, lookback_days))
     return label_hourly(hourly, fixtures.history(t), fixtures.thresholds(t, null_big_amount_region),
                         window_seconds, latest_method)

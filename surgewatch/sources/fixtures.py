@@ -47,6 +47,20 @@ class Tables:
             self._frames[name] = read_files(self.spark, self.path(name), self.format)
         return self._frames[name]
 
+    def prefetch(self, *names: str) -> Tables:
+        """Read several tables' schemas at once (each read is a small Spark job)."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        todo = [n for n in names if n not in self._frames]
+        if len(todo) > 1:
+            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+                for name, df in zip(todo, pool.map(lambda n: read_files(self.spark, self.path(n), self.format),
+                                                   todo)):
+                    self._frames[name] = df
+        for n in todo:
+            self[n]
+        return self
+
     def memo(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Build a derived frame once per instance (plans are reused, not cached)."""
         if key not in self._frames:
@@ -81,21 +95,26 @@ def _countries(t: Tables, key: str = "nationkey") -> DataFrame:
 
 
 def _client_countries(t: Tables) -> DataFrame:
-    """client_id -> country (customer x nation), broadcast only behind a row bound.
+    """client_id -> nation key (customer), broadcast only behind a row bound.
 
     Broadcast, it leaves the pre-summed fact side's partitioning in place (no
     shuffle before the re-aggregation); beyond the bound the join is a
     shuffle join on client_id, which the later groupings and windows reuse.
+    The nation names follow in a second join the planner broadcasts (25 rows).
     """
     def build() -> DataFrame:
         customer = t["customer"].select(F.col("c_custkey").alias("client_id"),
                                         F.col("c_nationkey").alias("nationkey"))
-        dim = customer.join(_countries(t), "nationkey").select("client_id", "country")
-        return broadcast_if_bounded(dim, DIMENSION_BROADCAST_ROWS)
+        return broadcast_if_bounded(customer, DIMENSION_BROADCAST_ROWS)
 
     return t.memo("client_countries", build)
 
 
+def _with_client_country(facts: DataFrame, t: Tables) -> DataFrame:
+    """Attach ``country`` to rows keyed by client_id: customer (bounded broadcast), then nation."""
+    return facts.join(_client_countries(t), "client_id").join(_countries(t), "nationkey").drop("nationkey")
+
+
 def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None,
           events: DataFrame | None = None) -> DataFrame:
     """Row-level sales: one row per event with its client's country.
@@ -108,7 +127,7 @@ def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None,
                                 F.col("ts").alias("sold_at"), F.col("value").alias("amount"))
     if where is not None:
         events = events.filter(where(events))
-    return (events.join(_client_countries(t), "client_id")
+    return (_with_client_country(events, t)
             .select("sale_id", "client_id", "country", "sold_at", "amount"))
 
 
@@ -136,7 +155,7 @@ def hourly_sales(t: Tables, where: Callable[[DataFrame], Column] | None = None)
         events = events.filter(where(events))
     hour = hour_bucket(F.col("sold_at"), column_type(events, "sold_at"))
     per_user = events.groupBy("client_id", hour.alias("hour")).agg(money.money_sum("amount").alias("part"))
-    return (per_user.join(_client_countries(t), "client_id")
+    return (_with_client_country(per_user, t)
             .groupBy("client_id", "country", "hour")
             .agg(money.to_double(money.resum("part")).alias("amount")))
 
@@ -146,7 +165,7 @@ def history(t: Tables) -> DataFrame:
     orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
     per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
-    return (per_client.join(_client_countries(t), "client_id")
+    return (_with_client_country(per_client, t)
             .groupBy("client_id", "country", "m")
             .agg((money.to_double(money.resum("part")) / F.lit(100)).alias("amount"))
             .select("client_id", "country", month_text(F.col("m")).alias("month"), "amount"))
@@ -173,8 +192,7 @@ def alerts(t: Tables) -> DataFrame:
     orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
     per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
-    customer = t["customer"].select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nationkey"))
-    per_nation = (per_client.join(customer, "client_id").groupBy("nationkey", "m")
+    per_nation = (per_client.join(_client_countries(t), "client_id").groupBy("nationkey", "m")
                   .agg(money.resum("part").alias("part")))
     return (per_nation.join(_countries(t), "nationkey")
             .groupBy(F.col("country").alias("country_code"), "m")
@@ -183,21 +201,24 @@ def alerts(t: Tables) -> DataFrame:
 
 
 def _agent_countries(t: Tables) -> DataFrame:
-    """agent_code -> country_code (supplier x nation), broadcast only behind a row bound."""
+    """agent_code -> nation key (supplier), broadcast only behind a row bound."""
     def build() -> DataFrame:
         supplier = t["supplier"].select(F.col("s_suppkey").alias("agent_code"),
                                         F.col("s_nationkey").alias("nationkey"))
-        dim = (supplier.join(_countries(t), "nationkey")
-               .select("agent_code", F.col("country").alias("country_code")))
-        return broadcast_if_bounded(dim, DIMENSION_BROADCAST_ROWS)
+        return broadcast_if_bounded(supplier, DIMENSION_BROADCAST_ROWS)
 
     return t.memo("agent_countries", build)
 
 
+def _with_agent_country(facts: DataFrame, t: Tables) -> DataFrame:
+    countries = _countries(t).withColumnRenamed("country", "country_code")
+    return facts.join(_agent_countries(t), "agent_code").join(countries, "nationkey").drop("nationkey")
+
+
 def monthly_sales(t: Tables) -> DataFrame:
     """One row per line item: the supplier as agent, its country, the ship month."""
     items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_of(F.col("l_shipdate")).alias("month"))
-    return items.join(_agent_countries(t), "agent_code").select("agent_code", "country_code", "month")
+    return _with_agent_country(items, t).select("agent_code", "country_code", "month")
 
 
 def monthly_sales_counted(t: Tables) -> DataFrame:
@@ -208,7 +229,7 @@ def monthly_sales_counted(t: Tables) -> DataFrame:
     """
     items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_index(F.col("l_shipdate")).alias("m"))
     per_agent = items.groupBy("agent_code", "m").agg(F.count(F.lit(1)).alias("rows"))
-    return (per_agent.join(_agent_countries(t), "agent_code")
+    return (_with_agent_country(per_agent, t)
             .select("agent_code", "country_code", month_text(F.col("m")).alias("month"), "rows"))
 
 
