@@ -1,6 +1,6 @@
 """The spike labelling job over a Structured Streaming source.
 
-    sales stream --watermark--> sliding 25 h windows, 1 h apart, per client and country
+    sales stream --watermark--> hourly sums (tumbling) --> sliding 25 h windows, 1 h apart
         sum over the window          = trailing 24 h total of the window's last hour
         sum over the window's last h = that hour's own bucket (NULL: no sale that hour)
     --> stream-static join with the baseline --> metrics, flags, label --> file sink
@@ -43,14 +43,24 @@ def event_time(col: Column, dtype: T.DataType) -> Column:
 def trailing_totals_stream(sales: DataFrame, watermark: str = "1 hour", hours: int = 24,
                            client: str = "client_id", country: str = "country",
                            ts: str = "sold_at", amount: str = "amount") -> DataFrame:
-    """Streaming rows of (client_id, country, hour, amount, last24h_amount), final hours only."""
+    """Streaming rows of (client_id, country, hour, amount, last24h_amount), final hours only.
+
+    Two chained stateful aggregations: events are first summed per hour
+    (tumbling window), then each hourly sum enters the ``hours + 1`` sliding
+    windows that contain it. The sliding fan-out is paid per client-hour, not
+    per event.
+    """
     dtype = column_type(sales, ts)
     df = sales.withColumn(EVENT_TIME, event_time(F.col(ts), dtype)).withWatermark(EVENT_TIME, watermark)
-    df = df.withColumn("w", F.window(EVENT_TIME, f"{hours + 1} hours", "1 hour"))
+    hourly = (df.groupBy(F.col(client).alias("client_id"), F.col(country).alias("country"),
+                         F.window(EVENT_TIME, "1 hour").alias("h"))
+              .agg(money.money_sum(amount).alias("_cents"))
+              .select("client_id", "country", F.window_time("h").alias(EVENT_TIME), "_cents"))
+    hourly = hourly.withColumn("w", F.window(EVENT_TIME, f"{hours + 1} hours", "1 hour"))
     last_hour = F.col(EVENT_TIME) >= F.col("w.end") - F.expr("INTERVAL 1 HOUR")
-    grouped = (df.groupBy(F.col(client).alias("client_id"), F.col(country).alias("country"), "w")
-               .agg(F.sum(F.when(last_hour, money.minor_units(amount))).alias("_own"),
-                    money.money_sum(amount).alias("_total")))
+    grouped = (hourly.groupBy("client_id", "country", "w")
+               .agg(F.sum(F.when(last_hour, F.col("_cents"))).alias("_own"),
+                    F.sum("_cents").alias("_total")))
     start = F.col("w.end") - F.expr("INTERVAL 1 HOUR")
     hour = hour_bucket(start, T.TimestampType())
     if isinstance(dtype, T.TimestampNTZType):
