@@ -409,6 +409,7 @@ def chi_square_test(t: Tables) -> DataFrame:
 
 @query
 def table_profile(t: Tables) -> DataFrame:
+    t.prefetch(*fixtures.TABLES)
     return tables.table_profile({name: t[name] for name in fixtures.TABLES})
 
 

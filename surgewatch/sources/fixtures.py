@@ -123,6 +123,7 @@ def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None,
     frame), so a time range reaches the parquet scan. ``events`` replaces the
     events table (e.g. by a streaming read of it).
     """
+    t.prefetch("events", "customer", "nation")
     events = (t["events"] if events is None else events).select(F.col("event_id").alias("sale_id"), F.col("user_id").alias("client_id"),
                                 F.col("ts").alias("sold_at"), F.col("value").alias("amount"))
     if where is not None:
@@ -149,6 +150,7 @@ def hourly_sales(t: Tables, where: Callable[[DataFrame], Column] | None = None)
     is attached and the sums are re-added, which keeps duplicate customer rows
     multiplying exactly as the row-level join would.
     """
+    t.prefetch("events", "customer", "nation")
     events = t["events"].select(F.col("user_id").alias("client_id"), F.col("ts").alias("sold_at"),
                                 F.col("value").alias("amount"))
     if where is not None:
@@ -162,6 +164,7 @@ def hourly_sales(t: Tables, where: Callable[[DataFrame], Column] | None = None)
 
 def history(t: Tables) -> DataFrame:
     """Monthly totals per client and country; ``amount`` is the month's sum / 100."""
+    t.prefetch("orders", "customer", "nation")
     orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
     per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
@@ -189,6 +192,7 @@ def thresholds(t: Tables, null_big_amount_region: int | None = None) -> DataFram
 
 def alerts(t: Tables) -> DataFrame:
     """Accumulated sales per country and month (orders pre-summed per client-month)."""
+    t.prefetch("orders", "customer", "nation")
     orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
     per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
@@ -217,6 +221,7 @@ def _with_agent_country(facts: DataFrame, t: Tables) -> DataFrame:
 
 def monthly_sales(t: Tables) -> DataFrame:
     """One row per line item: the supplier as agent, its country, the ship month."""
+    t.prefetch("lineitem", "supplier", "nation")
     items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_of(F.col("l_shipdate")).alias("month"))
     return _with_agent_country(items, t).select("agent_code", "country_code", "month")
 
@@ -227,6 +232,7 @@ def monthly_sales_counted(t: Tables) -> DataFrame:
     Line items are counted per (agent, month) before the dimension join, so
     the join and the shuffle carry counts, not line items.
     """
+    t.prefetch("lineitem", "supplier", "nation")
     items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_index(F.col("l_shipdate")).alias("m"))
     per_agent = items.groupBy("agent_code", "m").agg(F.count(F.lit(1)).alias("rows"))
     return (_with_agent_country(per_agent, t)
