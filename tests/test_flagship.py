@@ -100,3 +100,18 @@ def test_flagship_unchanged_by_partitioning(spark):
         again = flagship.label_spikes(sales.repartition(n), hist.repartition(n), thr.repartition(n), anchor=None)
         assert rows(again, *cols) == base
     assert len(base) == 951
+
+
+def test_co_partition_option_same_result(spark):
+    from surgewatch.sources import fixtures
+    from surgewatch.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+
+    t = Tables(spark, SF_SMALL)
+    sales, hist, thr = fixtures.sales(t), fixtures.history(t), fixtures.thresholds(t)
+    cols = ("client_id", "country", "hour", "amount", "last24h_amount", "pct", "label")
+    a = flagship.label_spikes(sales, hist, thr, anchor=None)
+    b = flagship.label_spikes(sales, hist, thr, anchor=None, co_partition=True)
+    assert rows(a, *cols) == rows(b, *cols)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(client_id") >= 1
