@@ -62,7 +62,10 @@ def sales_between(t: Tables, anchor: str, days: int, bounds: str) -> DataFrame:
 
 @query
 def scan_sales(t: Tables) -> DataFrame:
-    return fixtures.sales(t)
+    """Full scan of the sales through a wildcard, as of an index set (``sales-*``)."""
+    from surgewatch.sources.readers import read_files
+
+    return fixtures.sales(t, events=read_files(t.spark, f"{t.sf_dir}/events*.{t.format}", t.format))
 
 
 @query
