@@ -29,11 +29,13 @@ def thresholds(null_region: int | None = None) -> str:
   FROM nation)"""
 
 
-ALERTS = """alerts AS (
-  SELECT n.n_name AS country_code, substring(CAST(o.o_orderdate AS VARCHAR), 1, 7) AS month,
+ALERTS_SELECT = """SELECT n.n_name AS country_code, substring(CAST(o.o_orderdate AS VARCHAR), 1, 7) AS month,
          CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS accumulated_sales
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-  GROUP BY 1, 2)"""
+  GROUP BY 1, 2"""
+
+ALERTS = f"""alerts AS (
+  {ALERTS_SELECT})"""
 
 MONTHLY_SALES = """monthly_sales AS (
   SELECT l.l_suppkey AS agent_code, n.n_name AS country_code, substring(CAST(l.l_shipdate AS VARCHAR), 1, 7) AS month
@@ -244,6 +246,11 @@ GROUP BY c.feature_index""",
     "table_profile": "\nUNION ALL\n".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST({n} AS BIGINT) AS column_count FROM {name}"
         for name, n in TABLE_COLUMNS.items()),
+    "describe_schema": f"""SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name,
+  CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'bigint'
+       WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type,
+  "null" = 'YES' AS nullable
+FROM (DESCRIBE {ALERTS_SELECT})""",
     "export_restore": "SELECT * FROM events",
     "export_projected": """SELECT l_shipdate AS ticket_issueDate, l_extendedprice AS ticket_cashAmount,
   l_returnflag AS ticket_operationCode, l_suppkey AS ticket_agentNumericCode FROM lineitem""",
