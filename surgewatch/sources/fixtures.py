@@ -89,9 +89,22 @@ def month_of(col: Column) -> Column:
 DIMENSION_BROADCAST_ROWS = 2_000_000
 
 
+# Fixed bound for the nation dimension's broadcast.
+NATION_BROADCAST_ROWS = 10_000
+
+
 def _countries(t: Tables, key: str = "nationkey") -> DataFrame:
-    """nation key -> name. The file's size lets the planner broadcast it by itself."""
-    return t["nation"].select(F.col("n_nationkey").alias(key), F.col("n_name").alias("country"))
+    """nation key -> name, broadcast behind a bounded count (one check per query build).
+
+    Explicit, so that a cluster with automatic broadcasts switched off does not
+    shuffle fact rows by a 25-value key.
+    """
+    def build() -> DataFrame:
+        nation = t["nation"].select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("country"))
+        return broadcast_if_bounded(nation, NATION_BROADCAST_ROWS)
+
+    countries = t.memo("countries", build)
+    return countries if key == "nationkey" else countries.withColumnRenamed("nationkey", key)
 
 
 def _client_countries(t: Tables) -> DataFrame:
