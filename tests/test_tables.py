@@ -48,3 +48,17 @@ def test_copy_profile_schema(spark, tmp_dir):
     sch = tables.schema_rows(spark, t["nation"]).orderBy("position").collect()
     assert [(r.name, r.type, r.nullable) for r in sch] == [("n_nationkey", "int", True), ("n_name", "string", True),
                                                           ("n_regionkey", "int", True)]
+
+
+def test_dump_copy_export_restore(spark, tmp_dir):
+    from surgewatch.sources import dump
+
+    src = "/root/testdata/sf0.001"
+    assert dump.run(spark, "copy", src, f"{tmp_dir}/copy", ["nation", "region"]) == ["nation", "region"]
+    assert spark.read.parquet(f"{tmp_dir}/copy/nation").count() == 25
+    assert dump.run(spark, "export", f"{tmp_dir}/copy", f"{tmp_dir}/export") == ["nation", "region"]
+    assert dump.run(spark, "restore", f"{tmp_dir}/export", f"{tmp_dir}/restored") == ["nation", "region"]
+    back = spark.read.parquet(f"{tmp_dir}/restored/region")
+    orig = spark.read.parquet(f"{src}/region.parquet")
+    assert back.schema == orig.schema and back.exceptAll(orig).count() == 0 and orig.exceptAll(back).count() == 0
+    assert "events" in dump.folder_entries(spark, src) or "events.parquet" in dump.folder_entries(spark, src)
