@@ -115,3 +115,21 @@ def test_co_partition_option_same_result(spark):
     assert rows(a, *cols) == rows(b, *cols)
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(client_id") >= 1
+
+
+def test_iso_string_timestamps_same_labels(spark):
+    """Sales whose time is ISO text (as a document store returns it) label like typed timestamps."""
+    from pyspark.sql import functions as F
+
+    from surgewatch.sources import fixtures
+    from surgewatch.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+
+    t = Tables(spark, SF_SMALL)
+    sales, hist, thr = fixtures.sales(t), fixtures.history(t), fixtures.thresholds(t)
+    iso = sales.withColumn("sold_at", F.date_format("sold_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    cols = ("client_id", "country", "amount", "last24h_amount", "pct", "label")
+    typed = flagship.label_spikes(sales, hist, thr, anchor="2024-01-31T00:00:00", lookback_days=90)
+    text = flagship.label_spikes(iso, hist, thr, anchor="2024-01-31T00:00:00", lookback_days=90)
+    assert rows(text, *cols) == rows(typed, *cols)
+    assert text.schema["hour"].dataType.typeName() == "timestamp"
