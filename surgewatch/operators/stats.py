@@ -11,8 +11,9 @@ def chi_square(df: DataFrame, features: str = "features", label: str = "label",
                digits: int | None = None) -> DataFrame:
     """One row per feature: feature_index, p_value, degrees_of_freedom, statistic.
 
-    Counts per (feature, value, label) are aggregated on the executors; only
-    the contingency tables (bounded by Spark's category limit) reach the driver.
+    Spark ML counts (feature, value, label) triples with map-side combining;
+    each feature's contingency table is bounded by Spark's category limit
+    (a feature with more distinct values raises instead of growing).
     """
     out = ChiSquareTest.test(df, features, label, flatten=True)
     stat = F.col("statistic")
