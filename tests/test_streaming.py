@@ -31,3 +31,32 @@ def test_stream_equals_batch_on_final_hours(spark, tmp_dir):
     cols = ("client_id", "hour", "amount", "last24h_amount", "pct", "label")
     assert rows(got, *cols) == rows(want, *cols)
     assert got.count() > 20
+
+
+def test_stream_restart_from_checkpoint_no_duplicates(spark, tmp_dir):
+    base = datetime(2024, 1, 1)
+    first = [(1, "A", base + timedelta(minutes=20 * i), 2.0) for i in range(80)]
+    second = [(1, "A", base + timedelta(hours=27, minutes=20 * i), 3.0) for i in range(80)]
+    history = spark.createDataFrame([(1, "A", "2023-12", 30.0)], HISTORY_SCHEMA)
+    thresholds = spark.createDataFrame([("A", 1.0, 5.0, 10.0, 50.0)], THRESHOLD_SCHEMA)
+    bt = flagship.baseline_thresholds(history, thresholds)
+
+    def run_once():
+        stream = (spark.readStream.schema(SALES_SCHEMA).option("recursiveFileLookup", "true")
+                  .parquet(f"{tmp_dir}/in"))
+        q = spikes.start_to_files(spikes.label_stream(stream, bt, "1 hour"), f"{tmp_dir}/out", f"{tmp_dir}/ck")
+        q.awaitTermination()
+
+    spark.createDataFrame(first, SALES_SCHEMA).coalesce(1).write.parquet(f"{tmp_dir}/in/0")
+    run_once()
+    spark.createDataFrame(second, SALES_SCHEMA).coalesce(1).write.parquet(f"{tmp_dir}/in/1")
+    run_once()
+    run_once()                                     # nothing new: nothing written twice
+    got = spark.read.parquet(f"{tmp_dir}/out")
+    cols = ("client_id", "hour", "amount", "last24h_amount", "label")
+    assert got.count() == got.select(*cols).distinct().count()
+    want = flagship.label_spikes(spark.createDataFrame(first + second, SALES_SCHEMA), history, thresholds,
+                                 anchor=None)
+    last = max(r[2] for r in first + second) - timedelta(hours=1)
+    want = want.filter(want.hour <= last - timedelta(hours=1))
+    assert rows(got, *cols) == rows(want, *cols)
