@@ -1,0 +1 @@
+"""DataFrame -> DataFrame steps: rollups, baselines, labels, search, evaluation, statistics, classifier."""

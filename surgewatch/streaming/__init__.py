@@ -1,0 +1 @@
+"""The labelling job over a Structured Streaming source."""
