@@ -41,7 +41,8 @@ def hour_bucket(col: Column, dtype: T.DataType) -> Column:
     Equal to cutting the ISO text after the hour and reading it back. For
     ``timestamp_ntz`` the hour is rebuilt from its fields, so the result does
     not depend on the session time zone; ``date_trunc`` would turn it into an
-    instant.
+    instant. ISO text carrying a UTC offset is converted to the session time
+    zone first (cutting the text would keep the writer's local hour instead).
     """
     if isinstance(dtype, T.TimestampNTZType):
         return F.make_timestamp_ntz(
