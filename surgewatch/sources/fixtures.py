@@ -67,6 +67,18 @@ class Tables:
             self._frames[key] = build()
         return self._frames[key]
 
+    def warm(self, builds: dict[str, Callable[[], DataFrame]]) -> None:
+        """Build several memo entries at once (their bounded counts run as concurrent jobs)."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        todo = {k: b for k, b in builds.items() if k not in self._frames}
+        if len(todo) > 1:
+            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+                for key, df in zip(todo, pool.map(lambda b: b(), todo.values())):
+                    self._frames[key] = df
+        for key, build in todo.items():
+            self.memo(key, build)
+
 
 def month_index(col: Column) -> Column:
     """``year * 100 + month`` of a timestamp: a cheap, hashable grouping key."""
@@ -93,17 +105,18 @@ DIMENSION_BROADCAST_ROWS = 2_000_000
 NATION_BROADCAST_ROWS = 10_000
 
 
+def _build_countries(t: Tables) -> DataFrame:
+    nation = t["nation"].select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("country"))
+    return broadcast_if_bounded(nation, NATION_BROADCAST_ROWS)
+
+
 def _countries(t: Tables, key: str = "nationkey") -> DataFrame:
     """nation key -> name, broadcast behind a bounded count (one check per query build).
 
     Explicit, so that a cluster with automatic broadcasts switched off does not
     shuffle fact rows by a 25-value key.
     """
-    def build() -> DataFrame:
-        nation = t["nation"].select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("country"))
-        return broadcast_if_bounded(nation, NATION_BROADCAST_ROWS)
-
-    countries = t.memo("countries", build)
+    countries = t.memo("countries", lambda: _build_countries(t))
     return countries if key == "nationkey" else countries.withColumnRenamed("nationkey", key)
 
 
@@ -113,18 +126,19 @@ def _client_countries(t: Tables) -> DataFrame:
     Broadcast, it leaves the pre-summed fact side's partitioning in place (no
     shuffle before the re-aggregation); beyond the bound the join is a
     shuffle join on client_id, which the later groupings and windows reuse.
-    The nation names follow in a second join the planner broadcasts (25 rows).
+    The nation names follow in a second, equally bounded broadcast join (25 rows).
     """
-    def build() -> DataFrame:
-        customer = t["customer"].select(F.col("c_custkey").alias("client_id"),
-                                        F.col("c_nationkey").alias("nationkey"))
-        return broadcast_if_bounded(customer, DIMENSION_BROADCAST_ROWS)
+    return t.memo("client_countries", lambda: _build_clients(t))
 
-    return t.memo("client_countries", build)
+
+def _build_clients(t: Tables) -> DataFrame:
+    customer = t["customer"].select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nationkey"))
+    return broadcast_if_bounded(customer, DIMENSION_BROADCAST_ROWS)
 
 
 def _with_client_country(facts: DataFrame, t: Tables) -> DataFrame:
     """Attach ``country`` to rows keyed by client_id: customer (bounded broadcast), then nation."""
+    t.warm({"client_countries": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
     return facts.join(_client_countries(t), "client_id").join(_countries(t), "nationkey").drop("nationkey")
 
 
@@ -209,6 +223,7 @@ def alerts(t: Tables) -> DataFrame:
     orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
     per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
+    t.warm({"client_countries": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
     per_nation = (per_client.join(_client_countries(t), "client_id").groupBy("nationkey", "m")
                   .agg(money.resum("part").alias("part")))
     return (per_nation.join(_countries(t), "nationkey")
@@ -219,15 +234,16 @@ def alerts(t: Tables) -> DataFrame:
 
 def _agent_countries(t: Tables) -> DataFrame:
     """agent_code -> nation key (supplier), broadcast only behind a row bound."""
-    def build() -> DataFrame:
-        supplier = t["supplier"].select(F.col("s_suppkey").alias("agent_code"),
-                                        F.col("s_nationkey").alias("nationkey"))
-        return broadcast_if_bounded(supplier, DIMENSION_BROADCAST_ROWS)
+    return t.memo("agent_countries", lambda: _build_agents(t))
+
 
-    return t.memo("agent_countries", build)
+def _build_agents(t: Tables) -> DataFrame:
+    supplier = t["supplier"].select(F.col("s_suppkey").alias("agent_code"), F.col("s_nationkey").alias("nationkey"))
+    return broadcast_if_bounded(supplier, DIMENSION_BROADCAST_ROWS)
 
 
 def _with_agent_country(facts: DataFrame, t: Tables) -> DataFrame:
+    t.warm({"agent_countries": lambda: _build_agents(t), "countries": lambda: _build_countries(t)})
     countries = _countries(t).withColumnRenamed("country", "country_code")
     return facts.join(_agent_countries(t), "agent_code").join(countries, "nationkey").drop("nationkey")
 
