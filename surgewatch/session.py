@@ -42,6 +42,8 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     once the bound is passed. Beyond the bound the frame is returned as is and
     the planner (with AQE's runtime sizes) picks a shuffled join.
     """
+    if df.isStreaming:   # a stream has no size to prove; the planner decides
+        return df
     if max_rows > 0 and df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
