@@ -49,16 +49,10 @@ class Tables:
 
     def prefetch(self, *names: str) -> Tables:
         """Read several tables' schemas at once (each read is a small Spark job)."""
-        from concurrent.futures import ThreadPoolExecutor
-
         todo = [n for n in names if n not in self._frames]
-        if len(todo) > 1:
-            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
-                for name, df in zip(todo, pool.map(lambda n: read_files(self.spark, self.path(n), self.format),
-                                                   todo)):
-                    self._frames[name] = df
-        for n in todo:
-            self[n]
+        for name, df in zip(todo, _in_parallel([lambda n=n: read_files(self.spark, self.path(n), self.format)
+                                                for n in todo])):
+            self._frames[name] = df
         return self
 
     def memo(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -69,15 +63,19 @@ class Tables:
 
     def warm(self, builds: dict[str, Callable[[], DataFrame]]) -> None:
         """Build several memo entries at once (their bounded counts run as concurrent jobs)."""
-        from concurrent.futures import ThreadPoolExecutor
-
         todo = {k: b for k, b in builds.items() if k not in self._frames}
-        if len(todo) > 1:
-            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
-                for key, df in zip(todo, pool.map(lambda b: b(), todo.values())):
-                    self._frames[key] = df
-        for key, build in todo.items():
-            self.memo(key, build)
+        for key, df in zip(todo, _in_parallel(list(todo.values()))):
+            self._frames[key] = df
+
+
+def _in_parallel(jobs: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Run plan-building callables from threads, so their Spark jobs overlap."""
+    if len(jobs) <= 1:
+        return [job() for job in jobs]
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return list(pool.map(lambda job: job(), jobs))
 
 
 def month_index(col: Column) -> Column:
@@ -97,11 +95,8 @@ def month_of(col: Column) -> Column:
     return month_text(month_index(col))
 
 
-# Dimension rows broadcast to the fact side when proven to be at most this many.
-DIMENSION_BROADCAST_ROWS = 2_000_000
-
-
-# Fixed bound for the nation dimension's broadcast.
+# Row bounds under which dimensions are broadcast (checked by a bounded count).
+DIMENSION_BROADCAST_ROWS = 2_000_000     # customer / supplier keys
 NATION_BROADCAST_ROWS = 10_000
 
 
@@ -110,17 +105,16 @@ def _build_countries(t: Tables) -> DataFrame:
     return broadcast_if_bounded(nation, NATION_BROADCAST_ROWS)
 
 
-def _countries(t: Tables, key: str = "nationkey") -> DataFrame:
+def _countries(t: Tables) -> DataFrame:
     """nation key -> name, broadcast behind a bounded count (one check per query build).
 
     Explicit, so that a cluster with automatic broadcasts switched off does not
     shuffle fact rows by a 25-value key.
     """
-    countries = t.memo("countries", lambda: _build_countries(t))
-    return countries if key == "nationkey" else countries.withColumnRenamed("nationkey", key)
+    return t.memo("countries", lambda: _build_countries(t))
 
 
-def _client_countries(t: Tables) -> DataFrame:
+def _client_nations(t: Tables) -> DataFrame:
     """client_id -> nation key (customer), broadcast only behind a row bound.
 
     Broadcast, it leaves the pre-summed fact side's partitioning in place (no
@@ -128,7 +122,7 @@ def _client_countries(t: Tables) -> DataFrame:
     shuffle join on client_id, which the later groupings and windows reuse.
     The nation names follow in a second, equally bounded broadcast join (25 rows).
     """
-    return t.memo("client_countries", lambda: _build_clients(t))
+    return t.memo("client_nations", lambda: _build_clients(t))
 
 
 def _build_clients(t: Tables) -> DataFrame:
@@ -138,8 +132,8 @@ def _build_clients(t: Tables) -> DataFrame:
 
 def _with_client_country(facts: DataFrame, t: Tables) -> DataFrame:
     """Attach ``country`` to rows keyed by client_id: customer (bounded broadcast), then nation."""
-    t.warm({"client_countries": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
-    return facts.join(_client_countries(t), "client_id").join(_countries(t), "nationkey").drop("nationkey")
+    t.warm({"client_nations": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
+    return facts.join(_client_nations(t), "client_id").join(_countries(t), "nationkey").drop("nationkey")
 
 
 def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None,
@@ -223,8 +217,8 @@ def alerts(t: Tables) -> DataFrame:
     orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
     per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
-    t.warm({"client_countries": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
-    per_nation = (per_client.join(_client_countries(t), "client_id").groupBy("nationkey", "m")
+    t.warm({"client_nations": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
+    per_nation = (per_client.join(_client_nations(t), "client_id").groupBy("nationkey", "m")
                   .agg(money.resum("part").alias("part")))
     return (per_nation.join(_countries(t), "nationkey")
             .groupBy(F.col("country").alias("country_code"), "m")
@@ -232,9 +226,9 @@ def alerts(t: Tables) -> DataFrame:
             .select("country_code", month_text(F.col("m")).alias("month"), "accumulated_sales"))
 
 
-def _agent_countries(t: Tables) -> DataFrame:
+def _agent_nations(t: Tables) -> DataFrame:
     """agent_code -> nation key (supplier), broadcast only behind a row bound."""
-    return t.memo("agent_countries", lambda: _build_agents(t))
+    return t.memo("agent_nations", lambda: _build_agents(t))
 
 
 def _build_agents(t: Tables) -> DataFrame:
@@ -243,9 +237,9 @@ def _build_agents(t: Tables) -> DataFrame:
 
 
 def _with_agent_country(facts: DataFrame, t: Tables) -> DataFrame:
-    t.warm({"agent_countries": lambda: _build_agents(t), "countries": lambda: _build_countries(t)})
+    t.warm({"agent_nations": lambda: _build_agents(t), "countries": lambda: _build_countries(t)})
     countries = _countries(t).withColumnRenamed("country", "country_code")
-    return facts.join(_agent_countries(t), "agent_code").join(countries, "nationkey").drop("nationkey")
+    return facts.join(_agent_nations(t), "agent_code").join(countries, "nationkey").drop("nationkey")
 
 
 def monthly_sales(t: Tables) -> DataFrame:
