@@ -76,3 +76,16 @@ def test_report(spark):
            for r in evaluate.report(df).collect()}
     assert rep == {"A": (2, 1, 4, 50.0, 50.0, 50.0), "B": (1, 1, 4, 25.0, 100.0, 50.0),
                    "C": (1, 0, 4, 25.0, 0.0, 50.0)}
+
+
+def test_job_command_line(spark, tmp_dir, capsys):
+    from surgewatch.plans import job
+
+    job.main([SF_SMALL, f"{tmp_dir}/out", "2024-01-31T00:00:00", "--iterations", "10", "--seed", "3"])
+    report = spark.read.parquet(f"{tmp_dir}/out/report")
+    assert set(report.columns) >= {"label", "count", "correct", "share_pct", "recall_pct", "accuracy_pct"}
+    labelled = spark.read.parquet(f"{tmp_dir}/out/labelled").count()
+    scored = spark.read.parquet(f"{tmp_dir}/out/scored").count()
+    assert labelled == 951 and 0 < scored < labelled
+    assert report.agg(F.sum("count")).first()[0] == scored
+    assert "training error" in capsys.readouterr().out
