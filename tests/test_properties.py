@@ -53,3 +53,14 @@ def test_latest_rows_match_brute_force(spark, rows):
         got = sorted(tuple(r) for r in baseline.latest_rows(hist, method=method)
                      .select("client_id", "country", "month", "amount").collect())
         assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.integers(1, 6), min_size=1, max_size=80), st.integers(1, 100))
+def test_top_by_count_matches_ordered_limit(spark, counts, size):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(counts)), "client_id bigint, doc_count bigint").repartition(3)
+    want = [tuple(r) for r in df.orderBy(F.col("doc_count").desc(), "client_id").limit(size).collect()]
+    got = [tuple(r) for r in rollup.top_by_count(df, size, "client_id").collect()]
+    assert got == want
