@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgewatch.functions.timewin import column_type, day_range, lookback, relative_month
+from surgewatch.functions.timewin import column_type, day_range, relative_month
 from surgewatch.operators import baseline, classify, evaluate, labels, rollup, search, stats
 from surgewatch.plans import flagship
 from surgewatch.session import shared_dir
@@ -168,11 +168,9 @@ def spike_label_flat(t: Tables) -> DataFrame:
 @query
 def spike_label_nested(t: Tables) -> DataFrame:
     """The job over document-shaped sales, reading the nested ``details`` fields."""
-    docs = fixtures.sales_documents(t)
-    docs = docs.filter(lookback(docs["sold_at"], column_type(docs, "sold_at"), FULL_ANCHOR, LOOKBACK_DAYS))
-    hourly = rollup.hourly_sales(docs, client="details.client_id", country="details.country",
-                                 ts="sold_at", amount="details.amount")
-    return flagship.label_hourly(hourly, fixtures.history(t), fixtures.thresholds(t), latest_method="window")
+    return flagship.label_spikes(fixtures.sales_documents(t), fixtures.history(t), fixtures.thresholds(t),
+                                 anchor=FULL_ANCHOR, lookback_days=LOOKBACK_DAYS, client="details.client_id",
+                                 country="details.country", amount="details.amount")
 
 
 # ---- alerts examples -------------------------------------------------------

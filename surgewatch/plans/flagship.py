@@ -46,15 +46,19 @@ def label_hourly(hourly: DataFrame, history: DataFrame, thresholds: DataFrame,
 def label_spikes(sales: DataFrame, history: DataFrame, thresholds: DataFrame,
                  anchor: str | None = DEFAULT_ANCHOR, lookback_days: int = DEFAULT_LOOKBACK_DAYS,
                  window_seconds: int = WINDOW_SECONDS, latest_method: str = "window",
-                 ts: str = "sold_at", co_partition: bool = False) -> DataFrame:
-    """The whole job over flat sales rows (client_id, country, sold_at, amount).
+                 ts: str = "sold_at", co_partition: bool = False, client: str = "client_id",
+                 country: str = "country", amount: str = "amount") -> DataFrame:
+    """The whole job over sales rows: flat (client_id, country, sold_at, amount) by default.
 
+    Column names may be dotted paths into a document's nested struct
+    (``client="details.client_id"``). ``ts`` is a top-level column.
     ``anchor=None`` keeps all sales; otherwise ``[anchor - lookback_days, anchor)``.
     """
     if anchor is not None:
         sales = sales.filter(lookback(sales[ts], column_type(sales, ts), anchor, lookback_days, "[)"))
-    return label_hourly(rollup.hourly_sales(sales, ts=ts, co_partition=co_partition), history, thresholds,
-                        window_seconds, latest_method)
+    hourly = rollup.hourly_sales(sales, client=client, country=country, ts=ts, amount=amount,
+                                 co_partition=co_partition)
+    return label_hourly(hourly, history, thresholds, window_seconds, latest_method)
 
 
 def sales_window(anchor: str | None, lookback_days: int, bounds: str = "[)") -> Callable[[DataFrame], Column] | None:
