@@ -46,6 +46,20 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], format: str = "p
     return df
 
 
+def document_store_options(resource: str, options: Mapping[str, str] | None = None, query: str | None = None,
+                           query_option: str = "es.query", resource_option: str = "es.resource") -> dict[str, str]:
+    """The options of one document-store read: the caller's, plus resource and raw query.
+
+    A new dict per read: nothing goes into the session configuration, so two
+    reads with different queries cannot see each other's settings.
+    """
+    opts = dict(options or {})
+    opts[resource_option] = resource
+    if query is not None:
+        opts[query_option] = query
+    return opts
+
+
 def read_document_store(spark: SparkSession, resource: str, format: str,
                         options: Mapping[str, str] | None = None, query: str | None = None,
                         query_option: str = "es.query", resource_option: str = "es.resource",
@@ -57,10 +71,7 @@ def read_document_store(spark: SparkSession, resource: str, format: str,
     A raw store query can be passed through per read with ``query``; prefer a
     DataFrame ``filter``, which the connector receives as a pushed filter.
     """
-    opts = dict(options or {})
-    opts[resource_option] = resource
-    if query is not None:
-        opts[query_option] = query
+    opts = document_store_options(resource, options, query, query_option, resource_option)
     df = spark.read.format(format).options(**opts).load()
     if columns is not None:
         require_columns(df, columns)

@@ -47,3 +47,11 @@ def test_broadcast_if_bounded(spark, tmp_dir):
     spark.range(3).write.parquet(f"{tmp_dir}/s")
     stream = spark.readStream.schema("id long").parquet(f"{tmp_dir}/s")
     assert broadcast_if_bounded(stream, 10) is stream
+
+
+def test_document_store_options_per_read():
+    base = {"es.nodes": "h", "es.port": "9200"}
+    a = readers.document_store_options("sales-*", base, '{"match_all":{}}')
+    b = readers.document_store_options("sales-*", base)
+    assert a == {"es.nodes": "h", "es.port": "9200", "es.resource": "sales-*", "es.query": '{"match_all":{}}'}
+    assert "es.query" not in b and base == {"es.nodes": "h", "es.port": "9200"}   # caller's dict untouched
