@@ -81,3 +81,17 @@ def test_relative_month_and_day_range(spark):
     assert month == [2, 3, 4]
     assert month_open == [3, 4, 5]
     assert days == [1, 2]   # today's rows fall out with day-precision dates
+
+
+def test_invalid_arguments_raise(spark):
+    import pytest
+
+    from surgewatch.operators import baseline
+    from tests.helpers import HISTORY_SCHEMA
+
+    df = spark.createDataFrame([(datetime(2024, 1, 1),)], "ts timestamp_ntz")
+    with pytest.raises(ValueError, match="bounds"):
+        timewin.lookback(F.col("ts"), df.schema["ts"].dataType, "2024-01-02T00:00:00", 1, "[[")
+    hist = spark.createDataFrame([(1, "A", "2024-01", 1.0)], HISTORY_SCHEMA)
+    with pytest.raises(ValueError, match="method"):
+        baseline.latest_rows(hist, method="nope")
