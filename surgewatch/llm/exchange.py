@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,8 @@ from surgewatch.session import shared_dir
 
 CHUNK_BYTES = 8 << 20
 PACK_BYTES = 16 << 20
-CHUNK_SCHEMA = "chunk int, ids binary, lens binary, text binary"
+NO_ID = -(1 << 63)
+CHUNK_SCHEMA = "chunk int, ids binary, lens binary, text binary, rest binary"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -48,33 +50,35 @@ def chunk_count(spark: SparkSession, size: int, per_chunk: int = CHUNK_BYTES) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_chunk))
 
 
-def chunked(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunked(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", rest: list[str] | None = None) -> DataFrame:
     """Documents packed into rows of many texts each, dealt by a hash of the id.
 
-    A null text counts as empty. Rows without an id are dealt with id -1 below
-    every real id (the caller filters or documents them).
+    A null text counts as empty. Rows without an id are dealt with ``NO_ID``, below
+    every real id. ``rest`` names columns that travel along as they are.
     """
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int").alias("chunk"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = pa.schema([("chunk", pa.int32()), ("ids", pa.binary()), ("lens", pa.binary()), ("text", pa.binary())])
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       *[F.col(c).alias(f"rest_{i}") for i, c in enumerate(rest or [])])
+    schema = arrow_schema(CHUNK_SCHEMA)
+    names = [f"rest_{i}" for i in range(len(rest or []))]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
 
         def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            chunk = table["chunk"].to_numpy()
-            order = np.argsort(chunk, kind="stable")
+            order = np.argsort(table["chunk"].to_numpy(), kind="stable")
             table = table.take(pa.array(order))
             data, offsets = words.buffers(table["text"])
-            ids, chunk = table["id"].to_numpy(), chunk[order]
-            cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, int)
+            ids, chunk = table["id"].to_numpy(), table["chunk"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
             out = []
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(chunk)], strict=True):
+            for lo, hi in zip(cuts.tolist(), np.r_[cuts[1:], len(chunk)].tolist(), strict=True):
                 raw = data[offsets[lo]:offsets[hi]].tobytes()
                 out.append((int(chunk[lo]), ids[lo:hi].tobytes(), np.diff(offsets[lo:hi + 1]).tobytes(),
-                            codec.compress(raw, asbytes=True) if raw else b""))
+                            codec.compress(raw, asbytes=True) if raw else b"",
+                            _to_ipc(table.select(names).slice(lo, hi - lo)) if names else None))
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         held, size = [], 0
@@ -91,6 +95,13 @@ def chunked(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(pack, CHUNK_SCHEMA)
 
 
+def _to_ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 @dataclass
 class Texts:
     """The documents of one chunk, in the order of their ids."""
@@ -98,6 +109,7 @@ class Texts:
     ids: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
+    rest: pa.Table | None = None
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
@@ -126,7 +138,9 @@ def unpacked(table: pa.Table) -> Texts:
     if len(same):  # equal id and length: content decides, so that every run sees one order
         order = np.array(sorted(order.tolist(), key=lambda k: (all_ids[k], all_lens[k], raw[ends[k] - all_lens[k]:ends[k]])))
     data = np.frombuffer(b"".join(raw[ends[k] - all_lens[k]:ends[k]] for k in order.tolist()), np.uint8)
-    return Texts(all_ids[order], data, np.concatenate([[0], np.cumsum(all_lens[order])]).astype(np.int64))
+    rest = [pa.ipc.open_stream(x).read_all() for x in table["rest"].to_pylist() if x] if "rest" in table.column_names else []
+    return Texts(all_ids[order], data, np.concatenate([[0], np.cumsum(all_lens[order])]).astype(np.int64),
+                 pa.concat_tables(rest).take(pa.array(order)) if rest else None)
 
 
 # ---- keys: from chunks to buckets and back -------------------------------------------
@@ -177,6 +191,15 @@ def bucket_keys(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), at
 
 
+def distinct_pairs(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key, then owner, and the places in that order where a new (key, owner) begins."""
+    order = np.lexsort((owners, keys))
+    k, o = keys[order], owners[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    return order, np.flatnonzero(new)
+
+
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -209,3 +232,12 @@ def asked(chunks: DataFrame, ask: Callable, reply: Callable, tell: Callable, out
     requests = chunks.groupBy("chunk").applyInArrow(do_ask, REQUEST_SCHEMA)
     answers = requests.groupBy("bucket").applyInArrow(do_reply, ANSWER_SCHEMA)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(do_tell, out_ddl)
+
+
+def lowered(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case."""
+    array = pa.Array.from_buffers(pa.large_string(), len(texts.ids), [None, pa.py_buffer(np.ascontiguousarray(texts.offsets)), pa.py_buffer(texts.data)])
+    try:
+        return words.buffers(pc.utf8_lower(array))
+    except pa.ArrowInvalid:  # bytes that are not UTF-8
+        return words.buffers(pa.array([texts.text(i).decode("utf-8", "replace").lower() for i in range(len(texts.ids))], pa.large_string()))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgewatch.llm import substring
+from surgewatch.llm import decontaminate, langid, lines, neardup, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,8 +25,39 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which tiles cover half of a benchmark item or more, with the item."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a 20-word window that also starts earlier are removed."""
     out = substring.dedup(table(spark, sf_dir, "documents"), length=20, start=5, keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines within two edits (one for each 20 characters) of an earlier line are removed."""
+    out = lines.dedup(table(spark, sf_dir, "documents"), max_edits=2, chars_per_edit=20, keep_text=False)
+    return out.select("doc_id", "n_lines", "n_removed", "removed", "text_sha256")
+
+
+@query
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document: weighted Jaccard of five-word shingles of 0.8 or more."""
+    return neardup.classes(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from ``labels`` outside the held-out third."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by family, then one-versus-one SVMs."""
+    return langid.identify(table(spark, sf_dir, "documents"), max_rows=4000)

@@ -12,7 +12,7 @@ Levels below the last use 32 bits of a window's hash in each bucket (a false
 candidate costs work, not correctness); the last level decides on 128 bits.
 
 Defined cases: null or empty text has no words and keeps an empty text; fewer
-than ``length`` words: nothing is removed; a null id counts as -1; of rows that
+than ``length`` words: nothing is removed; rows with a null id count as one document below all others; of rows that
 share an id and start, none is earlier than the other, so repeated rows keep
 their first window; other columns, whatever their names, are ignored.
 """
@@ -132,7 +132,7 @@ def _done(texts: exchange.Texts, i: int, starts: np.ndarray, length: int, keep_t
         parts = [p for p, c in zip(parts, covered.tolist(), strict=True) if not c]
     kept = b" ".join(parts)
     doc = int(texts.ids[i])
-    return {"doc_id": None if doc == -1 else doc, "n_words": n, "n_removed": n - len(parts), "spans": spans,
+    return {"doc_id": None if doc == exchange.NO_ID else doc, "n_words": n, "n_removed": n - len(parts), "spans": spans,
             "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": None if not keep_text else kept.decode("utf-8", "replace")}
 
 
