@@ -10,11 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgewatch.llm import decontaminate, langid, lines, neardup, substring, toxicity
+from surgewatch.llm import ann, decontaminate, html, langid, lines, mixing, neardup, pii, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Parameters of the mixing query and stage: domains of the sources, weights by level of the tree, the whole budget.
+MIX = {
+    "domains": {f"src{i}": "web" if i < 8 else "books" if i < 14 else "code" for i in range(20)},
+    "weights": {"domain": {"web": 5, "books": 3, "code": 2}, "language": {"en": 4, "de": 2, "fr": 2, "es": 2}, "origin": {"src1": 3, "src9": 2}},
+    "numerator": 1, "denominator": 1, "max_epochs": 4, "seed": "mix-1",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +38,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
 
 
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs that meet the target weights of domains, languages and sources."""
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
+
+
+ORACLE["op2_mix_sources"] = mixing.oracle_sql(**MIX)
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a 20-word window that also starts earlier are removed."""
@@ -45,6 +61,28 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "removed", "text_sha256")
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without what recurs on its host."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+#: The key of the registered query alone; a deployment passes its own secret.
+PII_KEY = b"registered-query"
+
+
+@query
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced by keyed surrogates."""
+    return pii.anonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20)
+
+
 @query
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of every document: weighted Jaccard of five-word shingles of 0.8 or more."""

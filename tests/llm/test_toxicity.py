@@ -65,7 +65,7 @@ def test_identity_terms_do_not_move_the_score(spark):
 
 
 def test_edge_cases(spark):
-    df, labels, n = biased(spark, 120)
+    df, labels, n = biased(spark, 400)
     odd = docs(spark, [None, "", "scum " * 90_000, "ünï çödé"], first=9000).selectExpr("*")
     both = df.union(odd).selectExpr("*", "1 as id", "2 as held", "'t' as score")
     rows = {r.doc_id: r for r in toxicity.scored(both, labels.selectExpr("*", "doc_id as id")).collect()}
