@@ -22,6 +22,7 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from surgewatch.llm import exchange, linking, words
 
@@ -270,13 +272,14 @@ def decisions(candidates: DataFrame, max_edits: int, chars_per_edit: int) -> Dat
             keys, owners, own = segment_keys(chars, starts, ends, max_edits, chars_per_edit)
             order, at = exchange.distinct_pairs(keys, owners)
             mine = np.add.reduceat(own[order].astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[order][at].view(np.int64)), batch["sig"].take(pa.array(owners[order][at])), pa.array(mine)], names=["bucket", "node", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[order][at].view(np.int64)), batch["sig"].take(pa.array(owners[order][at])), pa.array(mine),
+                                              pa.array((ends - starts)[owners[order][at]].astype(np.int32))], names=["bucket", "node", "own", "info"])
 
-    members = exchange.saved(lines.mapInArrow(keys_of, "bucket bigint, node string, own boolean"), "segments")
+    members = exchange.saved(lines.mapInArrow(keys_of, "bucket bigint, node string, own boolean, info int"), "segments")
     # buckets that no line's own segment is in, or that one line has for itself, link nothing
     live = members.groupBy("bucket").agg(F.max("own").alias("own"), F.min("node").alias("x"), F.max("node").alias("y")).filter("own and x <> y").select("bucket")
-    members = members.join(live, "bucket").select("bucket", "node")
-    comps, _ = linking.link(members, lambda pairs: _near(pairs, lines, max_edits, chars_per_edit))
+    members = members.join(live, "bucket").select("bucket", "node", "info")
+    comps, _ = linking.link(members, lambda x, y: F.abs(x - y) <= max_edits, lambda pairs: _near(pairs, lines, max_edits, chars_per_edit))
     classed = lines.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("class"))
     keep = classed.groupBy("class").agg(F.min("first").alias("keep"))
     classed = classed.join(keep, "class").select("sig", "keep.doc", "keep.at")
@@ -284,14 +287,12 @@ def decisions(candidates: DataFrame, max_edits: int, chars_per_edit: int) -> Dat
 
 
 def dedup(docs: DataFrame, max_edits: int = 2, chars_per_edit: int = 20, id_col: str = "doc_id", text_col: str = "text",
-          rest: list[str] | None = None, keep_text: bool = True) -> DataFrame:
+          rest: list[str] | None = None, keep_text: bool = True, own_prefix: str = "") -> DataFrame:
     """One row per document: id, ``text`` without the removed lines, counts and numbers of removed lines.
 
-    ``rest`` names further columns to carry along. ``keep_text=False`` gives the text's
+    ``rest`` names further columns to carry along; ``own_prefix`` keeps the operator's columns apart from them. ``keep_text=False`` gives the text's
     SHA-256 alone. Kept lines are unchanged and joined by ``\\n``.
     """
-    import hashlib
-
     rest = rest or []
     spark = docs.sparkSession
     n = exchange.chunk_count(spark, exchange.text_bytes(docs, text_col))
@@ -301,7 +302,6 @@ def dedup(docs: DataFrame, max_edits: int = 2, chars_per_edit: int = 20, id_col:
     own = T.StructType.fromDDL("doc_id bigint, text string, text_sha256 string, n_lines bigint, n_removed bigint, removed array<int>")
     carried = [T.StructField(f"rest_{i}", docs.schema[c].dataType, True) for i, c in enumerate(rest)]
     out_schema = T.StructType([*own.fields, *carried])
-    from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(out_schema)
 
     def tell(key, table, answers):
@@ -341,4 +341,4 @@ def dedup(docs: DataFrame, max_edits: int = 2, chars_per_edit: int = 20, id_col:
 
     chunks = exchange.chunked(docs, n, id_col, text_col, rest)
     out = chunks.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(tell, out_schema)
-    return out.select(*own.names, *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)])
+    return out.select(*[F.col(c).alias(own_prefix + c) for c in own.names], *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)])

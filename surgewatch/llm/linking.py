@@ -1,18 +1,19 @@
 """From candidate buckets to classes: leaders, verified links, connected components.
 
 Nodes that share a bucket may be similar. All pairs of a bucket would be
-quadratic, so every node is first verified against its bucket's leader, and the
-components of those links are found. A pair inside one component can add
+quadratic, so every node is first verified against its bucket's leader (the node
+that shares most buckets with others), and the components of those links are found. A pair inside one component can add
 nothing. Buckets that still hold several components then get every pair across
 components verified (each node outside the bucket's main component against the
-whole bucket), so no link that the buckets propose is lost and no cap is set.
+whole bucket, where bounds on both allow a link), so no link that the buckets
+propose is lost and no cap is set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surgewatch.llm.exchange import saved
@@ -44,25 +45,31 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(e.select("lo", "lo").distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Classes and links of ``members`` (``bucket, node``): ``(node, comp)`` and ``(a, b)``.
+def link(members: DataFrame, possible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Classes and links of ``members`` (``bucket, node, info``): ``(node, comp)`` and ``(a, b)``.
 
-    Rows of ``members`` are distinct. ``verify`` takes distinct pairs ``(a, b)`` and returns those that are similar.
-    Nodes without a link are in no class.
+    Rows of ``members`` are distinct. ``possible`` tells from the ``info`` of two nodes
+    whether they can be similar at all. ``verify`` takes distinct pairs ``(a, b)`` and
+    returns those that are. Nodes without a link are in no class.
     """
-    shared = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other").select("bucket", "leader")
-    held = saved(members.join(shared, "bucket"), "buckets")
-    stars = held.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = saved(members.join(sizes, "bucket"), "buckets")
+    # the leader of a bucket is its node with the most company in all its buckets: the likeliest centre
+    company = held.groupBy("node").agg(F.sum("n").alias("company"))
+    leaders = (held.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node", "info")).alias("top"))
+               .select("bucket", F.col("top.node").alias("leader"), F.col("top.info").alias("leader_info")))
+    stars = held.join(saved(leaders, "leaders"), "bucket").filter(F.col("node") != F.col("leader")).filter(possible(F.col("info"), F.col("leader_info")))
+    stars = saved(stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "stars")
     links = saved(verify(stars), "pairs")
     comps = components(links)
 
-    now = held.select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    now = saved(now, "labelled")
+    now = saved(held.select("bucket", "node", "info").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
     per = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("main")).filter("parts > 1")
-    open_ = now.join(split.select("bucket", F.col("main.comp").alias("main")), "bucket")
-    out = open_.filter("comp <> main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    cross = out.join(open_, "bucket").filter("comp <> x_comp and (comp = main or x < node)")
+    open_ = now.join(saved(split.select("bucket", F.col("main.comp").alias("main")), "split"), "bucket")
+    out = open_.filter("comp <> main").select(F.col("bucket").alias("x_bucket"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("info").alias("x_info"))
+    cross = out.join(open_, (F.col("x_bucket") == F.col("bucket")) & (F.col("comp") != F.col("x_comp"))
+                     & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("node"))) & possible(F.col("x_info"), F.col("info")))
     pairs = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = saved(verify(pairs), "pairs")
     if more.isEmpty():

@@ -26,15 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surgewatch.llm import exchange, linking, words
+from surgewatch.llm.exchange import saved
 
 WIDTH = 5           # bytes of a shingle's hash that a bucket compares, besides the bucket itself
 TABLE = 1 << 16     # entries in the tables of random variates
 SEED = 20_17
-OUT = "doc_id bigint, sig string, bands array<bigint>, vector binary"
+OUT = "doc_id bigint, sig string, bands array<bigint>, vector binary, weight double, shared double"
 
 
 def shingles(texts: exchange.Texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,9 +127,9 @@ def sketched(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
         df = exchange.answered(answers, len(keys), keys, n, np.uint32)[place].astype(np.float64)
         weight = tf * (1.0 + (scale - np.log1p(df)) / scale)
         total = len(texts.ids)
-        shared = np.bincount(d, weight * (df > 1), total)
-        alive = (shared >= (threshold - 1e-9) * np.bincount(d, weight, total)) & (shared > 0)
-        out = [(int(texts.ids[i]), None, None, None) for i in np.flatnonzero(~alive)]
+        shared, whole = np.bincount(d, weight * (df > 1), total), np.bincount(d, weight, total)
+        alive = (shared >= (threshold - 1e-9) * whole) & (shared > 0)
+        out = [(int(texts.ids[i]), None, None, None, None, None) for i in np.flatnonzero(~alive)]
         on = alive[d]
         h, d, tf, weight = h[on], d[on], tf[on], weight[on]
         order = np.argsort(d, kind="stable")
@@ -143,11 +144,12 @@ def sketched(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
             once = words.mix(h + tf.astype(np.uint64) * words.MIX_1)
             sigs = np.add.reduceat(once, starts), np.add.reduceat(words.mix(once + words.MIX_2), starts)
             for i, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                out.append((int(texts.ids[d[lo]]), f"{int(sigs[0][i]):016x}{int(sigs[1][i]):016x}", keys[i].tolist(), _vector(h[lo:hi], weight[lo:hi])))
+                out.append((int(texts.ids[d[lo]]), f"{int(sigs[0][i]):016x}{int(sigs[1][i]):016x}", keys[i].tolist(), _vector(h[lo:hi], weight[lo:hi]),
+                            float(whole[d[lo]]), float(shared[d[lo]])))
         return out
 
     chunks = exchange.chunked(docs, n, id_col, text_col)
-    return exchange.saved(exchange.asked(chunks, ask, reply, tell, OUT), "sketches")
+    return saved(exchange.asked(chunks, ask, reply, tell, OUT), "sketches")
 
 
 def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4,
@@ -159,12 +161,12 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
     """
     rows_ = sketched(docs, shingle, threshold, bands, rows, id_col, text_col)
     live = rows_.filter(F.col("sig").isNotNull())
-    contents = live.groupBy("sig").agg(F.min("doc_id").alias("node"))
+    contents = saved(live.groupBy("sig").agg(F.min("doc_id").alias("node")), "signatures")
     # one vector for each content, and for each id if rows repeat it; joined on both columns, so that a
     # content of many copies is no hot key
     firsts = live.join(contents.withColumnRenamed("node", "doc_id"), ["sig", "doc_id"])
-    firsts = exchange.saved(firsts.groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("sig", "bands", "vector")).alias("v"))
-                            .select("node", "v.bands", "v.vector"), "contents")
+    firsts = saved(firsts.groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("sig", "bands", "vector", "weight", "shared")).alias("v"))
+                            .select("node", "v.bands", "v.vector", "v.weight", "v.shared"), "contents")
     vectors = firsts.select("node", "vector")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -178,8 +180,13 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
 
         return joined.mapInArrow(check, "a bigint, b bigint")
 
-    members = firsts.select(F.explode("bands").alias("bucket"), "node")
-    comps, links = linking.link(members, verify)
+    def possible(x: Column, y: Column) -> Column:
+        # a similarity of t takes a common weight of t / (1 + t) of both; no more than the shared weight can be common
+        need = (threshold / (1 + threshold) - 1e-7) * (x["weight"] + y["weight"])
+        return (x["shared"] >= need) & (y["shared"] >= need)
+
+    members = firsts.select(F.explode("bands").alias("bucket"), "node", F.struct("weight", "shared").alias("info"))
+    comps, links = linking.link(members, possible, verify)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     found = (live.select("doc_id", "sig").join(contents, "sig").join(comps, "node", "left").join(degree, "node", "left")
              .select("doc_id", F.coalesce("comp", "node").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")))
