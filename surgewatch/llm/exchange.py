@@ -24,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from surgewatch.llm import words
 from surgewatch.session import shared_dir
 
-CHUNK_BYTES = 8 << 20
-PACK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+PACK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 CHUNK_SCHEMA = "chunk int, ids binary, lens binary, text binary, rest binary"
 
@@ -206,8 +207,6 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
