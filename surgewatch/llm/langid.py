@@ -78,7 +78,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, starts if n else np.zeros(1, np.int64)
 
 
-def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
     seen = np.concatenate([[0], np.cumsum(_letters[data])])
     out = np.diff(seen[offsets]) > 0
@@ -126,9 +126,11 @@ class Model:
     def predict(self, texts: pa.Array) -> tuple[list[str], list[str | None], np.ndarray]:
         data, offsets = lowered(texts)
         n = len(offsets) - 1
-        letters = has_letter(texts, data, offsets) if self.families else np.zeros(n, bool)
+        letters = np.zeros(n, bool)
         margins = np.zeros((len(self.names), n))
         for lo, hi, part, offs in words.blocks(data, offsets):
+            if self.families:
+                letters[lo:hi] = has_letter(part, offs)
             f, starts = features(part, offs)
             count = np.maximum(1, np.diff(starts))
             full = np.flatnonzero(np.diff(starts) > 0)
