@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surgewatch.session import broadcast_if_bounded
+from surgewatch.session import broadcast_if_small
 
 
 def latest_month(history: DataFrame, keys: Sequence[str] = ("client_id", "country"),
@@ -57,9 +57,9 @@ def with_thresholds(baseline: DataFrame, thresholds: DataFrame, on: str = "count
                     keys: Sequence[str] = ("client_id", "country"), value: str = "daily_amount") -> DataFrame:
     """Attach the country's thresholds (inner join; a duplicated country multiplies rows).
 
-    The thresholds are broadcast only after a bounded count proves them small.
+    The thresholds are broadcast only after a count proves them small.
     """
-    small = broadcast_if_bounded(thresholds.select(on, *THRESHOLD_COLUMNS), max_threshold_rows)
+    small = broadcast_if_small(thresholds.select(on, *THRESHOLD_COLUMNS), max_threshold_rows)
     return baseline.join(small, on).select(*keys, value, *THRESHOLD_COLUMNS)
 
 

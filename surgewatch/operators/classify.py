@@ -17,7 +17,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surgewatch.session import ensure_checkpoint_dir
+from surgewatch.session import checkpointed
 
 # The job's inputs, in order, and the network defaults.
 SPIKE_FEATURES = ("last24h_amount", "daily_amount", "spike_amount", "big_spike_amount",
@@ -42,7 +42,6 @@ class NetworkSettings:
     seed: int | None = None
     block_size: int = DEFAULT_BLOCK_SIZE
     max_iter: int = DEFAULT_MAX_ITER
-    checkpoint_input: bool = True
     resolved_seed: int = field(init=False)
 
     def __post_init__(self):
@@ -72,32 +71,26 @@ class TrainedNetwork:
         return self.model.transform(df)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written rows.
-
-    The plan's lineage ends at the written files: a lost executor re-reads
-    them instead of recomputing the plan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def split_by_key(df: DataFrame, keys, share_pct: float = 20.0, out: str = "part") -> DataFrame:
     """Portable split: ``train`` when the first md5 byte of the key is below share * 256.
 
     The same rows land in the same part in any engine and any partitioning;
-    every row is kept.
+    every row is kept. ``keys`` are column names or expressions.
     """
     bound = format(round(share_pct / 100 * 256), "02x")
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
     return df.withColumn(out, F.when(F.substring(F.md5(text), 1, 2) < F.lit(bound), F.lit("train"))
                          .otherwise(F.lit("test")))
 
 
 def split_random(df: DataFrame, train_share: float = JOB_TRAIN_SHARE, seed: int | None = None):
-    """``randomSplit([train_share, 1 - train_share], seed)`` -> (train, test)."""
+    """``randomSplit([train_share, 1 - train_share], seed)`` -> (train, test).
+
+    The rows are checkpointed first: both parts are drawn from the same written
+    rows, so no row falls into both or neither.
+    """
     seed = int(time.time() * 1000) if seed is None else seed
-    train, test = df.randomSplit([train_share, 1 - train_share], seed)
+    train, test = checkpointed(df).randomSplit([train_share, 1 - train_share], seed)
     return train, test
 
 
@@ -112,10 +105,11 @@ def train_network(df: DataFrame, label_col: str, feature_cols, settings: Network
 
     Raises ``ValueError`` before fitting when there are more labels than output
     neurons. Feature NULLs raise in the assembler: drop or impute them first.
-    The training rows are checkpointed to the shared checkpoint folder (lineage
-    cut, so a lost executor re-reads them instead of recomputing the chain) and
-    persisted for the iterations.
+    The rows are checkpointed to the shared checkpoint folder before the split
+    (the indexer, both parts and a lost executor's recovery all read the same
+    written rows); the training part is persisted for the iterations.
     """
+    df = checkpointed(df)
     feature_cols = list(feature_cols)
     if len(feature_cols) != settings.inputs:
         raise ValueError(f"{len(feature_cols)} feature columns for {settings.inputs} input neurons")
@@ -125,8 +119,6 @@ def train_network(df: DataFrame, label_col: str, feature_cols, settings: Network
         raise ValueError(f"{len(labels)} labels {labels} but only {settings.outputs} output neurons")
     held = settings.held_out_pct / 100
     train, test = df.randomSplit([1 - held, held], settings.resolved_seed)
-    if settings.checkpoint_input:
-        train = checkpointed(train)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="error"),
@@ -149,16 +141,16 @@ def train_network(df: DataFrame, label_col: str, feature_cols, settings: Network
 
 
 def train_on_split(labelled: DataFrame, label_col: str, feature_cols, settings: NetworkSettings,
-                   train_share: float = JOB_TRAIN_SHARE) -> tuple[TrainedNetwork, DataFrame]:
-    """The job's flow: cut the labelled rows' lineage once, split, train, return the scoring part.
+                   train_share: float = JOB_TRAIN_SHARE, keys: list | None = None) -> tuple[TrainedNetwork, DataFrame]:
+    """The job's flow: split 20 / 80, train, return the scoring part.
 
-    The labelled rows are checkpointed to the shared checkpoint folder, so the
-    split, the indexer fit, the iterations and the scoring all read the same
-    materialised rows (and survive a lost executor) instead of recomputing the
-    labelling chain for each.
+    The labelled rows are checkpointed before the split, so the labelling chain
+    runs once. With ``keys`` the parts are those of :func:`split_by_key` (the
+    same rows in any engine), else a random split.
     """
-    labelled = checkpointed(labelled)
-    train, test = split_random(labelled, train_share, settings.resolved_seed)
-    inner = NetworkSettings(settings.inputs, settings.outputs, settings.hidden, settings.held_out_pct,
-                            settings.resolved_seed, settings.block_size, settings.max_iter, checkpoint_input=False)
-    return train_network(train, label_col, feature_cols, inner), test
+    if keys is None:
+        train, test = split_random(labelled, train_share, settings.resolved_seed)
+    else:
+        parts = split_by_key(checkpointed(labelled), keys, 100 * train_share, "_part")
+        train, test = (parts.filter(F.col("_part") == p).drop("_part") for p in ("train", "test"))
+    return train_network(train, label_col, feature_cols, settings), test

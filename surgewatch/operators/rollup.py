@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from surgewatch.functions import money
 from surgewatch.functions.timewin import column_type, epoch_seconds, hour_bucket
+from surgewatch.session import checkpointed
 
 
 def with_hour(df: DataFrame, ts: str = "sold_at", out: str = "hour") -> DataFrame:
@@ -17,11 +18,13 @@ def with_hour(df: DataFrame, ts: str = "sold_at", out: str = "hour") -> DataFram
 
 
 def hourly_sales(sales: DataFrame, client: str = "client_id", country: str = "country",
-                 ts: str = "sold_at", amount: str = "amount", co_partition: bool = False) -> DataFrame:
+                 ts: str = "sold_at", amount: str = "amount", co_partition: bool = False,
+                 scale: int | None = None) -> DataFrame:
     """Sum of ``amount`` per client, country and hour -> client_id, country, hour, amount.
 
     Partial sums are built before the shuffle, so a hot client ships at most
-    one row per hour per task; the sum is exact and returned as double.
+    one row per hour per task. The sum has the amount's own type; with ``scale``
+    it is exact for that many decimals and double (see ``functions.money``).
 
     ``co_partition=True`` shuffles the raw rows by (client, country) first, so
     the sums and the trailing window share one exchange instead of two. It
@@ -31,11 +34,12 @@ def hourly_sales(sales: DataFrame, client: str = "client_id", country: str = "co
         sales = sales.repartition(F.col(client), F.col(country))
     hour = hour_bucket(F.col(ts), column_type(sales, ts))
     return (sales.groupBy(F.col(client).alias("client_id"), F.col(country).alias("country"), hour.alias("hour"))
-            .agg(money.to_double(money.money_sum(amount)).alias("amount")))
+            .agg(money.amount_sum(amount, scale).alias("amount")))
 
 
 def trailing_sum(hourly: DataFrame, seconds: int = 24 * 3600, keys: Sequence[str] = ("client_id", "country"),
-                 hour: str = "hour", amount: str = "amount", out: str = "last24h_amount") -> DataFrame:
+                 hour: str = "hour", amount: str = "amount", out: str = "last24h_amount",
+                 scale: int | None = None) -> DataFrame:
     """Total of the buckets whose start lies in ``[hour - seconds, hour]`` per key.
 
     Value-based range with both ends included: with hourly buckets the default
@@ -45,8 +49,9 @@ def trailing_sum(hourly: DataFrame, seconds: int = 24 * 3600, keys: Sequence[str
     """
     epoch = epoch_seconds(F.col(hour), column_type(hourly, hour))
     win = Window.partitionBy(*keys).orderBy(epoch).rangeBetween(-seconds, 0)
-    total = money.money_sum(amount).over(win)
-    return hourly.withColumn(out, money.to_double(total))
+    if scale is None:
+        return hourly.withColumn(out, F.sum(amount).over(win))
+    return hourly.withColumn(out, money.to_double(money.money_sum(amount, scale).over(win), scale))
 
 
 def top_by_count(buckets: DataFrame, size: int, key: str, count: str = "doc_count") -> DataFrame:
@@ -67,7 +72,7 @@ def top_by_count(buckets: DataFrame, size: int, key: str, count: str = "doc_coun
 
 
 def client_buckets(sales: DataFrame, key: str = "client_id", amount: str = "amount",
-                   size: int = 100_000, where: Column | None = None) -> DataFrame:
+                   size: int = 100_000, where: Column | None = None, scale: int | None = None) -> DataFrame:
     """Terms buckets: rows and summed amount per key, most rows first, at most ``size``.
 
     Ties are broken by the key, so the top ``size`` is deterministic. The limit
@@ -75,9 +80,13 @@ def client_buckets(sales: DataFrame, key: str = "client_id", amount: str = "amou
     """
     if where is not None:
         sales = sales.filter(where)
-    buckets = sales.groupBy(key).agg(F.count(F.lit(1)).alias("doc_count"),
-                                     money.to_double(money.money_sum(amount)).alias("amount"))
-    return top_by_count(buckets, size, key)
+    return top_buckets(sales.groupBy(key).agg(F.count(F.lit(1)).alias("doc_count"),
+                                              money.amount_sum(amount, scale).alias("amount")), size, key)
+
+
+def top_buckets(buckets: DataFrame, size: int, key: str, count: str = "doc_count") -> DataFrame:
+    """The top of buckets that are written once (to the shared checkpoint folder), not computed twice."""
+    return top_by_count(checkpointed(buckets), size, key, count)
 
 
 def grouped_count(df: DataFrame, keys: Sequence[str], keep: Sequence[str] | None = None,
@@ -92,15 +101,14 @@ def grouped_count(df: DataFrame, keys: Sequence[str], keep: Sequence[str] | None
 
 
 def two_sums(df: DataFrame, key: str, first: str, second: str, names: tuple[str, str],
-             key_name: str | None = None, scales: tuple[int, int] = (2, 2)) -> DataFrame:
-    """Two exact sums per key over (possibly nested) amount fields.
+             key_name: str | None = None, scales: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Two sums per key over (possibly nested) amount fields (exact where a scale is given).
 
     Equal to ``groupBy(key).sum(first, second)``, whose automatic column names
     (``sum(ticket.cashAmount)``-like) are replaced by ``names``.
     """
     return df.groupBy(F.col(key).alias(key_name or key.split(".")[-1])).agg(
-        money.to_double(money.money_sum(first, scales[0]), scales[0]).alias(names[0]),
-        money.to_double(money.money_sum(second, scales[1]), scales[1]).alias(names[1]))
+        money.amount_sum(first, scales[0]).alias(names[0]), money.amount_sum(second, scales[1]).alias(names[1]))
 
 
 def summary(df: DataFrame, fields: Sequence[str], digits: int | None = 4) -> DataFrame:

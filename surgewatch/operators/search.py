@@ -14,11 +14,14 @@ def match_any(df: DataFrame, terms: Mapping[str, object], order_key: str, size:
     ``score`` counts the matched terms (a stand-in for a store's relevance
     score); ties go by ``order_key``. The top ``size`` is the feature.
     """
-    score = None
+    score = wanted = None
     for col, value in terms.items():
-        hit = F.coalesce((F.col(col) == F.lit(value)).cast("int"), F.lit(0))
+        equal = F.col(col) == F.lit(value)
+        hit = F.coalesce(equal.cast("int"), F.lit(0))
         score = hit if score is None else score + hit
-    return (df.withColumn("score", score.cast("bigint")).filter(F.col("score") > 0)
+        wanted = equal if wanted is None else wanted | equal
+    # the plain predicate first: the scan can take it, a computed score it cannot
+    return (df.filter(wanted).withColumn("score", score.cast("bigint"))
             .orderBy(F.col("score").desc(), F.col(order_key).asc()).limit(size))
 
 

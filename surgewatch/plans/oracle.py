@@ -126,6 +126,7 @@ ORACLE: dict[str, str] = {
     "latest_month": with_(HISTORY) + "SELECT client_id, country, max(month) AS month FROM history GROUP BY 1, 2",
     "latest_history": with_(HISTORY, LATEST) + "SELECT * FROM latest",
     "latest_history_rank": with_(HISTORY, LATEST) + "SELECT * FROM latest",
+    "latest_history_join": with_(HISTORY, LATEST) + "SELECT * FROM latest",
     "daily_baseline": with_(HISTORY, LATEST, BASELINE) + "SELECT * FROM baseline",
     "baseline_thresholds": with_(HISTORY, LATEST, BASELINE, thresholds(), BT) + "SELECT * FROM bt",
     "spike_metrics": with_(SALES, hourly(window(*FULL)), LAST24, HISTORY, LATEST, BASELINE,
@@ -246,22 +247,68 @@ GROUP BY c.feature_index""",
     "table_profile": "\nUNION ALL\n".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST({n} AS BIGINT) AS column_count FROM {name}"
         for name, n in TABLE_COLUMNS.items()),
-    "describe_schema": f"""SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name,
-  CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'bigint'
-       WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type,
-  "null" = 'YES' AS nullable
-FROM (DESCRIBE {ALERTS_SELECT})""",
-    "export_restore": "SELECT * FROM events",
     "export_projected": """SELECT l_shipdate AS ticket_issueDate, l_extendedprice AS ticket_cashAmount,
   l_returnflag AS ticket_operationCode, l_suppkey AS ticket_agentNumericCode FROM lineitem""",
-    "copy_tables": "SELECT * FROM orders",
 })
 
 
-ORACLE["spike_label_stream"] = labelled(*FULL) + """SELECT * FROM labelled
-WHERE hour + INTERVAL 1 HOUR <= (
-  SELECT date_trunc('second', max(sold_at)) - INTERVAL 1 HOUR FROM sales
-  WHERE sold_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 90 DAYS AND sold_at < TIMESTAMP '2024-01-31 00:00:00')"""
+def part(ctes: str, which: str) -> str:
+    """The labelled rows of one part of the split by key."""
+    return ctes.rstrip() + f""",
+parted AS (SELECT *, CASE WHEN substring(md5(concat_ws('|', CAST(client_id AS VARCHAR), country,
+    CAST(CAST(epoch(hour) AS BIGINT) AS VARCHAR))), 1, 2) < '33' THEN 'train' ELSE 'test' END AS part FROM labelled),
+chosen AS (SELECT * FROM parted WHERE part = '{which}')
+"""
+
+
+TEST_PART, TRAIN_PART = part(LABELLED_FULL, "test"), part(LABELLED_FULL, "train")
+
+# The network's weights are not pinned: its keys state the scored rows, and checks that must be true.
+ORACLE.update({
+    "split_random": LABELLED_FULL + "SELECT client_id, country, hour, label FROM labelled",
+    "classify_spikes": TEST_PART + "SELECT client_id, country, hour, label, TRUE AS known FROM chosen",
+    "training_error": TRAIN_PART + """SELECT string_agg(label, ',' ORDER BY n DESC, label) AS labels, TRUE AS whole, TRUE AS under_half
+FROM (SELECT label, count(*) AS n FROM chosen GROUP BY label)""",
+    "eval_network": TEST_PART + "SELECT label, count(*) AS total, TRUE AS in_range FROM chosen GROUP BY label",
+    "spike_job": TEST_PART + """SELECT label, count(*) AS count, CAST(sum(count(*)) OVER () AS BIGINT) AS total,
+  CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100 AS share_pct, TRUE AS at_least_majority
+FROM chosen GROUP BY label""",
+})
+
+
+# The driver's tables, each column as kind:name (i whole, f fraction, s text, t time, a array of fractions).
+TABLE_FIELDS = {
+    "region": "i:r_regionkey s:r_name",
+    "nation": "i:n_nationkey s:n_name i:n_regionkey",
+    "customer": "i:c_custkey s:c_name i:c_nationkey f:c_acctbal s:c_mktsegment",
+    "supplier": "i:s_suppkey s:s_name i:s_nationkey f:s_acctbal",
+    "part": "i:p_partkey s:p_name s:p_brand s:p_type i:p_size f:p_retailprice",
+    "orders": "i:o_orderkey i:o_custkey s:o_orderstatus f:o_totalprice t:o_orderdate s:o_orderpriority",
+    "lineitem": "i:l_orderkey i:l_partkey i:l_suppkey i:l_linenumber f:l_quantity f:l_extendedprice f:l_discount f:l_tax "
+                "s:l_returnflag s:l_linestatus t:l_shipdate",
+    "events": "i:event_id t:ts i:user_id s:event_type f:value s:props",
+    "documents": "i:doc_id s:text s:lang s:source i:n_chars",
+    "embeddings": "i:vec_id a:embedding i:label",
+    "pages": "i:page_id s:url s:html",
+    "benchmark": "i:item_id s:text",
+    "labels": "i:doc_id i:quality i:toxic",
+    "conversations": "i:conv_id i:turn s:role s:text",
+}
+VALUE_TEXT = {
+    "i": "CAST({0} AS VARCHAR)", "s": "{0}", "f": "CAST(CAST(floor({0} * 1000000.0::DOUBLE) AS BIGINT) AS VARCHAR)",
+    "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')",
+    "a": "concat(CAST(len({0}) AS VARCHAR), ':', CAST(CAST(coalesce(list_sum("
+         "[CAST(floor(CAST(e AS DOUBLE) * 1000000.0::DOUBLE) AS BIGINT) for e in {0}]), 0) AS BIGINT) AS VARCHAR))",
+}
+
+
+def sums(table: str, fields: str) -> str:
+    texts = ", ".join(f"coalesce({VALUE_TEXT[kind].format(name)}, '~')" for kind, name in (f.split(":") for f in fields.split()))
+    return (f"SELECT '{table}' AS table_name, count(*) AS row_count, "
+            f"CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws('|', {texts})), 1, 8) AS BIGINT)), 0) AS BIGINT) AS content_sum FROM {table}")
+
+
+ORACLE["copy_tables"] = ORACLE["export_restore"] = "\nUNION ALL\n".join(sums(t, f) for t, f in TABLE_FIELDS.items())
 
 
 def oracle_sql() -> dict[str, str]:

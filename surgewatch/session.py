@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="surgewatch-")
         spark.sparkContext.setCheckpointDir(base)
@@ -35,15 +36,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only when the frame is proven to hold at most ``max_rows``.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the written rows.
 
-    The proof is a ``limit(max_rows + 1).count()`` job, which stops reading
-    once the bound is passed. Beyond the bound the frame is returned as is and
-    the planner (with AQE's runtime sizes) picks a shuffled join.
+    The plan's lineage ends at the written files: a lost executor re-reads
+    them instead of recomputing the plan.
     """
-    if df.isStreaming:   # a stream has no size to prove; the planner decides
-        return df
-    if max_rows > 0 and df.limit(max_rows + 1).count() <= max_rows:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Hint a broadcast only when counting proves that the frame holds at most ``max_rows``.
+
+    The proof is a plain ``count()``: one number from each task. Meant for tables
+    that are small by nature (countries, thresholds); larger dimensions get no
+    hint, so Spark's own size threshold and AQE decide on bytes.
+    """
+    if not df.isStreaming and 0 < max_rows and df.count() <= max_rows:
         return F.broadcast(df)
     return df

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from surgewatch.functions import money
 from surgewatch.functions.timewin import column_type, hour_bucket
-from surgewatch.session import broadcast_if_bounded
+from surgewatch.session import broadcast_if_small
 from surgewatch.sources.readers import read_files
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -61,12 +61,6 @@ class Tables:
             self._frames[key] = build()
         return self._frames[key]
 
-    def warm(self, builds: dict[str, Callable[[], DataFrame]]) -> None:
-        """Build several memo entries at once (their bounded counts run as concurrent jobs)."""
-        todo = {k: b for k, b in builds.items() if k not in self._frames}
-        for key, df in zip(todo, _in_parallel(list(todo.values()))):
-            self._frames[key] = df
-
 
 def _in_parallel(jobs: list[Callable[[], DataFrame]]) -> list[DataFrame]:
     """Run plan-building callables from threads, so their Spark jobs overlap."""
@@ -95,61 +89,69 @@ def month_of(col: Column) -> Column:
     return month_text(month_index(col))
 
 
-# Row bounds under which dimensions are broadcast (checked by a bounded count).
-DIMENSION_BROADCAST_ROWS = 2_000_000     # customer / supplier keys
 NATION_BROADCAST_ROWS = 10_000
-
-
-def _build_countries(t: Tables) -> DataFrame:
-    nation = t["nation"].select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("country"))
-    return broadcast_if_bounded(nation, NATION_BROADCAST_ROWS)
+SCALE = 2      # decimals of the driver's amounts
+SALTS = 16     # parts of a hot key in a row-level join that feeds an aggregate
 
 
 def _countries(t: Tables) -> DataFrame:
-    """nation key -> name, broadcast behind a bounded count (one check per query build).
+    """nation key -> name, broadcast behind a count (one check per query build).
 
     Explicit, so that a cluster with automatic broadcasts switched off does not
     shuffle fact rows by a 25-value key.
     """
-    return t.memo("countries", lambda: _build_countries(t))
+    def build() -> DataFrame:
+        nation = t["nation"].select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("country"))
+        return broadcast_if_small(nation, NATION_BROADCAST_ROWS)
 
+    return t.memo("countries", build)
 
-def _client_nations(t: Tables) -> DataFrame:
-    """client_id -> nation key (customer), broadcast only behind a row bound.
 
-    Broadcast, it leaves the pre-summed fact side's partitioning in place (no
-    shuffle before the re-aggregation); beyond the bound the join is a
-    shuffle join on client_id, which the later groupings and windows reuse.
-    The nation names follow in a second, equally bounded broadcast join (25 rows).
+def _salted_join(facts: DataFrame, dimension: DataFrame, key: str, salt: str) -> DataFrame:
+    """Join rows on ``key`` with every key dealt over ``SALTS`` partitions.
+
+    An aggregate above a plain join on ``key`` reuses its partitioning, so AQE may
+    not split a hot key and all its rows meet in one task. With a salt (a hash of
+    ``salt``, a column that tells rows apart) in the join key they do not; the
+    aggregate then shuffles partial sums.
     """
-    return t.memo("client_nations", lambda: _build_clients(t))
+    facts = facts.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return facts.join(copies, [key, "_salt"]).drop("_salt")
 
 
-def _build_clients(t: Tables) -> DataFrame:
-    customer = t["customer"].select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nationkey"))
-    return broadcast_if_bounded(customer, DIMENSION_BROADCAST_ROWS)
+def _client_nations(t: Tables) -> DataFrame:
+    """client_id -> nation key (customer), without a hint.
+
+    Where Spark's size threshold or AQE broadcasts it, the pre-summed fact side's
+    partitioning stays in place; else the join is a shuffle join on client_id,
+    which the later groupings and windows reuse.
+    """
+    return t["customer"].select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nationkey"))
 
 
-def _with_client_country(facts: DataFrame, t: Tables) -> DataFrame:
-    """Attach ``country`` to rows keyed by client_id: customer (bounded broadcast), then nation."""
-    t.warm({"client_nations": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
-    return facts.join(_client_nations(t), "client_id").join(_countries(t), "nationkey").drop("nationkey")
+def _with_client_country(facts: DataFrame, t: Tables, salt: str | None = None) -> DataFrame:
+    """Attach ``country`` to rows keyed by client_id: customer, then nation (broadcast)."""
+    clients = _client_nations(t)
+    joined = facts.join(clients, "client_id") if salt is None else _salted_join(facts, clients, "client_id", salt)
+    return joined.join(_countries(t), "nationkey").drop("nationkey")
 
 
 def sales(t: Tables, where: Callable[[DataFrame], Column] | None = None,
-          events: DataFrame | None = None) -> DataFrame:
+          events: DataFrame | None = None, salted: bool = False) -> DataFrame:
     """Row-level sales: one row per event with its client's country.
 
     ``where`` filters the raw events before the join (it receives the renamed
     frame), so a time range reaches the parquet scan. ``events`` replaces the
-    events table (e.g. by a streaming read of it).
+    events table. ``salted`` splits hot clients in the join: for callers that
+    aggregate the rows.
     """
     t.prefetch("events", "customer", "nation")
     events = (t["events"] if events is None else events).select(F.col("event_id").alias("sale_id"), F.col("user_id").alias("client_id"),
                                 F.col("ts").alias("sold_at"), F.col("value").alias("amount"))
     if where is not None:
         events = events.filter(where(events))
-    return (_with_client_country(events, t)
+    return (_with_client_country(events, t, "sale_id" if salted else None)
             .select("sale_id", "client_id", "country", "sold_at", "amount"))
 
 
@@ -159,7 +161,7 @@ def sales_documents(t: Tables) -> DataFrame:
     details = struct<client_id, country, amount>, the one-level nesting of a
     document index; read it with dotted paths (``details.client_id``).
     """
-    flat = sales(t)
+    flat = sales(t, salted=True)
     return flat.select("sale_id", "sold_at",
                        F.struct("client_id", "country", "amount").alias("details"))
 
@@ -183,6 +185,22 @@ def hourly_sales(t: Tables, where: Callable[[DataFrame], Column] | None = None)
             .agg(money.to_double(money.resum("part")).alias("amount")))
 
 
+def client_totals(t: Tables, where: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """``client_id, doc_count, amount`` of the sales, equal to grouping :func:`sales`.
+
+    Events are counted and summed per user before the joins, so a hot client
+    reaches them as one row for each task; repeated customer or nation rows multiply as the
+    row-level join would.
+    """
+    t.prefetch("events", "customer", "nation")
+    events = t["events"].select(F.col("user_id").alias("client_id"), F.col("ts").alias("sold_at"), F.col("value").alias("amount"))
+    if where is not None:
+        events = events.filter(where(events))
+    per_user = events.groupBy("client_id").agg(F.count(F.lit(1)).alias("rows"), money.money_sum("amount", SCALE).alias("part"))
+    return (_with_client_country(per_user, t).groupBy("client_id")
+            .agg(F.sum("rows").alias("doc_count"), money.to_double(money.resum("part"), SCALE).alias("amount")))
+
+
 def history(t: Tables) -> DataFrame:
     """Monthly totals per client and country; ``amount`` is the month's sum / 100."""
     t.prefetch("orders", "customer", "nation")
@@ -212,41 +230,37 @@ def thresholds(t: Tables, null_big_amount_region: int | None = None) -> DataFram
 
 
 def alerts(t: Tables) -> DataFrame:
-    """Accumulated sales per country and month (orders pre-summed per client-month)."""
+    """Accumulated sales per country and month.
+
+    The dimensions are joined first and the sums are partial before the one
+    shuffle by (country, month): a filter on the country reaches the nation scan.
+    """
     t.prefetch("orders", "customer", "nation")
     orders = t["orders"].select(F.col("o_custkey").alias("client_id"), month_index(F.col("o_orderdate")).alias("m"),
                                 F.col("o_totalprice").alias("price"))
-    per_client = orders.groupBy("client_id", "m").agg(money.money_sum("price").alias("part"))
-    t.warm({"client_nations": lambda: _build_clients(t), "countries": lambda: _build_countries(t)})
-    per_nation = (per_client.join(_client_nations(t), "client_id").groupBy("nationkey", "m")
-                  .agg(money.resum("part").alias("part")))
-    return (per_nation.join(_countries(t), "nationkey")
+    return (_with_client_country(orders, t)
             .groupBy(F.col("country").alias("country_code"), "m")
-            .agg(money.to_double(money.resum("part")).alias("accumulated_sales"))
+            .agg(money.to_double(money.money_sum("price", SCALE), SCALE).alias("accumulated_sales"))
             .select("country_code", month_text(F.col("m")).alias("month"), "accumulated_sales"))
 
 
 def _agent_nations(t: Tables) -> DataFrame:
-    """agent_code -> nation key (supplier), broadcast only behind a row bound."""
-    return t.memo("agent_nations", lambda: _build_agents(t))
-
-
-def _build_agents(t: Tables) -> DataFrame:
-    supplier = t["supplier"].select(F.col("s_suppkey").alias("agent_code"), F.col("s_nationkey").alias("nationkey"))
-    return broadcast_if_bounded(supplier, DIMENSION_BROADCAST_ROWS)
+    """agent_code -> nation key (supplier), without a hint."""
+    return t["supplier"].select(F.col("s_suppkey").alias("agent_code"), F.col("s_nationkey").alias("nationkey"))
 
 
-def _with_agent_country(facts: DataFrame, t: Tables) -> DataFrame:
-    t.warm({"agent_nations": lambda: _build_agents(t), "countries": lambda: _build_countries(t)})
+def _with_agent_country(facts: DataFrame, t: Tables, salt: str | None = None) -> DataFrame:
     countries = _countries(t).withColumnRenamed("country", "country_code")
-    return facts.join(_agent_nations(t), "agent_code").join(countries, "nationkey").drop("nationkey")
+    agents = _agent_nations(t)
+    joined = facts.join(agents, "agent_code") if salt is None else _salted_join(facts, agents, "agent_code", salt)
+    return joined.join(countries, "nationkey").drop("nationkey")
 
 
 def monthly_sales(t: Tables) -> DataFrame:
-    """One row per line item: the supplier as agent, its country, the ship month."""
+    """One row per line item: the supplier as agent (hot ones split), its country, the ship month."""
     t.prefetch("lineitem", "supplier", "nation")
-    items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_of(F.col("l_shipdate")).alias("month"))
-    return _with_agent_country(items, t).select("agent_code", "country_code", "month")
+    items = t["lineitem"].select(F.col("l_suppkey").alias("agent_code"), month_of(F.col("l_shipdate")).alias("month"), "l_orderkey")
+    return _with_agent_country(items, t, "l_orderkey").select("agent_code", "country_code", "month")
 
 
 def monthly_sales_counted(t: Tables) -> DataFrame:

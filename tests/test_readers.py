@@ -37,16 +37,16 @@ def test_document_store_needs_connector(spark):
         readers.read_document_store(spark, "sales-*", "no.such.connector", {"host": "h"}, query='{"match_all":{}}')
 
 
-def test_broadcast_if_bounded(spark, tmp_dir):
-    from surgewatch.session import broadcast_if_bounded
+def test_broadcast_if_small(spark, tmp_dir):
+    from surgewatch.session import broadcast_if_small
 
     small = spark.range(10)
-    plan = small.join(broadcast_if_bounded(small, 10), "id")._jdf.queryExecution().optimizedPlan().toString()
+    plan = small.join(broadcast_if_small(small, 10), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
-    assert broadcast_if_bounded(small, 9) is small                 # one row over the bound: no hint
+    assert broadcast_if_small(small, 9) is small                 # one row over the bound: no hint
     spark.range(3).write.parquet(f"{tmp_dir}/s")
     stream = spark.readStream.schema("id long").parquet(f"{tmp_dir}/s")
-    assert broadcast_if_bounded(stream, 10) is stream
+    assert broadcast_if_small(stream, 10) is stream
 
 
 def test_document_store_options_per_read():
