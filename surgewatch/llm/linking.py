@@ -45,33 +45,46 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(e.select("lo", "lo").distinct())
 
 
-def link(members: DataFrame, possible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def link(members: DataFrame, possible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], threshold: float,
+         bound: Callable[..., Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes and links of ``members`` (``bucket, node, info``): ``(node, comp)`` and ``(a, b)``.
 
     Rows of ``members`` are distinct. ``possible`` tells from the ``info`` of two nodes
     whether they can be similar at all. ``verify`` takes distinct pairs ``(a, b)`` and
-    returns those that are. Nodes without a link are in no class.
+    returns ``(a, b, sim)``; a link is a ``sim`` of at least ``threshold`` (pairs below it
+    may be left out). ``bound(x, x_sim, y, y_sim, leader)`` may rule out more pairs from
+    the similarities to the bucket's leader (null where not computed). Nodes without a
+    link are in no class.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = saved(members.join(sizes, "bucket"), "buckets")
     # the leader of a bucket is its node with the most company in all its buckets: the likeliest centre
     company = held.groupBy("node").agg(F.sum("n").alias("company"))
-    leaders = (held.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node", "info")).alias("top"))
-               .select("bucket", F.col("top.node").alias("leader"), F.col("top.info").alias("leader_info")))
-    stars = held.join(saved(leaders, "leaders"), "bucket").filter(F.col("node") != F.col("leader")).filter(possible(F.col("info"), F.col("leader_info")))
-    stars = saved(stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "stars")
-    links = saved(verify(stars), "pairs")
+    leaders = saved(held.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node", "info")).alias("top"))
+                    .select("bucket", F.col("top.node").alias("leader"), F.col("top.info").alias("leader_info")), "leaders")
+    led = held.join(leaders, "bucket").select("bucket", "node", "info", "leader", "leader_info",
+                                              F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    stars = saved(led.filter("node <> leader").filter(possible(F.col("info"), F.col("leader_info"))).select("a", "b").distinct(), "stars")
+    tested = saved(verify(stars), "tested")
+    links = tested.filter(F.col("sim") >= threshold).select("a", "b")
     comps = components(links)
 
-    now = saved(held.select("bucket", "node", "info").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+    now = saved(held.select("bucket", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
     per = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("main")).filter("parts > 1")
-    open_ = now.join(saved(split.select("bucket", F.col("main.comp").alias("main")), "split"), "bucket")
-    out = open_.filter("comp <> main").select(F.col("bucket").alias("x_bucket"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("info").alias("x_info"))
+    split = saved(split.select("bucket", F.col("main.comp").alias("main")), "split")
+    open_ = led.join(split, "bucket").join(tested, ["a", "b"], "left").drop("a", "b")
+    open_ = open_.withColumn("sim", F.when(F.col("node") == F.col("leader"), F.lit(1.0)).otherwise(F.col("sim")))
+    open_ = saved(open_.join(now, ["bucket", "node"]), "open")
+    out = open_.filter("comp <> main").select(F.col("bucket").alias("x_bucket"), F.col("node").alias("x"), F.col("comp").alias("x_comp"),
+                                              F.col("info").alias("x_info"), F.col("sim").alias("x_sim"))
+    near = possible(F.col("x_info"), F.col("info"))
+    if bound is not None:
+        near = near & bound(F.col("x_info"), F.col("x_sim"), F.col("info"), F.col("sim"), F.col("leader_info"))
     cross = out.join(open_, (F.col("x_bucket") == F.col("bucket")) & (F.col("comp") != F.col("x_comp"))
-                     & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("node"))) & possible(F.col("x_info"), F.col("info")))
+                     & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("node"))) & near)
     pairs = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = saved(verify(pairs), "pairs")
+    more = saved(verify(pairs).filter(F.col("sim") >= threshold).select("a", "b"), "pairs")
     if more.isEmpty():
         return comps, links
     links = links.union(more)

@@ -175,18 +175,29 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                near = [weighted_jaccard(x.as_py(), y.as_py()) >= threshold - 1e-6 for x, y in zip(batch["va"], batch["vb"], strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+                sim = [weighted_jaccard(x.as_py(), y.as_py()) for x, y in zip(batch["va"], batch["vb"], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
-        return joined.mapInArrow(check, "a bigint, b bigint")
+        return joined.mapInArrow(check, "a bigint, b bigint, sim double")
 
     def possible(x: Column, y: Column) -> Column:
         # a similarity of t takes a common weight of t / (1 + t) of both; no more than the shared weight can be common
         need = (threshold / (1 + threshold) - 1e-7) * (x["weight"] + y["weight"])
         return (x["shared"] >= need) & (y["shared"] >= need)
 
+    def bound(x: Column, x_sim: Column, y: Column, y_sim: Column, leader: Column) -> Column:
+        # x and y have in common at most what both have in common with the leader, and what both share beyond it
+        def parts(info: Column, sim: Column) -> tuple[Column, Column]:
+            known = sim / (1 + sim) * (info["weight"] + leader["weight"])
+            return (F.coalesce(known, F.least(info["shared"], leader["shared"])),
+                    F.coalesce(F.greatest(info["shared"] - known, F.lit(0.0)), info["shared"]))
+
+        (x_in, x_out), (y_in, y_out) = parts(x, x_sim), parts(y, y_sim)
+        need = (threshold / (1 + threshold) - 1e-4) * (x["weight"] + y["weight"])   # weights are kept as 32-bit floats
+        return F.least(x_in, y_in) + F.least(x_out, y_out) >= need
+
     members = firsts.select(F.explode("bands").alias("bucket"), "node", F.struct("weight", "shared").alias("info"))
-    comps, links = linking.link(members, possible, verify)
+    comps, links = linking.link(members, possible, verify, threshold - 1e-6, bound)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     found = (live.select("doc_id", "sig").join(contents, "sig").join(comps, "node", "left").join(degree, "node", "left")
              .select("doc_id", F.coalesce("comp", "node").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")))

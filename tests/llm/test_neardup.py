@@ -111,6 +111,6 @@ def test_components_and_cross_pairs(spark):
     assert comp == {i: 0 for i in range(41)} | {100: 100, 101: 100, 105: 100}
     # the leader 1 is far from all; 2..6 are linked to each other only
     members = spark.createDataFrame([(9, n, 0) for n in (1, 2, 3, 4, 5, 6)] + [(8, 1, 0), (8, 7, 0)], "bucket long, node long, info int")
-    comps, links = linking.link(members, lambda x, y: x == y, lambda pairs: pairs.filter("a <> 1 and b <> 1"))
+    comps, links = linking.link(members, lambda x, y: x == y, lambda pairs: pairs.filter("a <> 1 and b <> 1").selectExpr("a", "b", "1.0 as sim"), 1.0)
     assert {r.node: r.comp for r in comps.collect()} == {n: 2 for n in (2, 3, 4, 5, 6)}
     assert links.count() == 10
