@@ -202,6 +202,7 @@ def distinct_pairs(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    pa.default_memory_pool().release_unused()   # what the last group took is not kept beside the next
     cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 

@@ -254,9 +254,10 @@ def _near(pairs: DataFrame, lines: DataFrame, max_edits: int, chars_per_edit: in
         for batch in batches:
             near = [within(x, y, min(max_edits, min(len(x), len(y)) // chars_per_edit))
                     for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            kept = batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.ones(kept.num_rows))], names=["a", "b", "sim"])
 
-    return joined.mapInArrow(check, "a string, b string")
+    return joined.mapInArrow(check, "a string, b string, sim double")
 
 
 def decisions(candidates: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
@@ -265,21 +266,24 @@ def decisions(candidates: DataFrame, max_edits: int, chars_per_edit: int) -> Dat
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["line"].to_pylist()
-            chars = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
-            ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
-            starts = ends - np.array([len(t) for t in texts], np.int64)
-            keys, owners, own = segment_keys(chars, starts, ends, max_edits, chars_per_edit)
-            order, at = exchange.distinct_pairs(keys, owners)
-            mine = np.add.reduceat(own[order].astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[order][at].view(np.int64)), batch["sig"].take(pa.array(owners[order][at])), pa.array(mine),
-                                              pa.array((ends - starts)[owners[order][at]].astype(np.int32))], names=["bucket", "node", "own", "info"])
+            data, offsets = words.buffers(batch["line"])
+            for lo, hi, _, _ in words.blocks(data, offsets, words.BLOCK_BYTES // 4):
+                texts = batch["line"].slice(lo, hi - lo).to_pylist()
+                chars = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+                size = np.array([len(t) for t in texts], np.int64)
+                ends = np.cumsum(size)
+                keys, owners, own = segment_keys(chars, ends - size, ends, max_edits, chars_per_edit)
+                order, at = exchange.distinct_pairs(keys, owners)
+                mine = np.add.reduceat(own[order].astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
+                lines_of = owners[order][at]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[order][at].view(np.int64)), batch["sig"].take(pa.array(lines_of + lo)), pa.array(mine),
+                                                  pa.array(size[lines_of].astype(np.int32))], names=["bucket", "node", "own", "info"])
 
     members = exchange.saved(lines.mapInArrow(keys_of, "bucket bigint, node string, own boolean, info int"), "segments")
     # buckets that no line's own segment is in, or that one line has for itself, link nothing
     live = members.groupBy("bucket").agg(F.max("own").alias("own"), F.min("node").alias("x"), F.max("node").alias("y")).filter("own and x <> y").select("bucket")
     members = members.join(live, "bucket").select("bucket", "node", "info")
-    comps, _ = linking.link(members, lambda x, y: F.abs(x - y) <= max_edits, lambda pairs: _near(pairs, lines, max_edits, chars_per_edit))
+    comps, _ = linking.link(members, lambda x, y: F.abs(x - y) <= max_edits, lambda pairs: _near(pairs, lines, max_edits, chars_per_edit), 1.0)
     classed = lines.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("class"))
     keep = classed.groupBy("class").agg(F.min("first").alias("keep"))
     classed = classed.join(keep, "class").select("sig", "keep.doc", "keep.at")
