@@ -10,7 +10,7 @@ functions/  Column builders: time windows, hour buckets, exact money sums, alert
 operators/  DataFrame -> DataFrame steps: rollups, baselines, labels, search,
             evaluation, statistics, classifier
 plans/      composed jobs (the spike labelling chain) and the query catalog
-streaming/  the hourly rollup and labelling over a Structured Streaming source
+llm/        training-data operators (nothing else imports them)
 """
 
 __version__ = "0.1.0"
