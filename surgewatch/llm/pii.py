@@ -64,10 +64,12 @@ NUMBER = re.compile(
     r"|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}([.-])\d{3}\3\d{4}(?![\d-])))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])[3-6]\d{12,18}(?![\w-])|(?<![\w-])[3-6]\d{3}([ -])\d{4}\6\d{4}\6\d{1,7}(?![\w-]))")
-SECRET = re.compile(r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"
-                    r"|(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_.-]{8,})")
+DIGIT, DIGIT_RUN, ASSIGNED = re.compile(r"[0-9]"), re.compile(r"[0-9]*"), re.compile(r"[=:]")
+ACCESS_KEYS = [re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")]
+SECRET_NAME = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}\Z")
+SECRET_VALUE = re.compile(r"\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,})")
 TITLE = "|".join(re.escape(t) for titles in TITLES.values() for t in titles)
-NAME = re.compile(rf"(?<!\w)(?P<title>{TITLE})\.? (?P<first>{CAP})(?: (?P<last>{CAP}))?")
+NAME = re.compile(rf"(?P<title>{TITLE})\.? (?P<first>{CAP})(?: (?P<last>{CAP}))?")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENTITY = "kind string, value string"
 MAX_BROADCAST = 200_000
@@ -83,13 +85,26 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if m and m.end() > at:
             found.append((m.start(), m.end(), "email", m[0]))
         at = text.find("@", at + 1)
-    found += [(m.start(), m.end(), m.lastgroup or "phone", m[0]) for m in NUMBER.finditer(text)]
-    for m in SECRET.finditer(text):
-        lo, hi = m.span("value") if m["value"] else m.span()
-        value = text[lo:hi].rstrip(".")
-        if m["value"] is None or sum(c.isdigit() for c in value) >= 2:
-            found.append((lo, lo + len(value), "secret", value))
+    # patterns are tried only where a rare character stands (a digit, an assignment, a capital): most text has none
+    at = 0
+    while m := DIGIT.search(text, at):
+        s = m.start()
+        hit = NUMBER.match(text, s - 1) if s > at and text[s - 1] in "+(" else None
+        hit = hit or NUMBER.match(text, s)
+        if hit:
+            found.append((hit.start(), hit.end(), hit.lastgroup or "phone", hit[0]))
+        at = hit.end() if hit else DIGIT_RUN.match(text, s).end()
+    for pattern in ACCESS_KEYS:
+        found += [(m.start(), m.end(), "secret", m[0]) for m in pattern.finditer(text) if not (m.start() and text[m.start() - 1].isalnum())]
+    for m in ASSIGNED.finditer(text):
+        value = SECRET_VALUE.match(text, m.end()) if SECRET_NAME.search(text, max(0, m.start() - 14), m.start()) else None
+        if value:
+            raw, lo = value["value"].rstrip("."), value.start("value")
+            if sum(c.isdigit() for c in raw) >= 2:
+                found.append((lo, lo + len(raw), "secret", raw))
     for m in NAME.finditer(text):
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            continue
         gender = GENDER[m["title"].lower()]
         if m["last"]:
             found.append((*m.span("first"), f"given-{gender}", m["first"]))
