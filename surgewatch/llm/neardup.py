@@ -22,7 +22,7 @@ document; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +152,28 @@ def sketched(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
     return saved(exchange.asked(chunks, ask, reply, tell, OUT), "sketches")
 
 
+def bounds(threshold: float) -> tuple[Callable[[Column, Column], Column], Callable[..., Column]]:
+    """``possible`` and ``bound`` of ``linking.link`` for nodes whose ``info`` is ``weight, shared``."""
+    def possible(x: Column, y: Column) -> Column:
+        # a similarity of t takes a common weight of t / (1 + t) of both; no more than the shared weight can be common
+        need = (threshold / (1 + threshold) - 1e-7) * (x["weight"] + y["weight"])
+        return (x["shared"] >= need) & (y["shared"] >= need)
+
+    def bound(x: Column, x_sim: Column, y: Column, y_sim: Column, leader: Column) -> Column:
+        # x and y have in common at most what both have in common with the leader, and what both share beyond it
+        def parts(info: Column, sim: Column) -> tuple[Column, Column]:
+            known = sim / (1 + sim) * (info["weight"] + leader["weight"])
+            # greatest() skips nulls: a node that was not compared may share all its weight beyond the leader
+            return (F.coalesce(known, F.least(info["shared"], leader["shared"])),
+                    F.when(sim.isNull(), info["shared"]).otherwise(F.greatest(info["shared"] - known, F.lit(0.0))))
+
+        (x_in, x_out), (y_in, y_out) = parts(x, x_sim), parts(y, y_sim)
+        need = (threshold / (1 + threshold) - 1e-4) * (x["weight"] + y["weight"])   # weights are kept as 32-bit floats
+        return F.least(x_in, y_in) + F.least(x_out, y_out) >= need
+
+    return possible, bound
+
+
 def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links`` of every document.
@@ -180,23 +202,8 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
 
         return joined.mapInArrow(check, "a bigint, b bigint, sim double")
 
-    def possible(x: Column, y: Column) -> Column:
-        # a similarity of t takes a common weight of t / (1 + t) of both; no more than the shared weight can be common
-        need = (threshold / (1 + threshold) - 1e-7) * (x["weight"] + y["weight"])
-        return (x["shared"] >= need) & (y["shared"] >= need)
-
-    def bound(x: Column, x_sim: Column, y: Column, y_sim: Column, leader: Column) -> Column:
-        # x and y have in common at most what both have in common with the leader, and what both share beyond it
-        def parts(info: Column, sim: Column) -> tuple[Column, Column]:
-            known = sim / (1 + sim) * (info["weight"] + leader["weight"])
-            return (F.coalesce(known, F.least(info["shared"], leader["shared"])),
-                    F.coalesce(F.greatest(info["shared"] - known, F.lit(0.0)), info["shared"]))
-
-        (x_in, x_out), (y_in, y_out) = parts(x, x_sim), parts(y, y_sim)
-        need = (threshold / (1 + threshold) - 1e-4) * (x["weight"] + y["weight"])   # weights are kept as 32-bit floats
-        return F.least(x_in, y_in) + F.least(x_out, y_out) >= need
-
     members = firsts.select(F.explode("bands").alias("bucket"), "node", F.struct("weight", "shared").alias("info"))
+    possible, bound = bounds(threshold)
     comps, links = linking.link(members, possible, verify, threshold - 1e-6, bound)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     found = (live.select("doc_id", "sig").join(contents, "sig").join(comps, "node", "left").join(degree, "node", "left")

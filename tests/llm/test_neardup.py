@@ -114,3 +114,12 @@ def test_components_and_cross_pairs(spark):
     comps, links = linking.link(members, lambda x, y: x == y, lambda pairs: pairs.filter("a <> 1 and b <> 1").selectExpr("a", "b", "1.0 as sim"), 1.0)
     assert {r.node: r.comp for r in comps.collect()} == {n: 2 for n in (2, 3, 4, 5, 6)}
     assert links.count() == 10
+
+
+def test_heavy_nodes_that_were_not_compared_with_a_light_leader(spark):
+    # the leader 1 has the most company and too little weight to be compared with 2 and 3, which are alike
+    members = spark.createDataFrame([(9, 1, (10.0, 10.0)), (9, 2, (20.0, 20.0)), (9, 3, (20.0, 20.0)), (8, 1, (10.0, 10.0)), (8, 4, (10.0, 10.0))],
+                                    "bucket long, node long, info struct<weight:double,shared:double>")
+    comps, links = linking.link(members, neardup.bounds(0.8)[0], lambda pairs: pairs.selectExpr("a", "b", "if(a = 2 and b = 3, 0.9D, 0.0D) as sim"), 0.8, neardup.bounds(0.8)[1])
+    assert {r.node: r.comp for r in comps.collect()} == {2: 2, 3: 2}
+    assert [tuple(r) for r in links.collect()] == [(2, 3)]
