@@ -176,10 +176,12 @@ def bounds(threshold: float) -> tuple[Callable[[Column, Column], Column], Callab
 
 def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links`` of every document.
+    """``doc_id, class_id, n_spanning_links`` of every document.
 
-    ``class_id`` is the smallest id of the class; ``n_links`` counts the verified links of
-    the document's content (each stands for all its exact copies).
+    ``class_id`` is the smallest id of the class; ``n_spanning_links`` counts the verified links
+    of the document's content (each stands for all its exact copies) by which its class was
+    found: to the leaders of its buckets and across components. Pairs that were already in one
+    component are not verified, so it is no count of all similar documents.
     """
     rows_ = sketched(docs, shingle, threshold, bands, rows, id_col, text_col)
     live = rows_.filter(F.col("sig").isNotNull())
@@ -207,9 +209,9 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
     comps, links = linking.link(members, possible, verify, threshold - 1e-6, bound)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     found = (live.select("doc_id", "sig").join(contents, "sig").join(comps, "node", "left").join(degree, "node", "left")
-             .select("doc_id", F.coalesce("comp", "node").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")))
-    alone = rows_.filter(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    none = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+             .select("doc_id", F.coalesce("comp", "node").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_spanning_links")))
+    alone = rows_.filter(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_spanning_links"))
+    none = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_spanning_links"))
     return found.union(alone).union(none)
 
 

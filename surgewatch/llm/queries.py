@@ -85,7 +85,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class and links of every document: weighted Jaccard of five-word shingles of 0.8 or more."""
+    """Class and spanning links of every document: weighted Jaccard of five-word shingles of 0.8 or more."""
     return neardup.classes(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
 
 

@@ -123,3 +123,10 @@ def test_heavy_nodes_that_were_not_compared_with_a_light_leader(spark):
     comps, links = linking.link(members, neardup.bounds(0.8)[0], lambda pairs: pairs.selectExpr("a", "b", "if(a = 2 and b = 3, 0.9D, 0.0D) as sim"), 0.8, neardup.bounds(0.8)[1])
     assert {r.node: r.comp for r in comps.collect()} == {2: 2, 3: 2}
     assert [tuple(r) for r in links.collect()] == [(2, 3)]
+
+
+def test_links_are_named_as_spanning_links(spark):
+    out = neardup.classes(docs(spark, [" ".join(f"w{i}" for i in range(200)) + f" end{k}" for k in range(12)]))
+    rows = out.collect()
+    assert out.columns == ["doc_id", "class_id", "n_spanning_links"] and {r.class_id for r in rows} == {0}
+    assert sum(r.n_spanning_links for r in rows) >= 2 * 11 and all(r.n_spanning_links >= 1 for r in rows)
