@@ -3,7 +3,8 @@
 Each page is read once. Its element subtrees are hashed (tag, text, and the
 subtrees inside), Spark counts for every host on how many of its pages a subtree
 stands, and subtrees that recur on at least ``share`` of the host's pages (and
-``min_pages`` of them) are deleted as template. Elements whose name, role or
+``min_pages`` of them) are deleted as template: a block goes if it stands in such a
+subtree, or if each of its text pieces stands in such an inline subtree. Elements whose name, role or
 class says that they are no content (menus, page headers and footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) are left out before.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surgewatch.llm.exchange import arrow_schema, saved
@@ -57,7 +58,7 @@ SCOPES = frozenset("table td th ul ol dl select article main section div nav asi
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 WORD = re.compile(r"[a-z0-9]+")
-PARSED = "page_id bigint, url string, host string, blocks array<struct<text:string,chain:array<bigint>>>"
+PARSED = "page_id bigint, url string, host string, blocks array<struct<text:string,chain:array<bigint>,pieces:array<array<bigint>>>>"
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 
@@ -70,15 +71,34 @@ class _Element:
         self.key: int | None = None
 
     def chain(self) -> list[int]:
-        """Hashes of the element and of those around it that may be template (a whole article is none)."""
+        """Hashes of the block element and of those around it that may be template (a whole article is none)."""
+        return self.block()._keys(None)
+
+    def inline(self) -> list[int]:
+        """Hashes of the inline elements between a text piece and its block."""
+        return self._keys(self.block())
+
+    def block(self) -> "_Element":
+        """The nearest element around a text piece that is no inline element."""
+        el = self
+        while el.name in INLINE:
+            el = el.parent
+        return el
+
+    def _keys(self, end: "_Element | None") -> list[int]:
         out, el = [], self
-        while el is not None:
+        while el is not end:
             if el.key is not None and el.name not in WHOLE:
                 out.append(el.key)
             el = el.parent
         return out
 
 
+def _key(content: str) -> int:
+    key = xxhash.xxh64_intdigest(content.encode("utf-8", "replace"))
+    return key - (1 << 64) if key >= 1 << 63 else key
+
+
 def _unwanted(name: str, attributes: str, inside_main: bool) -> bool:
     if name in DROPPED or name == "header" and not inside_main:
         return True
@@ -100,39 +120,40 @@ def _unwanted(name: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def parse(source: str) -> list[tuple[str, list[int]]]:
-    """Blocks of the main text with the hashes of the subtrees that they stand in."""
-    root = place = _Element("", False, False, None)
+def parse(source: str) -> list[tuple[str, tuple[list[int], list[list[int]]]]]:
+    """Blocks of the main text with the hashes of the subtrees that they, and each of their text pieces, stand in."""
+    root = _Element("", False, False, None)
     stack = [root]
-    blocks: list[tuple[str, _Element]] = []
+    places: list[tuple[_Element, int | None]] = []
+    blocks: list[tuple[str, list[tuple[_Element, int | None]]]] = []
     pieces: list[str] = []
 
     def flush() -> None:
-        nonlocal pieces
+        nonlocal pieces, places
         if pieces:
             text = " ".join(references.unescape("".join(pieces)).split())
             if text:
-                blocks.append((text, place))
-            pieces = []
+                blocks.append((text, places or [(stack[-1], None)]))
+            pieces, places = [], []
 
     def end() -> None:
         el = stack.pop()
         if el.dropped:
             return
-        key = xxhash.xxh64_intdigest("\x1f".join(el.content).encode("utf-8", "replace"))
-        key = key - (1 << 64) if key >= 1 << 63 else key
-        el.key = key
+        el.key = key = _key("\x1f".join(el.content))
         stack[-1].content.append(f"<{el.name} {key}>")
 
     def text(raw: str) -> None:
-        nonlocal place
         el = stack[-1]
         if el.dropped:
             return
         if not raw.isspace():
             el.content.append(raw)
-        if not pieces:
-            place = el
+            plain = references.unescape(raw).strip() if "&" in raw else raw.strip()
+            # signs between links are subtrees of their own: they have no element that could recur
+            sign = None if not plain or any(map(str.isalnum, plain)) else _key("#" + plain)
+            if plain and (not places or places[-1] != (el, sign)):
+                places.append((el, sign))
         pieces.append(raw)
 
     at, size = 0, len(source)
@@ -187,8 +208,9 @@ def parse(source: str) -> list[tuple[str, list[int]]]:
     flush()
     while len(stack) > 1:
         end()
-    inside = [b for b in blocks if b[1].main]
-    return [(t, el.chain()) for t, el in inside or blocks]
+    inside = [b for b in blocks if b[1][0][0].main]
+    return [(t, (at[0][0].chain(), [list(k) for k in dict.fromkeys((*el.inline(), *([sign] if sign is not None else ())) for el, sign in at)]))
+            for t, at in inside or blocks]
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -198,16 +220,20 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [[{"text": t, "chain": c} for t, c in parse(h)] if h else [] for h in batch["html"].to_pylist()]
+            blocks = [[{"text": t, "chain": c, "pieces": p} for t, (c, p) in parse(h)] if h else [] for h in batch["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(blocks, schema.field("blocks").type)], schema=schema)
 
     return rows.mapInArrow(read, PARSED)
 
 
+def _subtrees() -> Column:
+    return F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(b["chain"], F.flatten(b["pieces"])))))
+
+
 def templates(pages: DataFrame, share: float, min_pages: int) -> DataFrame:
     """``host, subtrees``: hashes of the subtrees that recur on the host. Bounded by what one page holds, divided by ``share``."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = pages.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["chain"])))).alias("subtree"))
+    seen = pages.select("host", F.explode(_subtrees()).alias("subtree"))
     counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     often = counts.join(hosts, "host").filter(F.col("n") >= share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
@@ -220,6 +246,10 @@ def main_text(pages: DataFrame, share: float = 0.75, min_pages: int = 10, max_br
     known = saved(templates(read, share, min_pages), "templates")
     few = known.count() <= max_broadcast_hosts   # else a shuffled join; AQE splits the pages of a hot host
     rows = read.join(F.broadcast(known) if few else known, "host", "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["chain"], F.col("subtrees")), F.lit(False)))
+    def template(b: Column) -> Column:
+        # an inline subtree that recurs (a label, a link) takes its block along only if nothing else stands in the block
+        return F.arrays_overlap(b["chain"], F.col("subtrees")) | F.forall(b["pieces"], lambda p: F.arrays_overlap(p, F.col("subtrees")))
+
+    kept = F.filter("blocks", lambda b: ~F.coalesce(template(b), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

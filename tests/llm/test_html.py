@@ -69,3 +69,10 @@ def test_very_long_page_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "http://a.example/", long)] * 2, PAGES)
     rows = html.main_text(df).collect()
     assert len(rows) == 2 and {r.text for r in rows} == {"\n".join(f"paragraph {i} <" for i in range(30_000))}
+
+
+def test_recurring_inline_label_before_unique_text(spark):
+    rows = [(i, f"https://label.example.com/{i}", f"<body><p><b>Summary:</b> unique article text {i}</p><p><a>By us</a> on day {i}</p>"
+             f"<a>Home</a> |&nbsp;<a>About</a><p>x{i}</p></body>") for i in range(40)]
+    got = texts(html.main_text(spark.createDataFrame(rows, PAGES)))
+    assert got == {i: f"Summary: unique article text {i}\nBy us on day {i}\nx{i}" for i in range(40)}
