@@ -1,7 +1,7 @@
 """Main text of web pages: site template removal.
 
 Each page is read once. Its element subtrees are hashed (tag, text, and the
-subtrees inside), Spark counts for every host on how many of its pages a subtree
+subtrees inside), Spark counts for every host on how many of its distinct pages a subtree
 stands, and subtrees that recur on at least ``share`` of the host's pages (and
 ``min_pages`` of them) are deleted as template: a block goes if it stands in such a
 subtree, or if each of its text pieces stands in such an inline subtree. Elements whose name, role or
@@ -15,8 +15,8 @@ space, trimmed; empty blocks go; blocks are joined by ``\\n`` in page order.
 
 Defined cases: null or empty html gives an empty text; markup that is not
 closed ends with the page; text outside any element counts as body; a null url
-belongs to the host ``''``; repeated rows count as pages and each get their
-text; other columns are ignored; an empty table gives an empty result.
+belongs to the host ``''``; repeated rows and other copies of a page's text on
+its host count as one page and each get their text; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -231,9 +231,14 @@ def _subtrees() -> Column:
 
 
 def templates(pages: DataFrame, share: float, min_pages: int) -> DataFrame:
-    """``host, subtrees``: hashes of the subtrees that recur on the host. Bounded by what one page holds, divided by ``share``."""
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = pages.select("host", F.explode(_subtrees()).alias("subtree"))
+    """``host, subtrees``: hashes of the subtrees that recur on the host. Bounded by what one page holds, divided by ``share``.
+
+    Pages of one host with the same text are copies of one page and count once.
+    """
+    copies = pages.select("host", F.xxhash64(F.col("blocks")["text"]).alias("content"), F.array_sort(_subtrees()).alias("subtrees"))
+    distinct = saved(copies.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees")), "contents")
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    seen = distinct.select("host", F.explode("subtrees").alias("subtree"))
     counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     often = counts.join(hosts, "host").filter(F.col("n") >= share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))

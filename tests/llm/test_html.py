@@ -76,3 +76,11 @@ def test_recurring_inline_label_before_unique_text(spark):
              f"<a>Home</a> |&nbsp;<a>About</a><p>x{i}</p></body>") for i in range(40)]
     got = texts(html.main_text(spark.createDataFrame(rows, PAGES)))
     assert got == {i: f"Summary: unique article text {i}\nBy us on day {i}\nx{i}" for i in range(40)}
+
+
+def test_copies_of_one_page_do_not_vote(spark):
+    article = "<nav>N</nav><p>about us</p><article><h1>Title</h1><p>first</p><p>second</p></article>"
+    rows = [(i, f"https://copy.example.com/a?utm={i}", article) for i in range(30)]
+    rows += [(100 + i, f"https://copy.example.com/{i}", f"<p>about us</p><p>other {i}</p>") for i in range(9)]
+    got = texts(html.main_text(spark.createDataFrame(rows, PAGES).repartition(4)))
+    assert got == {i: "Title\nfirst\nsecond" for i in range(30)} | {100 + i: f"about us\nother {i}" for i in range(9)}
