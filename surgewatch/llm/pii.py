@@ -5,7 +5,8 @@ social security numbers, access keys and secrets in assignments, and names
 after a title. A surrogate keeps the entity's format: digits stay digits,
 letters keep their case and script, punctuation, lengths, country codes and
 check digits stay; a name keeps its gender and script, and its parts are
-replaced one by one, so a later mention by surname alone still agrees.
+replaced one by one, so a mention by surname alone, with a title or
+without, still agrees if the text has the name after a title.
 
 A surrogate is a keyed permutation of the entity within its format, so two
 entities never share one; names come from lists of their gender and script,
@@ -23,6 +24,7 @@ replaced alike; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -67,14 +69,42 @@ NUMBER = re.compile(
 DIGIT, DIGIT_RUN, ASSIGNED = re.compile(r"[0-9]"), re.compile(r"[0-9]*"), re.compile(r"[=:]")
 ACCESS_KEYS = [re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")]
 SECRET_NAME = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}\Z")
-SECRET_VALUE = re.compile(r"\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,})")
+TELLING = re.compile(r"(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,3}\Z")
+SECRET_VALUE = re.compile(r"\s{0,3}(?P<quote>[\"'])?(?P<value>[A-Za-z0-9+/_.-]{8,})")
 TITLE = "|".join(re.escape(t) for titles in TITLES.values() for t in titles)
+WORD = re.compile(r"\w+")
+CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]\w*")
 NAME = re.compile(rf"(?P<title>{TITLE})\.? (?P<first>{CAP})(?: (?P<last>{CAP}))?")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENTITY = "kind string, value string"
 MAX_BROADCAST = 200_000
 
 
+def _untitled(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Mentions without a title of the titled names of the same text, also in capitals.
+
+    A mention is of the kind that its name had last before it (else first after it).
+    """
+    known: dict[str, list[tuple[int, str]]] = {}
+    for start, _, kind, value in titled:
+        for spelling in {value, value.upper()} if value.upper().lower() == value.lower() else {value}:
+            known.setdefault(spelling, []).append((start, kind))
+    found, past = [], 0
+    for m in CAPITAL.finditer(text) if known else ():
+        start, end = m.span()
+        if start < past:
+            continue
+        joined = WORD.match(text, end + 1) if text.startswith("-", end) else None
+        if joined and text[start:joined.end()] in known:
+            end = joined.end()
+        name = text[start:end]
+        if name in known:
+            uses = known[name]
+            found.append((start, end, uses[max(0, bisect.bisect_left(uses, (start,)) - 1)][1], name))
+            past = end
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, value)`` of the entities, in order and not overlapping."""
     found = []
@@ -100,17 +130,20 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         value = SECRET_VALUE.match(text, m.end()) if SECRET_NAME.search(text, max(0, m.start() - 14), m.start()) else None
         if value:
             raw, lo = value["value"].rstrip("."), value.start("value")
-            if sum(c.isdigit() for c in raw) >= 2:
+            # a password may be letters alone; behind a mere "token" unquoted words are mostly code and prose
+            if sum(c.isdigit() for c in raw) >= 2 or len(raw) >= 8 and (value["quote"] or TELLING.search(text, max(0, m.start() - 14), m.start())):
                 found.append((lo, lo + len(raw), "secret", raw))
+    titled = []
     for m in NAME.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
             continue
         gender = GENDER[m["title"].lower()]
         if m["last"]:
-            found.append((*m.span("first"), f"given-{gender}", m["first"]))
-            found.append((*m.span("last"), "surname", m["last"]))
+            titled.append((*m.span("first"), f"given-{gender}", m["first"]))
+            titled.append((*m.span("last"), "surname", m["last"]))
         else:
-            found.append((*m.span("first"), "surname", m["first"]))
+            titled.append((*m.span("first"), "surname", m["first"]))
+    found += titled + _untitled(text, titled)
     found.sort(key=lambda f: (f[0], f[0] - f[1]))
     out, end = [], 0
     for f in found:

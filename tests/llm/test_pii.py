@@ -92,3 +92,13 @@ def test_collisions_keep_names_apart_and_mentions_together(spark, monkeypatch):
     nulls = df.selectExpr("cast(null as bigint) as doc_id", "text")
     assert {r.text for r in pii.anonymise(nulls, KEY).collect()} == {r.text for r in got.values()}
     assert pii.anonymise(df.limit(0), KEY).count() == 0
+
+
+def test_untitled_mentions_and_secrets_without_digits():
+    text = "Mrs Anna Schmidt ... later Schmidt said, SCHMIDT's aide and Anna-Lena; Schmidtke and Weiß-Braun, not schmidt. Herr Weiß-Braun"
+    found = [(k, v) for _, _, k, v in pii.detect(text)]
+    assert found == [("given-f", "Anna"), ("surname", "Schmidt"), ("surname", "Schmidt"), ("surname", "SCHMIDT"), ("given-f", "Anna"),
+                     ("surname", "Weiß-Braun"), ("surname", "Weiß-Braun")]
+    new, spans = pii.replaced(text, KEY, {})
+    assert "Schmidt said" not in new and len(spans) == 7 and new.count(pii.surrogate("surname", "schmidt", KEY, 0)) >= 2
+    assert [v for _, _, _, v in pii.detect("password: correcthorsebattery, token: identifier, token='abcdefghij' secret=short")] == ["correcthorsebattery", "abcdefghij"]
