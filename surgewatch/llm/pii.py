@@ -15,7 +15,8 @@ checks: a surrogate that two entities share, or that is itself an entity of the
 corpus, goes to its next attempt until none is left. Only entities that moved
 past their first attempt are joined back to the documents.
 
-The same entity has the same surrogate in all documents (for one ``key``).
+Cards, phones and social security numbers are known by their digits, however
+they are punctuated. The same entity has the same surrogate in all documents (for one ``key``).
 
 Defined cases: null text stays null, empty text empty; a text without entities
 is unchanged; a null id is replaced like any other; rows that share an id are
@@ -76,6 +77,9 @@ WORD = re.compile(r"\w+")
 CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]\w*")
 NAME = re.compile(rf"(?P<title>{TITLE})\.? (?P<first>{CAP})(?: (?P<last>{CAP}))?")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Kinds whose entity is its digits, however they are written (a phone number with its ``+``).
+NUMBERS = frozenset(["card", "phone", "ssn"])
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})")
 ENTITY = "kind string, value string"
 MAX_BROADCAST = 200_000
 
@@ -203,8 +207,30 @@ def script_of(value: str) -> str:
     return "cyrillic" if any("CYRILLIC" in unicodedata.name(c, "") for c in value) else "latin"
 
 
+def _digits(kind: str, value: str, key: bytes, attempt: int) -> str:
+    """The surrogate of a number in its normal form."""
+    tweak = f"{kind}:{attempt}"
+    if kind != "card":
+        code = COUNTRY.match(value)   # from the digits alone, so that all spellings of a number keep the same places
+        return permuted(value, [DIGITS if i >= (code.end() if code else 0) else None for i in range(len(value))], key, tweak)
+    classes: list[str | None] = [None] + [DIGITS] * (len(value) - 1)
+    if luhn(value[:-1]) == int(value[-1]):
+        out = permuted(value[:-1] + "0", [*classes[:-1], None], key, tweak + ":checked")[:-1]
+        return out + str(luhn(out))
+    out = permuted(value, classes, key, tweak)
+    if luhn(out[:-1]) == int(out[-1]):
+        return _digits(kind, out, key, attempt)   # walk on inside the unchecked numbers: still a bijection
+    return out
+
+
+def _laid(digits: str, mention: str) -> str:
+    """The digits of a normal form in the punctuation of a mention."""
+    left = iter(digits.lstrip("+"))
+    return "".join(next(left) if c in DIGITS else c for c in mention)
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
-    """The replacement of an entity (in its normal spelling) at an attempt."""
+    """The replacement of an entity at an attempt; a number's keeps the punctuation of ``value``, others are given in normal spelling."""
     tweak = f"{kind}:{attempt}"
     if kind.startswith("given") or kind == "surname":
         script = script_of(value)
@@ -222,25 +248,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
         label, top = domain.rsplit(".", 1)
         # one domain, one surrogate domain: permuted labels under a top-level name that is reserved
         out = permuted(local, _classes(local), key, tweak) + "@" + permuted(label, _classes(label), key, "domain") + f".{top}.example"
-    elif kind == "card":
-        digits = [i for i, c in enumerate(value) if c in DIGITS]
-        plain = "".join(value[i] for i in digits)
-        checked = luhn(plain[:-1]) == int(plain[-1])
-        classes: list[str | None] = [DIGITS if c in DIGITS else None for c in value]
-        classes[digits[0]] = None
-        if checked:
-            classes[digits[-1]] = None
-            blank = value[:digits[-1]] + "0"
-            out = permuted(blank, classes, key, tweak + ":checked")
-            out = out[:digits[-1]] + str(luhn("".join(out[i] for i in digits[:-1])))
-        else:
-            out = permuted(value, classes, key, tweak)
-            if luhn("".join(out[i] for i in digits[:-1])) == int(out[digits[-1]]):
-                return surrogate(kind, out, key, attempt)   # walk on inside the unchecked numbers: still a bijection
-    elif kind in ("phone", "ssn"):
-        head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value)
-        classes = [DIGITS if c in DIGITS and i >= (head.end() if head else 0) else None for i, c in enumerate(value)]
-        out = permuted(value, classes, key, tweak)
+    elif kind in NUMBERS:
+        out = _laid(_digits(kind, normal(kind, value), key, attempt), value)
     else:
         head = re.match(r"AKIA|gh[pousr]_", value)
         classes = _classes(value)
@@ -250,6 +259,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
 
 def normal(kind: str, value: str) -> str:
     """One spelling for mentions of the same entity."""
+    if kind in NUMBERS:
+        return ("+" if value.startswith("+") else "") + "".join(c for c in value if c in DIGITS)
     return value.lower() if kind == "email" or kind.startswith("given") or kind == "surname" else value
 
 
@@ -258,7 +269,7 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     parts, spans, last, size = [], [], 0, 0
     for start, end, kind, value in detect(text):
         own = normal(kind, value)
-        new = surrogate(kind, own, key, attempts.get((kind, own), 0))
+        new = surrogate(kind, value if kind in NUMBERS else own, key, attempts.get((kind, own), 0))
         if kind != "email" and value.isupper() and not new.isupper():
             new = new.upper()
         parts += [text[last:start], new]

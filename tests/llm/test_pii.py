@@ -102,3 +102,15 @@ def test_untitled_mentions_and_secrets_without_digits():
     new, spans = pii.replaced(text, KEY, {})
     assert "Schmidt said" not in new and len(spans) == 7 and new.count(pii.surrogate("surname", "schmidt", KEY, 0)) >= 2
     assert [v for _, _, _, v in pii.detect("password: correcthorsebattery, token: identifier, token='abcdefghij' secret=short")] == ["correcthorsebattery", "abcdefghij"]
+
+
+def test_one_number_in_several_spellings_has_one_surrogate():
+    bare = lambda v: re.sub(r"\D", "", v)
+    for spellings in (["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["4111 1111 1111 1112", "4111111111111112"],
+                      ["(415) 555-0101", "415-555-0101", "415.555.0101"], ["+49 170 1234567", "+491701234567"], ["+1 (269) 555-3296", "+1 269 555 3296"]):
+        kind = "card" if len(bare(spellings[0])) > 13 else "phone"
+        new = [pii.surrogate(kind, v, KEY, 0) for v in spellings]
+        assert len({pii.normal(kind, v) for v in spellings}) == len({pii.normal(kind, v) for v in new}) == 1
+        assert [re.sub(r"\d", "9", v) for v in new] == [re.sub(r"\d", "9", v) for v in spellings] and bare(new[0]) != bare(spellings[0])
+    new, _ = pii.replaced("(415) 555-0101 or 415-555-0101", KEY, {("phone", "4155550101"): 1})
+    assert len({bare(v) for v in new.split(" or ")}) == 1
