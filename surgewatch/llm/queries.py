@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgewatch.llm import ann, decontaminate, html, langid, lines, mixing, neardup, pii, substring, toxicity
+from surgewatch.llm import ann, decontaminate, fingerprint, html, langid, lines, mixing, neardup, pii, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by family, then one-versus-one SVMs."""
     return langid.identify(table(spark, sf_dir, "documents"), max_rows=4000)
+
+
+@query
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of every text and of its edited text, and how alike they are."""
+    return fingerprint.digests(table(spark, sf_dir, "documents"), samples=fingerprint.SAMPLES)
+
+
+ORACLE["op11_fingerprint"] = fingerprint.oracle_sql(fingerprint.SAMPLES)
