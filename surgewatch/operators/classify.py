@@ -14,10 +14,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surgewatch.session import checkpointed
+from surgewatch.operators import forward
+from surgewatch.session import broadcast_if_small, checkpointed
 
 # The job's inputs, in order, and the network defaults.
 SPIKE_FEATURES = ("last24h_amount", "daily_amount", "spike_amount", "big_spike_amount",
@@ -70,6 +71,11 @@ class TrainedNetwork:
         """All input columns plus ``predicted_label`` (and the model's own columns)."""
         return self.model.transform(df)
 
+    def as_columns(self) -> forward.Network:
+        """The same network as column expressions: scoring without Spark ML, in any plan."""
+        assembler, net = self.model.stages[0], self.model.stages[2]
+        return forward.Network.from_flat(assembler.getInputCols(), list(net.getOrDefault("layers")), net.weights.toArray().tolist(), self.labels)
+
 
 def split_by_key(df: DataFrame, keys, share_pct: float = 20.0, out: str = "part") -> DataFrame:
     """Portable split: ``train`` when the first md5 byte of the key is below share * 256.
@@ -94,6 +100,44 @@ def split_random(df: DataFrame, train_share: float = JOB_TRAIN_SHARE, seed: int
     return train, test
 
 
+DIGITS = 3   # hex digits of the hash that one histogram tells apart
+
+
+def split_exact(df: DataFrame, keys, share: float, by: str, seed: int = 0, out: str = "part") -> DataFrame:
+    """``train`` for exactly ``floor(share x rows)`` rows of each value of ``by``, ``test`` for the rest.
+
+    The rows of a class are ordered by a seeded MD5 of their ``keys`` (column names or expressions,
+    which tell rows apart), so the same rows are chosen under any partitioning and in any engine.
+    The last chosen hash of each class is found by histograms: rows per first three hex digits,
+    then the next three of those rows that share the cut's digits, until the cut falls between two
+    digits. Each histogram has at most 4,096 rows a class. Rows with equal keys stay together, on the
+    train side if the first of them belongs there. A null class is a class of its own.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError("share must lie between 0 and 1")
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys])
+    rows = df.withColumn("_hash", F.md5(text)).withColumn("_class", F.coalesce(F.col(by).cast("string"), F.lit(""))).withColumn("_none", F.col(by).isNull())
+    group = ["_none", "_class"]
+    cuts = checkpointed(rows.groupBy(*group).agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("_need")).withColumn("_cut", F.lit("")))
+    for length in range(DIGITS, 32 + DIGITS, DIGITS):
+        open_ = cuts.filter(F.col("_need") > 0)
+        inside = rows.select(*group, "_hash").join(broadcast_if_small(open_), group).filter(F.col("_hash").startswith(F.col("_cut")))
+        counts = inside.groupBy(*group, F.substring("_hash", 1, length).alias("_next"), "_need").agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_next"))
+        found = counts.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+        found = found.select(*group, "_next", (F.col("_need") - (F.col("_upto") - F.col("_n"))).alias("_left"), "_n")
+        cuts = checkpointed(cuts.join(found, group, "left").select(
+            *group, F.coalesce("_next", "_cut").alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_need"), F.coalesce("_n", F.lit(0)).alias("_n")))
+        # done where the cut's rows are all chosen
+        if cuts.filter(F.col("_need") < F.col("_n")).isEmpty():
+            break
+        cuts = cuts.drop("_n")
+    cuts = cuts.select(*group, "_cut")
+    chosen = (F.col("_cut") != "") & (F.substring(F.col("_hash"), F.lit(1), F.length("_cut")) <= F.col("_cut"))
+    return (rows.join(broadcast_if_small(cuts), group).withColumn(out, F.when(chosen, F.lit("train")).otherwise(F.lit("test")))
+            .drop("_hash", "_cut", *group))
+
+
 def label_indexer(df: DataFrame, label_col: str, out: str = "label_index"):
     """Labels indexed by descending frequency (ties alphabetical), fitted on ``df``."""
     return StringIndexer(inputCol=label_col, outputCol=out).fit(df)

@@ -39,19 +39,32 @@ def hourly_sales(sales: DataFrame, client: str = "client_id", country: str = "co
 
 def trailing_sum(hourly: DataFrame, seconds: int = 24 * 3600, keys: Sequence[str] = ("client_id", "country"),
                  hour: str = "hour", amount: str = "amount", out: str = "last24h_amount",
-                 scale: int | None = None) -> DataFrame:
+                 scale: int | None = None, span_seconds: int | None = None) -> DataFrame:
     """Total of the buckets whose start lies in ``[hour - seconds, hour]`` per key.
 
     Value-based range with both ends included: with hourly buckets the default
     covers 25 buckets. Run it on hourly sums, never on raw rows: a key's window
     partition then holds at most one row per hour of the data's span, however
     hot the key is.
+
+    ``span_seconds`` cuts each key's time into spans of that length, so one long
+    history is in many tasks. The rows that reach into a later span are copied
+    there (its halo), count in its windows, and are dropped again; the totals
+    are the same. Rows without an hour form a span of their own.
     """
     epoch = epoch_seconds(F.col(hour), column_type(hourly, hour))
-    win = Window.partitionBy(*keys).orderBy(epoch).rangeBetween(-seconds, 0)
-    if scale is None:
-        return hourly.withColumn(out, F.sum(amount).over(win))
-    return hourly.withColumn(out, money.to_double(money.money_sum(amount, scale).over(win), scale))
+    total = F.sum(amount) if scale is None else money.money_sum(amount, scale)
+    if span_seconds is None:
+        added = total.over(Window.partitionBy(*keys).orderBy(epoch).rangeBetween(-seconds, 0))
+        return hourly.withColumn(out, added if scale is None else money.to_double(added, scale))
+    if span_seconds < 1 or seconds < 0:
+        raise ValueError("span_seconds must be positive and seconds not negative")
+    first, last = F.floor(epoch / F.lit(span_seconds)), F.floor((epoch + F.lit(seconds)) / F.lit(span_seconds))
+    spans = F.coalesce(F.sequence(first, last), F.array(F.lit(None).cast("bigint")))
+    rows = hourly.select("*", F.posexplode(spans).alias("_halo", "_span"))
+    added = total.over(Window.partitionBy(*keys, "_span").orderBy(epoch).rangeBetween(-seconds, 0))
+    rows = rows.withColumn(out, added if scale is None else money.to_double(added, scale))
+    return rows.filter(F.col("_halo") == 0).drop("_halo", "_span")
 
 
 def top_by_count(buckets: DataFrame, size: int, key: str, count: str = "doc_count") -> DataFrame:
@@ -130,3 +143,22 @@ def summary(df: DataFrame, fields: Sequence[str], digits: int | None = 4) -> Dat
     parts = ", ".join(f"'{name.split('.')[-1]}', n{i}, {rnd(f'mean{i}')}, {rnd(f'sd{i}')}, min{i}, max{i}"
                       for i, name in enumerate(fields))
     return wide.selectExpr(f"stack({len(fields)}, {parts}) AS (field, count, mean, stddev, min, max)")
+
+
+def token_buckets(df: DataFrame, field: str, amount: str, size: int | None = None, scale: int | None = None,
+                  separators: str = r"[^\p{L}\p{N}]+") -> DataFrame:
+    """Buckets of the tokens of an analysed text field: ``key, doc_count, amount``.
+
+    The analyser folds case and splits at everything but letters and digits. A document is in the
+    bucket of each of its distinct tokens once, as in a store's text field with field data. Rows
+    are counted and summed per distinct value of the field first, within each task, so a value
+    that most documents hold is analysed a few times only, and tokens are shuffled as partial
+    counts. Null fields have no tokens. ``size`` keeps the buckets with the most rows, ties by key.
+    """
+    part = F.sum(amount) if scale is None else money.money_sum(amount, scale)
+    values = df.groupBy(F.col(field).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("rows"), part.alias("part"))
+    tokens = F.array_distinct(F.filter(F.split(F.lower("value"), separators), lambda t: t != F.lit("")))
+    each = values.select(F.explode(tokens).alias("key"), "rows", "part").groupBy("key").agg(
+        F.sum("rows").alias("doc_count"), F.sum("part").alias("part"))
+    out = each.select("key", "doc_count", (F.col("part") if scale is None else money.to_double("part", scale)).alias("amount"))
+    return out if size is None else top_buckets(out, size, "key")

@@ -16,8 +16,8 @@ def chi_square(df: DataFrame, features: str = "features", label: str = "label",
     (a feature with more distinct values raises instead of growing).
     """
     out = ChiSquareTest.test(df, features, label, flatten=True)
-    stat = F.col("statistic")
+    stat, p_value = F.col("statistic"), F.col("pValue")
     if digits is not None:
-        stat = F.round(stat, digits)
-    return out.select(F.col("featureIndex").alias("feature_index"), F.col("pValue").alias("p_value"),
+        stat, p_value = F.round(stat, digits), F.round(p_value, digits)
+    return out.select(F.col("featureIndex").alias("feature_index"), p_value.alias("p_value"),
                       F.col("degreesOfFreedom").cast("bigint").alias("degrees_of_freedom"), stat.alias("statistic"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -116,3 +117,64 @@ def read_jdbc(spark: SparkSession, url: str, table: str, columns: Iterable[str]
     if columns is not None:
         require_columns(df, columns)
     return df
+
+
+# ---- balanced key ranges ---------------------------------------------------------------------
+
+def key_histogram(df: DataFrame, key: str, bins: int = 4096) -> list[tuple[int, int, int]]:
+    """``(low, high, rows)`` of at most ``bins`` equal steps over a whole-number key that hold rows, in order.
+
+    ``low`` and ``high`` are the smallest and largest key found in the step, so a step of one hot key is told apart.
+    """
+    ends = df.agg(F.min(key).cast("bigint"), F.max(key).cast("bigint")).first()
+    if ends[0] is None:
+        return []
+    step = (ends[1] - ends[0]) // bins + 1
+    place = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(ends[0])) / F.lit(step))
+    rows = (df.filter(F.col(key).isNotNull()).groupBy(place.alias("place"))
+            .agg(F.min(key).cast("bigint").alias("low"), F.max(key).cast("bigint").alias("high"), F.count(F.lit(1)).alias("n")).collect())
+    return sorted((r.low, r.high, r.n) for r in rows)
+
+
+def equi_depth_bounds(histogram: Iterable[tuple[int, int, int]], parts: int) -> list[int]:
+    """Ascending keys at which a new range begins, so that each range holds about as many rows.
+
+    A range is closed when it has reached its share of the rows that were left when it began; a step
+    heavier than a share gets ranges of its own. At most ``parts - 1`` bounds.
+    """
+    if parts < 1:
+        raise ValueError("parts must be positive")
+    steps = sorted(histogram)
+    left, open_parts, held, bounds = sum(n for _, _, n in steps), parts, 0, []
+    for k, (low, _, n) in enumerate(steps):
+        share = left / open_parts
+        # begin before a step that would overshoot by more than what is missing
+        if k and open_parts > 1 and held and held + n - share > share - held:
+            bounds.append(low)
+            left, open_parts, held = left - held, open_parts - 1, 0
+        held += n
+    return bounds
+
+
+def range_predicates(key: str, bounds: Sequence[int]) -> list[str]:
+    """SQL conditions that cover every row exactly once: the ranges between ``bounds``, null keys in the first."""
+    bounds = list(bounds)
+    if bounds != sorted(set(bounds)):
+        raise ValueError(f"bounds must ascend: {bounds}")
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [f"({key} < {bounds[0]} OR {key} IS NULL)", *inner, f"{key} >= {bounds[-1]}"]
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, histogram: Iterable[tuple[int, int, int]], parts: int,
+                     columns: Iterable[str] | None = None, **kwargs) -> DataFrame:
+    """A JDBC table read by ``parts`` queries of about equal depth instead of equal steps.
+
+    ``histogram`` counts the key's rows, e.g. from :func:`key_histogram` over a copy, or from the
+    database's own statistics.
+    """
+    options = jdbc_options(url, table, **kwargs)
+    properties = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+    df = spark.read.jdbc(url, table, predicates=range_predicates(key, equi_depth_bounds(histogram, parts)), properties=properties)
+    return require_columns(df, columns) if columns is not None else df

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +41,35 @@ def table_profile(frames: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def table_sizes(spark: SparkSession, paths: Mapping[str, str], pattern: str = "*.{parquet,json,csv,orc,avro,txt}*") -> DataFrame:
+    """One row per table: name, number of data files, their bytes. Lists the files; reads none of them.
+
+    ``paths`` are files or folders, in any store that Spark reads; in a folder the files whose names
+    match ``pattern`` count, at any depth. A table without files has 0 and 0.
+    """
+    parts = []
+    for name, path in paths.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+        parts.append(files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+                     .select(F.lit(name).alias("table_name"), "file_count", "size_bytes"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _number_text(x: Column) -> Column:
+    """A number with a fraction as whole millionths and the nine digits after them."""
+    y = x.cast("double") * F.lit(1e6)
+    return F.concat(F.floor(y).cast("bigint").cast("string"), F.lit("."), F.floor((y - F.floor(y)) * F.lit(1e9)).cast("bigint").cast("string"))
+
+
 def _value_text(field: T.StructField) -> Column:
-    """A column's value as text that any engine can state: numbers with a fraction in whole millionths."""
+    """A column's value as text that any engine can state; arrays element by element, in order."""
     c, kind = F.col(f"`{field.name}`"), field.dataType
-    millionths = lambda x: F.floor(x.cast("double") * F.lit(1e6)).cast("bigint")
     if isinstance(kind, T.FractionalType):
-        text = millionths(c).cast("string")
+        text = _number_text(c)
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
-        total = F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(millionths(x), F.lit(0).cast("bigint")))
-        text = F.concat(F.size(c).cast("string"), F.lit(":"), total.cast("string"))
+        text = F.concat(F.size(c).cast("string"), F.lit(":"), F.array_join(F.transform(c, lambda x: F.coalesce(_number_text(x), F.lit("~"))), ","))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("~"))
@@ -94,6 +113,66 @@ def copy_tables(read: Callable[[str], DataFrame], write: Callable[[str, DataFram
     return names
 
 
+def copy_resumable(spark: SparkSession, read: Callable[[str], DataFrame], dest: str, names: Iterable[str], parts: int | Mapping[str, int] = 16,
+                   parallelism: int = 4, run: str = "") -> dict[str, int]:
+    """Copy tables to Parquet folders ``<dest>/<name>/part=<k>`` in parts, and go on where a copy broke off.
+
+    A row belongs to the part that a hash of its content names, so a rerun finds the same parts whatever
+    the layout. A part is written as a whole, then an entry of the manifest (``<dest>/_manifest``) says
+    that it is complete: name, part, rows and content sum. A rerun reads the manifest first and writes
+    only the parts that are missing from it; what a broken part left is overwritten. ``run`` names the
+    state of the source, so a new state is copied anew. Returns the parts written for each table.
+
+    :func:`read_copied` reads the tables back; :func:`verify_copied` compares them with the manifest.
+    """
+    names = list(names)
+    done = {(r.table_name, r.part) for r in manifest(spark, dest).filter(F.col("run") == run).collect()}
+    written = dict.fromkeys(names, 0)
+    jobs = []
+    for name in names:
+        df, n = read(name), parts[name] if isinstance(parts, Mapping) else parts
+        number = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(n))
+        for k in (k for k in range(n) if (name, k) not in done):
+            def one(name=name, k=k, rows=df.filter(number == k)) -> None:
+                target = f"{dest}/{name}/part={k}"
+                rows.write.mode("overwrite").parquet(target)
+                entry = table_sums({name: spark.read.schema(rows.schema).parquet(target)})
+                entry.select("table_name", F.lit(k).alias("part"), "row_count", "content_sum", F.lit(run).alias("run")).coalesce(1).write.mode("append").parquet(f"{dest}/_manifest")
+                written[name] += 1
+
+            jobs.append(one)
+    _run_all(jobs, parallelism)
+    return written
+
+
+MANIFEST = "table_name string, part int, row_count bigint, content_sum bigint, run string"
+
+
+def manifest(spark: SparkSession, dest: str) -> DataFrame:
+    """The complete parts of a resumable copy; empty before the first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{dest}/_manifest")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{dest}/_manifest")
+
+
+def read_copied(spark: SparkSession, dest: str, name: str, run: str = "") -> DataFrame:
+    """A copied table: its complete parts of this run."""
+    done = sorted(r.part for r in manifest(spark, dest).filter((F.col("table_name") == name) & (F.col("run") == run)).select("part").distinct().collect())
+    if not done:
+        raise ValueError(f"no complete part of {name!r} in {dest}")
+    return spark.read.parquet(*[f"{dest}/{name}/part={k}" for k in done])
+
+
+def verify_copied(spark: SparkSession, dest: str, names: Iterable[str], run: str = "") -> DataFrame:
+    """One row for each table: rows and content sum by the manifest and as read back."""
+    names = list(names)
+    told = manifest(spark, dest).filter(F.col("run") == run).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("row_count").alias("row_count"), F.sum("content_sum").alias("content_sum"))
+    held = table_sums({n: read_copied(spark, dest, n, run) for n in names})
+    return told.join(held.toDF("table_name", "rows_read", "sum_read"), "table_name")
+
+
 def export_tables(spark: SparkSession, frames: Mapping[str, DataFrame], dest: str,
                   columns: Mapping[str, list[str]] | list[str] | None = None,
                   parallelism: int = 4) -> list[str]:

@@ -89,3 +89,24 @@ def test_job_command_line(spark, tmp_dir, capsys):
     assert labelled == 951 and 0 < scored < labelled
     assert report.agg(F.sum("count")).first()[0] == scored
     assert "training error" in capsys.readouterr().out
+
+
+def test_split_exact_shares_and_layouts(spark):
+    import hashlib
+
+    rows = [(k, "abc"[k % 3] if k % 17 else None) for k in range(1000)] + [(5000, "single"), (5001, "pair"), (5002, "pair")]
+    df = spark.createDataFrame(rows, "k bigint, label string")
+    for share in (0.0, 0.2, 0.5, 1.0):
+        got = {r.k: r.part for r in classify.split_exact(df, ["k"], share, "label", 7).collect()}
+        want = {}
+        for label in {y for _, y in rows}:
+            order = sorted((k for k, y in rows if y == label), key=lambda k: hashlib.md5(f"7|{k}".encode()).hexdigest())
+            n = int(len(order) * share)
+            want |= {k: "train" if i < n else "test" for i, k in enumerate(order)}
+        assert got == want
+        other = {r.k: r.part for r in classify.split_exact(df.repartition(7), ["k"], share, "label", 7).collect()}
+        assert other == got
+    assert classify.split_exact(df.limit(0), ["k"], 0.2, "label").collect() == []
+    same = spark.createDataFrame([(1, "a")] * 10, "k bigint, label string")   # rows of one key stay together
+    assert {r.part for r in classify.split_exact(same, ["k"], 0.3, "label").collect()} == {"train"}
+    assert classify.split_exact(df, ["k"], 0.2, "label").columns == ["k", "label", "part"]

@@ -55,3 +55,31 @@ def test_document_store_options_per_read():
     b = readers.document_store_options("sales-*", base)
     assert a == {"es.nodes": "h", "es.port": "9200", "es.resource": "sales-*", "es.query": '{"match_all":{}}'}
     assert "es.query" not in b and base == {"es.nodes": "h", "es.port": "9200"}   # caller's dict untouched
+
+
+def covered(predicates, keys):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?)", [(k,) for k in keys])
+    return [con.execute(f"SELECT count(*) FROM t WHERE {p}").fetchone()[0] for p in predicates]
+
+
+def test_equi_depth_ranges_cover_skewed_keys_once(spark):
+    import random
+
+    rnd = random.Random(2)
+    skewed = [7] * 900 + [rnd.randrange(1000) for _ in range(500)] + [10**9 + rnd.randrange(50) for _ in range(600)] + [-(10**12)] + [None] * 40
+    df = spark.createDataFrame([(k,) for k in skewed], "k bigint")
+    steps = readers.key_histogram(df, "k", bins=1 << 20)
+    assert sum(n for *_, n in steps) == 2001
+    for parts in (1, 2, 5, 8, 64):
+        counts = covered(readers.range_predicates("k", readers.equi_depth_bounds(steps, parts)), skewed)
+        assert sum(counts) == len(skewed) and len(counts) <= parts
+    even = [(i, i, 10) for i in range(100)]
+    assert covered(readers.range_predicates("k", readers.equi_depth_bounds(even, 4)), [i for i in range(100) for _ in range(10)]) == [250] * 4
+    assert readers.equi_depth_bounds([], 8) == [] and readers.range_predicates("k", []) == ["1 = 1"]
+    assert readers.equi_depth_bounds([(5, 5, 100)], 4) == []
+    with pytest.raises(ValueError):
+        readers.range_predicates("k", [3, 3])

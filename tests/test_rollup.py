@@ -75,3 +75,38 @@ def test_top_by_count_equals_plain_top_k(spark):
     for size in (1, 10, 137, 499, 500, 900):
         want = df.orderBy(F.col("doc_count").desc(), F.col("client_id")).limit(size).collect()
         assert rollup.top_by_count(df, size, "client_id").collect() == want
+
+
+def test_trailing_spans_equal_the_whole_window(spark):
+    import random
+
+    rnd = random.Random(3)
+    start = datetime(2023, 12, 30)
+    data = [(c, k, start + timedelta(hours=rnd.randrange(400)), rnd.randrange(-500, 9000) / 100) for c in (1, 2, None) for k in ("A", None) for _ in range(150)]
+    data += [(1, "A", None, 3.25)]
+    hourly = spark.createDataFrame(list({r[:3]: r for r in data}.values()), HOURLY_SCHEMA)
+    for seconds in (0, 3600, 86400, 10 * 86400):
+        want = rows_of_totals(rollup.trailing_sum(hourly, seconds=seconds, scale=2))
+        for span in (3600, 5 * 3600, 86400, 365 * 86400):
+            split = rollup.trailing_sum(hourly, seconds=seconds, scale=2, span_seconds=span)
+            assert rows_of_totals(split) == want and split.columns == [*hourly.columns, "last24h_amount"]
+
+
+def rows_of_totals(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_a_long_history_is_in_many_groups(spark):
+    hourly = spark.range(24 * 365).selectExpr("id % 1 as client_id", "cast(id % 1 as string) as country", "timestamp_ntz '2023-01-01' + make_dt_interval(0, id) as hour", "1.0D as amount")
+    out = rollup.trailing_sum(hourly, scale=2, span_seconds=7 * 86400)
+    assert out.filter("last24h_amount = 25").count() == 24 * 365 - 24
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(client_id" in plan and "_span" in plan.split("hashpartitioning(client_id")[1][:80]
+
+
+def test_token_buckets(spark):
+    data = [("New York", 1.5), ("new  NEW york-city", 2.25), (None, 9.0), ("", 1.0), ("Österreich 7", 0.1), ("Österreich 7", 0.2)]
+    df = spark.createDataFrame(data, "country string, amount double")
+    got = {r.key: (r.doc_count, r.amount) for r in rollup.token_buckets(df, "country", "amount", scale=2).collect()}
+    assert got == {"new": (2, 3.75), "york": (2, 3.75), "city": (1, 2.25), "österreich": (2, 0.3), "7": (2, 0.3)}
+    assert [r.key for r in rollup.token_buckets(df, "country", "amount", size=2, scale=2).collect()] == ["7", "new"]

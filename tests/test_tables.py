@@ -62,3 +62,56 @@ def test_dump_copy_export_restore(spark, tmp_dir):
     orig = spark.read.parquet(f"{src}/region.parquet")
     assert back.schema == orig.schema and back.exceptAll(orig).count() == 0 and orig.exceptAll(back).count() == 0
     assert "events" in dump.folder_entries(spark, src) or "events.parquet" in dump.folder_entries(spark, src)
+
+
+def test_table_sizes_equal_the_files(spark, tmp_dir):
+    import os
+
+    spark.range(100).repartition(3).write.parquet(f"{tmp_dir}/folder")
+    files = [f for f in os.listdir(f"{tmp_dir}/folder") if f.endswith(".parquet")]
+    paths = {"region": f"{SF_SMALL}/region.parquet", "folder": f"{tmp_dir}/folder"}
+    got = {r.table_name: (r.file_count, r.size_bytes) for r in tables.table_sizes(spark, paths).collect()}
+    assert got == {"region": (1, os.path.getsize(paths["region"])), "folder": (3, sum(os.path.getsize(f"{tmp_dir}/folder/{f}") for f in files))}
+
+
+def test_content_sums_see_late_decimals_and_array_order(spark):
+    total = lambda x, a: tables.table_sums({"t": spark.createDataFrame([(x, a)], "x double, a array<float>")}).first().content_sum
+    base = total(1.5, [1.0, 2.0])
+    assert total(1.5, [1.0, 2.0]) == base and total(1.5000000001, [1.0, 2.0]) != base and total(1.5, [2.0, 1.0]) != base
+
+
+def test_a_broken_copy_goes_on(spark, tmp_dir):
+    rows = spark.range(500).selectExpr("id", "id % 7 as k", "cast(id as string) as name").union(spark.range(3).selectExpr("null", "id", "null"))
+    names = ["a", "b"]
+    calls = []
+
+    def read(name):
+        calls.append(name)
+        return rows
+
+    real = tables.table_sums
+
+    def broken(frames):
+        if len(done) == 5:
+            raise OSError("lost")
+        done.append(1)
+        return real(frames)
+
+    done = []
+    tables.table_sums = broken
+    try:
+        tables.copy_resumable(spark, read, tmp_dir, names, parts=4, parallelism=1)
+        raise AssertionError("not broken")
+    except OSError:
+        pass
+    finally:
+        tables.table_sums = real
+    assert tables.manifest(spark, tmp_dir).count() == 5
+    # the part that was written without its entry is written again, the others are not
+    assert tables.copy_resumable(spark, read, tmp_dir, names, parts=4) == {"a": 0, "b": 3}
+    assert tables.copy_resumable(spark, read, tmp_dir, names, parts=4) == {"a": 0, "b": 0}
+    for name in names:
+        back = tables.read_copied(spark, tmp_dir, name)
+        assert back.count() == 503 and back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+    assert all(r.parts == 4 and r.row_count == r.rows_read == 503 and r.content_sum == r.sum_read for r in tables.verify_copied(spark, tmp_dir, names).collect())
+    assert tables.copy_resumable(spark, read, tmp_dir, ["a"], parts=4, run="2") == {"a": 4}
