@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surgewatch.llm import ann, decontaminate, fingerprint, html, langid, lines, mixing, neardup, pii, substring, toxicity
+from surgewatch.llm import ann, decontaminate, fingerprint, html, importance, langid, lines, mixing, neardup, negatives, pii, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +109,27 @@ def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_fingerprint"] = fingerprint.oracle_sql(fingerprint.SAMPLES)
+
+
+#: Parameters of the importance draw: its share, the words that a drawn document needs, the buckets and the seed.
+DRAW = {"numerator": 5, "denominator": 100, "min_words": 20, "buckets": 10_000, "seed": "42"}
+
+
+@query
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the texts of ``benchmark``."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), **DRAW)
+
+
+ORACLE["op12_importance_resample"] = importance.oracle_sql(**DRAW)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels close to, but under, the score of an anchor's positives; every seventh label is moved on."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, "id % 50 = 0", positives=5, negatives=3, low=50, high=95, scale=256, id_col="vec_id", vec_col="embedding")
+
+
+ORACLE["op13_hard_negatives"] = negatives.ORACLE_SQL
