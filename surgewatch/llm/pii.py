@@ -1,22 +1,26 @@
 """Personal data: detected entities get keyed surrogates of the same type and format.
 
-Detected: e-mail addresses, phone numbers, card numbers, IPv4 addresses, US
-social security numbers, access keys and secrets in assignments, and names
-after a title. A surrogate keeps the entity's format: digits stay digits,
+Detected: e-mail addresses, phone numbers, card numbers, IBANs, IPv4 and IPv6
+addresses, US social security numbers, access keys, web tokens and secrets in
+assignments, and names after a title or after words that introduce a name
+("my name is"). A surrogate keeps the entity's format: digits stay digits,
 letters keep their case and script, punctuation, lengths, country codes and
 check digits stay; a name keeps its gender and script, and its parts are
 replaced one by one, so a mention by surname alone, with a title or
-without, still agrees if the text has the name after a title.
+without, still agrees if the text has the name after a title. A given name that
+the text uses with a title of one gender has that gender after "Dr" too.
 
 A surrogate is a keyed permutation of the entity within its format, so two
 entities never share one; names come from lists of their gender and script,
 with as many parts as are needed. Spark collects the distinct entities and
 checks: a surrogate that two entities share, or that is itself an entity of the
-corpus, goes to its next attempt until none is left. Only entities that moved
+corpus, goes to its next attempt until none is left; only those entities are
+carried to the next round. A format that is used up (all its values are entities)
+does not hold them forever: from attempt ``GIVE_UP`` on a keyed string is added. Only entities that moved
 past their first attempt are joined back to the documents.
 
-Cards, phones and social security numbers are known by their digits, however
-they are punctuated. The same entity has the same surrogate in all documents (for one ``key``).
+Cards, phones, IBANs and social security numbers are known by their digits, however
+they are punctuated. What has no letter or digit to replace is no entity. The same entity has the same surrogate in all documents (for one ``key``).
 
 Defined cases: null text stays null, empty text empty; a text without entities
 is unchanged; a null id is replaced like any other; rows that share an id are
@@ -55,31 +59,44 @@ SURNAMES = {
               "Quint", "Rossi", "Sander", "Torres", "Ullman", "Vidal", "Weber", "Xander", "York", "Zeller"],
     "cyrillic": ["Абрамов", "Белов", "Волков", "Громов", "Данилов", "Ершов", "Жуков", "Зимин", "Ильин", "Козлов", "Лаптев", "Миронов"],
 }
-CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+#: Words that introduce a name, and particles inside one.
+INTRODUCTIONS = ["my name is", "my name's", "mein Name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "mi chiamo", "меня зовут"]
+PARTICLES = ["van der", "van den", "van", "von der", "von", "de la", "de", "del", "della", "di", "da", "dos", "du", "le", "ter", "bin"]
+CAP = r"(?:[OD]['’]|Mc|Mac)?[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 GENDER = {t.lower(): g for g, titles in TITLES.items() for t in titles}
 
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 NUMBER = re.compile(
-    rf"(?P<ip>(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?!\d)(?:[ .-]\d{2,4}(?!\d)){1,3}|\+\d{8,15}(?!\d)"
-    r"|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}([.-])\d{3}\3\d{4}(?![\d-])))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])[3-6]\d{12,18}(?![\w-])|(?<![\w-])[3-6]\d{3}([ -])\d{4}\6\d{4}\6\d{1,7}(?![\w-]))")
+    rf"(?P<ip>(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.[0-9]))"
+    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?![0-9])(?:[ .-][0-9]{2,4}(?![0-9])){1,3}|\+[0-9]{8,15}(?![0-9])"
+    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}(?P<dot>[.-])[0-9]{3}(?P=dot)[0-9]{4}(?![0-9-])"
+    r"|\(?0[0-9]{2}\)? [0-9]{4} [0-9]{4}(?![\w-])|\(?0[0-9]{3}\)? [0-9]{3} [0-9]{4}(?![\w-])|0[0-9]{4} [0-9]{6}(?![\w-])))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<card>(?<![\w-])[3-6][0-9]{12,18}(?![\w-])|(?<![\w-])[3-6][0-9]{3}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}(?![\w-]))")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+HEXES = r"[0-9A-Fa-f]{1,4}"
+IP6 = re.compile(rf"(?<![\w:.])(?:(?:{HEXES}:){{7}}{HEXES}|(?:{HEXES}:){{1,6}}(?::{HEXES}){{1,6}})(?![\w:])")
 DIGIT, DIGIT_RUN, ASSIGNED = re.compile(r"[0-9]"), re.compile(r"[0-9]*"), re.compile(r"[=:]")
-ACCESS_KEYS = [re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")]
+ACCESS_KEYS = [re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
+               re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")]
+#: A password of small letters alone, unquoted after a colon, is taken for prose ("password: required") below this length.
+PROSE = 16
 SECRET_NAME = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}\Z")
 TELLING = re.compile(r"(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,3}\Z")
 SECRET_VALUE = re.compile(r"\s{0,3}(?P<quote>[\"'])?(?P<value>[A-Za-z0-9+/_.-]{8,})")
 TITLE = "|".join(re.escape(t) for titles in TITLES.values() for t in titles)
 WORD = re.compile(r"\w+")
 CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]\w*")
-NAME = re.compile(rf"(?P<title>{TITLE})\.? (?P<first>{CAP})(?: (?P<last>{CAP}))?")
+PARTS = "(?:(?:" + "|".join(re.escape(p) for p in PARTICLES) + ") )?"
+NAME = re.compile(rf"(?P<title>{TITLE})\.? (?:(?P<first>{CAP}) {PARTS}(?P<last>{CAP})|{PARTS}(?P<only>{CAP}))")
+INTRODUCED = re.compile(rf"(?i:{'|'.join(re.escape(i) for i in INTRODUCTIONS)}) (?P<first>{CAP})(?: {PARTS}(?P<last>{CAP}))?")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Kinds whose entity is its digits, however they are written (a phone number with its ``+``).
 NUMBERS = frozenset(["card", "phone", "ssn"])
-COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})")
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})")
+GIVE_UP = 8
 ENTITY = "kind string, value string"
 MAX_BROADCAST = 200_000
 
@@ -98,7 +115,7 @@ def _untitled(text: str, titled: list[tuple[int, int, str, str]]) -> list[tuple[
         start, end = m.span()
         if start < past:
             continue
-        joined = WORD.match(text, end + 1) if text.startswith("-", end) else None
+        joined = WORD.match(text, end + 1) if text.startswith(("-", "'", "’"), end) else None
         if joined and text[start:joined.end()] in known:
             end = joined.end()
         name = text[start:end]
@@ -128,6 +145,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if hit:
             found.append((hit.start(), hit.end(), hit.lastgroup or "phone", hit[0]))
         at = hit.end() if hit else DIGIT_RUN.match(text, s).end()
+    found += [(m.start(), m.end(), "iban", m[0]) for m in IBAN.finditer(text) if iban_check(m[0].replace(" ", "")) == m[0][2:4]]
+    if "::" in text or text.count(":") >= 7:
+        found += [(m.start(), m.end(), "ip6", m[0]) for m in IP6.finditer(text) if not m[0].replace(":", "").isdigit() or m[0].count(":") == 7]
     for pattern in ACCESS_KEYS:
         found += [(m.start(), m.end(), "secret", m[0]) for m in pattern.finditer(text) if not (m.start() and text[m.start() - 1].isalnum())]
     for m in ASSIGNED.finditer(text):
@@ -135,7 +155,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if value:
             raw, lo = value["value"].rstrip("."), value.start("value")
             # a password may be letters alone; behind a mere "token" unquoted words are mostly code and prose
-            if sum(c.isdigit() for c in raw) >= 2 or len(raw) >= 8 and (value["quote"] or TELLING.search(text, max(0, m.start() - 14), m.start())):
+            telling = TELLING.search(text, max(0, m.start() - 14), m.start())
+            prose = m[0] == ":" and not value["quote"] and len(raw) < PROSE and raw.isascii() and raw.isalpha() and raw[1:].islower()
+            if any(c.isalnum() for c in raw) and (sum(c.isdigit() for c in raw) >= 2 or len(raw) >= 8 and not prose and (value["quote"] or telling)):
                 found.append((lo, lo + len(raw), "secret", raw))
     titled = []
     for m in NAME.finditer(text):
@@ -146,7 +168,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             titled.append((*m.span("first"), f"given-{gender}", m["first"]))
             titled.append((*m.span("last"), "surname", m["last"]))
         else:
-            titled.append((*m.span("first"), "surname", m["first"]))
+            titled.append((*m.span("only"), "surname", m["only"]))
+    for m in INTRODUCED.finditer(text):
+        titled.append((*m.span("first"), "given-x", m["first"]))
+        if m["last"]:
+            titled.append((*m.span("last"), "surname", m["last"]))
+    # one person, one name: a title without gender takes the gender that the text gives the name elsewhere
+    genders: dict[str, set[str]] = {}
+    for _, _, kind, value in titled:
+        if kind in ("given-f", "given-m"):
+            genders.setdefault(value.lower(), set()).add(kind)
+    titled = sorted((s, e, next(iter(genders[v.lower()])) if k == "given-x" and len(genders.get(v.lower(), ())) == 1 else k, v) for s, e, k, v in titled)
     found += titled + _untitled(text, titled)
     found.sort(key=lambda f: (f[0], f[0] - f[1]))
     out, end = [], 0
@@ -203,6 +235,12 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(value: str) -> str:
+    """The two check digits that belong to an IBAN without spaces (ISO 7064)."""
+    number = "".join(str(int(c, 36)) for c in value[4:] + value[:2])
+    return f"{98 - int(number + '00') % 97:02d}"
+
+
 def script_of(value: str) -> str:
     return "cyrillic" if any("CYRILLIC" in unicodedata.name(c, "") for c in value) else "latin"
 
@@ -250,10 +288,20 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
         out = permuted(local, _classes(local), key, tweak) + "@" + permuted(label, _classes(label), key, "domain") + f".{top}.example"
     elif kind in NUMBERS:
         out = _laid(_digits(kind, normal(kind, value), key, attempt), value)
+    elif kind == "iban":
+        bare = normal(kind, value)
+        out = permuted(bare, [None] * 4 + _classes(bare[4:]), key, tweak)
+        left = iter(out[:2] + iban_check(out) + out[4:])
+        out = "".join(c if c == " " else next(left) for c in value)
+    elif kind == "ip6":
+        out = permuted(value, [DIGITS + "abcdef" if c != ":" else None for c in value], key, tweak)
     else:
         head = re.match(r"AKIA|gh[pousr]_", value)
         classes = _classes(value)
         out = permuted(value, [None if head and i < head.end() else c for i, c in enumerate(classes)], key, tweak)
+    if attempt >= GIVE_UP:   # the format may have no free value left
+        more = _number(key, "more", kind, normal(kind, value), attempt)
+        out += ("" if kind in NUMBERS or kind == "iban" else "-") + str(more)[:attempt]
     return out
 
 
@@ -261,7 +309,9 @@ def normal(kind: str, value: str) -> str:
     """One spelling for mentions of the same entity."""
     if kind in NUMBERS:
         return ("+" if value.startswith("+") else "") + "".join(c for c in value if c in DIGITS)
-    return value.lower() if kind == "email" or kind.startswith("given") or kind == "surname" else value
+    if kind == "iban":
+        return value.replace(" ", "")
+    return value.lower() if kind in ("email", "ip6") or kind.startswith("given") or kind == "surname" else value
 
 
 def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[dict]]:
@@ -269,7 +319,7 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     parts, spans, last, size = [], [], 0, 0
     for start, end, kind, value in detect(text):
         own = normal(kind, value)
-        new = surrogate(kind, value if kind in NUMBERS else own, key, attempts.get((kind, own), 0))
+        new = surrogate(kind, value if kind in NUMBERS or kind == "iban" else own, key, attempts.get((kind, own), 0))
         if kind != "email" and value.isupper() and not new.isupper():
             new = new.upper()
         parts += [text[last:start], new]
@@ -295,18 +345,21 @@ def moved(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["kind", "value", "attempt", "surrogate"])
 
     entities = saved(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(read, ENTITY).distinct(), "entities")
-    state = entities.withColumn("attempt", F.lit(0))
+    real = entities.select("kind", F.col("value").alias("surrogate"))
+    active, settled, attempt = entities, None, 0
     while True:
-        state = saved(state.mapInArrow(replace, "kind string, value string, attempt int, surrogate string"), "surrogates")
-        real = entities.select(F.col("kind"), F.col("value").alias("surrogate")).distinct()
-        first = state.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.max("value").alias("last"))
-        shared = first.filter("first <> last").select("kind", "surrogate", "first")
-        taken = state.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")
-        clash = state.join(shared, ["kind", "surrogate"]).filter("value <> first").select("kind", "value").union(taken).distinct()
-        clash = saved(clash.withColumn("again", F.lit(1)), "clashes")
-        if clash.isEmpty():
-            return state.filter("attempt > 0").select("kind", "value", "attempt")
-        state = state.join(clash, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+        tried = saved(active.select("kind", "value", F.lit(attempt).alias("attempt")).mapInArrow(replace, "kind string, value string, attempt int, surrogate string"), "surrogates")
+        # free: no entity of the corpus, of no other entity before, and of the smallest of those that try it now
+        free = tried.join(real, ["kind", "surrogate"], "left_anti")
+        if settled is not None:
+            free = free.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        firsts = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
+        won = saved(firsts.withColumn("attempt", F.lit(attempt)), "settled")
+        settled = won if settled is None else settled.unionByName(won)
+        active = saved(tried.join(won.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value"), "clashes")
+        if active.isEmpty():
+            return settled.filter("attempt > 0").select("kind", "value", "attempt")
+        attempt += 1
 
 
 def anonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

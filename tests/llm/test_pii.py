@@ -114,3 +114,61 @@ def test_one_number_in_several_spellings_has_one_surrogate():
         assert [re.sub(r"\d", "9", v) for v in new] == [re.sub(r"\d", "9", v) for v in spellings] and bare(new[0]) != bare(spellings[0])
     new, _ = pii.replaced("(415) 555-0101 or 415-555-0101", KEY, {("phone", "4155550101"): 1})
     assert len({bare(v) for v in new.split(" or ")}) == 1
+
+
+def test_values_without_anything_to_replace_end(spark):
+    texts = ["password: ________ pwd=-------- secret = \"////////\"", "call +1\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668 or 4\u0661\u0662\u0663 4\u0661\u0662\u0663"]
+    rows = {r.doc_id: r for r in pii.anonymise(docs(spark, texts), KEY).collect()}
+    assert {i: r.text for i, r in rows.items()} == dict(enumerate(texts)) and not any(r.n_entities for r in rows.values())
+
+
+def test_a_format_that_is_used_up_gets_longer_surrogates(spark):
+    texts = [f"password='_________{c}'" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = pii.anonymise(docs(spark, texts), KEY).collect()
+    new = [re.search(r"'(.*)'", r.text)[1] for r in rows]
+    assert len(set(new)) == 26 and not set(new) & {f"_________{c}" for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
+def test_one_person_has_one_name():
+    new, spans = pii.replaced("Dr Anna Schmidt and Mrs Anna Schmidt", KEY, {})
+    first, second = re.fullmatch(r"Dr (.*) and Mrs (.*)", new).groups()
+    assert first == second and first.split()[0] in pii.GIVEN["f", "latin"] and len(spans) == 4
+
+
+#: A hand-marked set: texts with the entities in them.
+MARKED = [
+    ("My name is Anna Schmidt and I live here.", ["Anna", "Schmidt"]),
+    ("Mr van der Berg met Ms. O'Brien; Frau von der Heide and Dr McGregor wrote.", ["Berg", "O'Brien", "Heide", "McGregor"]),
+    ("Je m'appelle Claire de la Tour.", ["Claire", "Tour"]),
+    ("меня зовут Пётр Иванов", ["Пётр", "Иванов"]),
+    ("pay to DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 today", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]),
+    ("not an account: DE00 3704 0044 0532 0130 00", ["3704 0044 0532 0130"]),
+    ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23 at 12:30:45", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23"]),
+    ("ring 020 7946 0958, (0161) 496 0000 or +44 20 7946 0958", ["020 7946 0958", "(0161) 496 0000", "+44 20 7946 0958"]),
+    ("Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcDEF123_-xyz789", ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcDEF123_-xyz789"]),
+    ("password: required, secret: unchanged; token: identifier", []),
+    ("password=hunter22x and api_key = 'q8w7e6r5t4'", ["hunter22x", "q8w7e6r5t4"]),
+    ("In May 2024 the Senate met in Rome at 10:20:30, see RFC 2616 and ISO 8601-2019.", []),
+    ("My name is on the list. The name is short.", []),
+]
+
+
+def test_hand_marked_texts():
+    wrong = [(t, want, [v for _, _, _, v in pii.detect(t)]) for t, want in MARKED if [v for _, _, _, v in pii.detect(t)] != want]
+    assert not wrong
+
+
+def test_surrogates_of_the_other_kinds_keep_their_format():
+    new = pii.surrogate("iban", "DE89 3704 0044 0532 0130 00", KEY, 0)
+    bare = new.replace(" ", "")
+    assert re.sub(r"\d", "9", new) == "DE99 9999 9999 9999 9999 99" and pii.iban_check(bare) == bare[2:4] and new[5:] != "3704 0044 0532 0130 00"
+    assert pii.surrogate("iban", "DE89370400440532013000", KEY, 0) == bare
+    six = pii.surrogate("ip6", "fe80::1ff:fe23", KEY, 0)
+    assert re.sub(r"[0-9a-f]", "x", six) == "xxxx::xxx:xxxx" and six != "fe80::1ff:fe23"
+    token = pii.surrogate("secret", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcDEF123_-xyz789", KEY, 0)
+    assert [len(x) for x in token.split(".")] == [20, 19, 17]
+
+
+def test_repeated_rows_are_replaced_alike(spark):
+    df = docs(spark, ["mail a.b@c.example.com"])
+    assert len({r.text for r in pii.anonymise(df.union(df), KEY).collect()}) == 1
