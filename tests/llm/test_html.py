@@ -30,7 +30,7 @@ def test_whole_table(spark):
 
 
 def one(source):
-    return [t for t, _ in html.parse(source)]
+    return [t for t, _, _ in html.parse(source).blocks]
 
 
 def test_markup():
@@ -84,3 +84,55 @@ def test_copies_of_one_page_do_not_vote(spark):
     rows += [(100 + i, f"https://copy.example.com/{i}", f"<p>about us</p><p>other {i}</p>") for i in range(9)]
     got = texts(html.main_text(spark.createDataFrame(rows, PAGES).repartition(4)))
     assert got == {i: "Title\nfirst\nsecond" for i in range(30)} | {100 + i: f"about us\nother {i}" for i in range(9)}
+
+
+def test_attributes_are_scanned_as_values():
+    assert one("<p><a href=it's>one</a></p><p>two</p><p>it's three</p>") == ["one", "two", "it's three"]
+    assert one('<p title="abc>Hello</p><p>there</p>') == ["Hello", "there"]
+    assert one("<p title='a > b' data-x=\"c's > d\" hidden-not = 5/6 >q</p><p =odd / >r</p><p a='x'b=y>s</p>") == ["q", "r", "s"]
+    assert one("<p " + "a=b " * 20_000 + "x") == ["<p " + "a=b " * 20_000 + "x"]
+
+
+def test_class_words_inside_and_outside_articles():
+    inside = "<article><section id='related-work'><p>cited</p></section><div class='share-price-table'>7.5</div><p class='alert note'>careful</p>{}</article>"
+    assert one(inside.format("<div class='comments'>C</div><div class='box ad'>A</div><ul class='share'><li>S</ul>")) == ["cited", "7.5", "careful"]
+    assert one("<div class='share-price-table'>7.5</div><section id=related-work>cited</section><div class='cookie-banner'>C</div>"
+               "<div id='site_footer'>F</div><div class='sponsored box'>S</div>") == ["7.5", "cited"]
+
+
+def test_deeply_nested_text_is_linear():
+    page = html.parse("<div>t" * 3000)
+    assert len(page.blocks) == 3000 and len(page.keys()) == len(page.parents()) <= 3001
+    assert html.kept_texts({"blocks": [{"text": t, "at": at, "pieces": [{"at": a, "sign": s} for a, s in p]} for t, at, p in page.blocks],
+                            "keys": page.keys(), "parents": page.parents()}, {page.keys()[2000]}) == ["t"] * 1999
+
+
+def subtree_counts(pages):
+    """host -> subtree -> distinct pages, from the parsed pages alone."""
+    seen = {}
+    for host, source in pages:
+        page = html.parse(source)
+        signs = {s for _, _, pieces in page.blocks for _, s in pieces if s is not None}
+        seen.setdefault(host, {}).setdefault(tuple(t for t, _, _ in page.blocks), {k for k in page.keys() if k is not None} | signs)
+    counts = {}
+    for host, contents in seen.items():
+        for keys in contents.values():
+            for k in keys:
+                counts.setdefault(host, {}).setdefault(k, 0)
+                counts[host][k] += 1
+    return counts, {h: len(c) for h, c in seen.items()}
+
+
+def test_templates_equal_a_plain_count(spark):
+    menu = "<nav><a>Home</a> | <a>News</a></nav><div class='ad'>buy</div>"
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<body>{menu}<p>line {i % 7}</p><div><i>made by us</i></div><p>own {i // 2}</p>{'<p>often</p>' * (i % 5 > 0)}</body>")
+            for i in range(90)]
+    counts, pages = subtree_counts([(f"h{i % 3}.example", h) for i, _, h in rows])
+    for share, least in ((0.75, 10), (0.1, 2), (1.0, 1)):
+        want = {h: sorted(k for k, n in c.items() if n >= least and n >= share * pages[h]) for h, c in counts.items()}
+        got = html.templates(html.parsed(spark.createDataFrame(rows, PAGES).repartition(4)), share, least).collect()
+        assert {r.host: sorted(r.subtrees) for r in got} == want
+    n = html.removals(spark.createDataFrame(rows, PAGES)).first()
+    # the menu and the advert are template too; "made by us" and "often" are template only
+    assert (n.pages, n.ruled_blocks, n.ruled_and_template) == (90, 180, 180)
+    assert n.template_blocks == 90 + sum(i % 5 > 0 for i in range(90)) and n.blocks == 3 * 90 + sum(i % 5 > 0 for i in range(90))
