@@ -35,6 +35,8 @@ from surgewatch.llm.exchange import saved
 SEGMENTS = (1, 2, 4, 8)
 SLICE_BYTES = 16 << 20
 BLOCK_PAIRS, PAIRS = 1 << 20, 1 << 16
+#: Share of the pairs of a block above which bounds are taken for the whole block.
+DENSE = 0.02
 LOW = -(1 << 62)
 
 
@@ -96,28 +98,48 @@ def by_length(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, Ve
         yield at, Vectors(ids[at], labels[at], flat[rows], means[more], devs[more])
 
 
-def pairs_left(a: Vectors, b: Vectors, wanted: np.ndarray, passes: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], dense: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(anchor, row, exact score)`` of the wanted pairs that pass every level, in runs of bounded size.
+def pairs_left(a: Vectors, b: Vectors, wanted: np.ndarray, least: np.ndarray, most: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(anchor, row, exact score)`` of the wanted pairs whose score is ``least`` or more (and ``most`` or less), in runs of bounded size.
 
-    ``dense(low, high)`` tells from bounds of all pairs, ``passes(anchor, low, high)`` from bounds of
-    single pairs, which can have a place in the result.
+    Level by level, pairs whose bounds rule that out go. While many pairs of the block are left, a
+    level's bounds are one matrix product each; once few are, they are computed pair by pair.
     """
-    steps = levels(a.x.shape[1])
-
-    def bounds(level: slice, product: Callable) -> tuple[np.ndarray, np.ndarray]:
-        mid, off = product(a.means[:, level], b.means[:, level]), product(a.devs[:, level], b.devs[:, level])
-        off = off + 1e-9 * (1.0 + np.abs(mid) + off)   # rounding
-        return mid - off, mid + off
-
-    if steps:
-        low, high = bounds(steps[0], lambda x, y: x @ y.T)
-        wanted = wanted & dense(low, high)
-    i_all, j_all = np.nonzero(wanted)
+    d = a.x.shape[1]
+    steps, left = levels(d), wanted
+    for k, level in enumerate(steps):
+        if k and np.count_nonzero(left) <= DENSE * left.size:
+            yield from _sparse(a, b, left, steps[k:], least, most)
+            return
+        slack = 1e-9 * (1.0 + float(np.abs(a.means[:, level]).sum(axis=1).max(initial=0) + a.devs[:, level].sum(axis=1).max(initial=0))
+                        * float(np.abs(b.means[:, level]).max(initial=0) + b.devs[:, level].max(initial=0)))
+        theirs = np.concatenate([b.means[:, level], b.devs[:, level]], axis=1).T
+        left = left & (np.concatenate([a.means[:, level], a.devs[:, level]], axis=1) @ theirs >= (least - slack)[:, None])
+        if most is not None:
+            left &= np.concatenate([a.means[:, level], -a.devs[:, level]], axis=1) @ theirs <= (most + slack)[:, None]
+    if np.count_nonzero(left) <= DENSE * left.size:
+        yield from _sparse(a, b, left, [], least, most)
+    elif len(left):
+        # whole numbers below 2 ** 53 are exact in a product of doubles
+        exact = d * float(np.abs(a.x).max(initial=0)) * float(np.abs(b.x).max(initial=0)) < 1 << 53
+        scores = a.x.astype(np.float64) @ b.x.T.astype(np.float64) if exact else a.x @ b.x.T
+        left = left & (scores >= least[:, None])
+        if most is not None:
+            left &= scores <= most[:, None]
+        i, j = np.nonzero(left)
+        yield i, j, scores[i, j].astype(np.int64)
+
+
+def _sparse(a: Vectors, b: Vectors, left: np.ndarray, steps: list[slice], least: np.ndarray, most: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    i_all, j_all = np.nonzero(left)
     for at in range(0, len(i_all), PAIRS):
         i, j = i_all[at:at + PAIRS], j_all[at:at + PAIRS]
-        for level in steps[1:]:
-            low, high = bounds(level, lambda x, y, i=i, j=j: np.einsum("ij,ij->i", x[i], y[j]))
-            keep = passes(i, low, high)
+        for level in steps:
+            mid = np.einsum("ij,ij->i", a.means[i, level], b.means[j, level])
+            off = np.einsum("ij,ij->i", a.devs[i, level], b.devs[j, level])
+            off = off + 1e-9 * (1.0 + np.abs(mid) + off)   # rounding
+            keep = mid + off >= least[i]
+            if most is not None:
+                keep &= mid - off <= most[i]
             i, j = i[keep], j[keep]
         yield i, j, np.einsum("ij,ij->i", a.x[i], b.x[j])
 
@@ -170,9 +192,7 @@ def meet_positives(a: Vectors, b: Vectors, best: Best) -> None:
         for label in np.intersect1d(a.labels, rows.labels).tolist():
             mine, theirs = np.flatnonzero(a.labels == label), np.flatnonzero(rows.labels == label)
             some, others = a.take(mine), rows.take(theirs)
-            need = best.last()[mine].astype(np.float64)
-            for i, j, scores in pairs_left(some, others, some.ids[:, None] != others.ids[None, :], lambda i, low, high, need=need: high >= need[i],
-                                           lambda low, high, need=need: high >= need[:, None]):
+            for i, j, scores in pairs_left(some, others, some.ids[:, None] != others.ids[None, :], best.last()[mine].astype(np.float64), None):
                 best.add(mine[i], scores, others.ids[j])
 
 
@@ -183,35 +203,37 @@ def meet_negatives(a: Vectors, b: Vectors, floor: np.ndarray, ceiling: np.ndarra
         need = np.maximum(floor, best.last().reshape(len(a), many)).astype(np.float64)
         need[floor > ceiling] = np.inf
         top = np.where(floor > ceiling, -np.inf, ceiling.astype(np.float64))
-        least, most = need.min(axis=1), top.max(axis=1)
-        for i, j, scores in pairs_left(a, rows, a.labels[:, None] != rows.labels[None, :],
-                                       lambda i, low, high, need=need, top=top: ((high[:, None] >= need[i]) & (low[:, None] <= top[i])).any(axis=1),
-                                       lambda low, high, least=least, most=most: (high >= least[:, None]) & (low <= most[:, None])):
+        for i, j, scores in pairs_left(a, rows, a.labels[:, None] != rows.labels[None, :], need.min(axis=1), top.max(axis=1)):
             pair, slot = np.nonzero((scores[:, None] >= floor[i]) & (scores[:, None] <= ceiling[i]))
             best.add(i[pair] * many + slot, scores[pair], rows.ids[j[pair]])
 
 
 def summarised(vectors: DataFrame, scale: int, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """``id, label, x, means, devs`` of the rows that take part; ``x`` are the components times ``scale``, rounded down."""
-    whole = F.transform(F.col("v"), lambda c: F.floor(F.lit(float(scale)) * c))
     rows = (vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-            .filter("id is not null and label is not null and v is not null")
-            .filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))).select("id", "label", whole.alias("x")))
+            .filter("id is not null and label is not null and v is not null"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = lists(batch["x"], np.int64)
-            lengths = np.diff(offsets)
-            if len(flat) and int(max(-int(flat.min()), int(flat.max()))) ** 2 * int(lengths.max()) >= 1 << 62:
+            flat, offsets = lists(batch["v"], np.float64)   # a null component reads as NaN
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            fine = np.flatnonzero(bad[offsets[1:]] == bad[offsets[:-1]])
+            n = np.diff(offsets)[fine]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            x = np.floor(scale * flat[np.repeat(offsets[fine] - ends[:-1], n) + np.arange(ends[-1])])
+            if float(np.abs(x).max(initial=0)) ** 2 * float(n.max(initial=0)) >= 1 << 62:
                 raise ValueError("a component is too large for scores of 64 bits")
-            means, devs = [None] * len(lengths), [None] * len(lengths)
-            for d in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == d)
-                m, s = summaries(flat[offsets[at][:, None] + np.arange(d)].astype(np.float64))
-                for k, i in enumerate(at.tolist()):
-                    means[i], devs[i] = m[k], s[k]
-            double = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["x"], pa.array(means, double), pa.array(devs, double)], ["id", "label", "x", "means", "devs"])
+            x = x.astype(np.int64)
+            wide = {d: sum(s for s in SEGMENTS if s <= d) for d in np.unique(n).tolist()}
+            stops = np.concatenate([[0], np.cumsum([wide[d] for d in n.tolist()])]).astype(np.int64)
+            means, devs = np.empty(stops[-1]), np.empty(stops[-1])
+            for d, width in wide.items():
+                at = np.flatnonzero(n == d)
+                places = stops[at][:, None] + np.arange(width)
+                means[places], devs[places] = summaries(x[ends[at][:, None] + np.arange(d)].astype(np.float64))
+            listed = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in ((ends, x), (stops, means), (stops, devs))]
+            chosen = pa.array(fine)
+            yield pa.RecordBatch.from_arrays([batch["id"].take(chosen), batch["label"].take(chosen), *listed], ["id", "label", "x", "means", "devs"])
 
     return rows.mapInArrow(store, "id bigint, label bigint, x array<bigint>, means array<double>, devs array<double>")
 

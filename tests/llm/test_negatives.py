@@ -69,8 +69,28 @@ def test_few_pairs_are_scored_exactly():
     rows = negatives.Vectors(np.arange(4000), np.zeros(4000, int), x, means, devs)
     a = rows.take(slice(0, 4000, 100))
     need = np.sort(a.x @ x.T, axis=1)[:, -6].astype(float)
-    scored = sum(len(i) for i, _, _ in negatives.pairs_left(a, rows, np.ones((40, 4000), bool), lambda i, low, high: high >= need[i], lambda low, high: high >= need[:, None]))
-    assert scored < 0.1 * 40 * 4000
+    sparse = []
+    real = negatives._sparse
+    try:
+        negatives._sparse = lambda *args: ((sparse.append(len(x[0])), x)[1] for x in real(*args))
+        got = sum(len(i) for i, _, _ in negatives.pairs_left(a, rows, np.ones((40, 4000), bool), need, None))
+    finally:
+        negatives._sparse = real
+    assert got >= 6 * 40 and 0 < sum(sparse) < 0.02 * 40 * 4000
+
+
+def test_both_ways_of_filtering_agree(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-90, 90, (300, 16))
+    means, devs = negatives.summaries(x.astype(float))
+    rows = negatives.Vectors(np.arange(300), np.zeros(300, int), x, means, devs)
+    scores, wanted = x @ x.T, ~np.eye(300, dtype=bool)
+    least, most = np.quantile(scores, 0.8, axis=1), np.quantile(scores, 0.97, axis=1)
+    want = {(i, j, int(scores[i, j])) for i, j in zip(*np.nonzero(wanted & (scores >= least[:, None]) & (scores <= most[:, None])), strict=True)}
+    for share in (0.0, 0.5, 1.0):
+        monkeypatch.setattr(negatives, "DENSE", share)
+        got = {(int(i), int(j), int(v)) for ii, jj, vv in negatives.pairs_left(rows, rows, wanted, least, most) for i, j, v in zip(ii, jj, vv, strict=True)}
+        assert want == {(i, j, v) for i, j, v in got if least[i] <= v <= most[i]}
 
 
 def test_best_keeps_the_first_of_each_list():
