@@ -66,14 +66,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def signatures(rows: DataFrame, keys: list[str], texts: list[str], digests: list[str] | None = None, samples: int = SAMPLES) -> DataFrame:
-    """``keys``, ``sig_<text>`` (array of samples; null without a word) of each text column, and ``digests``.
+def signatures(rows: DataFrame, keys: list[str], texts: list[str], digests: list[str] | None = None, numbers: list[str] | None = None,
+               samples: int = SAMPLES) -> DataFrame:
+    """``keys``, ``sig_<text>`` (array of samples; null without a word) of each text column, ``digests`` and ``numbers``.
 
     ``keys`` (numbers) tell rows apart; if the rows are already dealt by some of them, nothing is
     shuffled. ``digests`` are columns of 64 hex digits that come along, as eight numbers beside the
-    words. A word that has the same weight in several texts of a row is sampled once for all of them.
+    words, and ``numbers`` bigint columns: keys are held for every sample, so they are few. A word that has the same weight in several texts of a row is sampled once for all of them.
     """
-    digests, n = digests or [], len(texts)
+    digests, numbers, n = digests or [], numbers or [], len(texts)
 
     def tagged(tag: int, term: Column) -> Column:
         return F.struct(F.lit(tag).alias("tag"), term.alias("term"))
@@ -83,6 +84,7 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], digests: list
         return F.transform(words(F.col(texts[i])), lambda t: tagged(i, F.crc32(t.cast("binary"))))
 
     pieces = [tagged(n + 8 * j + i, F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("bigint")) for j, c in enumerate(digests) for i in range(8)]
+    pieces += [tagged(n + 8 * len(digests) + j, F.col(c).cast("bigint")) for j, c in enumerate(numbers)]
     marker = tagged(-1, F.lit(0).cast("bigint"))
     terms = rows.select(*keys, F.explode(F.concat(*[of_words(i) for i in range(n)], F.array(*pieces, marker))).alias("e")).select(*keys, "e.*")
     is_word = F.col("tag").between(0, n - 1)
@@ -117,8 +119,9 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], digests: list
         return F.sort_array(F.collect_list(held_in))["value"]
 
     out = per.groupBy(*keys).agg(*[listed(f"a{i}", 0, samples).alias(f"sig_{c}") for i, c in enumerate(texts)],
-                                 *[listed("piece", samples + n + 8 * j, samples + n + 8 * j + 8).alias(c) for j, c in enumerate(digests)])
-    return out.select(*keys, *[F.when(F.size(f"sig_{c}") > 0, F.col(f"sig_{c}")).alias(f"sig_{c}") for c in texts], *[hex_digits(F.col(c), 8).alias(c) for c in digests])
+                                 *[listed("piece", samples + n + 8 * j, samples + n + 8 * j + 8).alias(c) for j, c in enumerate(digests)],
+                                 *[F.max(F.when(F.col("k") == samples + n + 8 * len(digests) + j, F.col("piece"))).alias(c) for j, c in enumerate(numbers)])
+    return out.select(*keys, *[F.when(F.size(f"sig_{c}") > 0, F.col(f"sig_{c}")).alias(f"sig_{c}") for c in texts], *[hex_digits(F.col(c), 8).alias(c) for c in digests], *numbers)
 
 
 def hex_digits(values: Column, digits: int) -> Column:
@@ -173,7 +176,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     rows = in_ranges(docs, id_col, text_col)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
-    sigs = signatures(rows, ["range", "no", "halo", "id", "n_chars"], ["text", "edited"], ["edited_sha256"], samples)
+    sigs = signatures(rows, ["range", "no"], ["text", "edited"], ["edited_sha256"], ["halo", "id", "n_chars"], samples)
     nexts = Window.partitionBy("range").orderBy("no")
     sigs = sigs.withColumn("sig_next", F.lead("sig_text").over(nexts)).filter("halo = 0")
     return sigs.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", hex_digits(F.col("sig_text"), 6).alias("fingerprint"),
@@ -184,7 +187,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``doc_id, fingerprint`` of every text: one row a document, dealt by a number of its row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sigs = signatures(rows, ["row", "id"], ["text"], samples=samples)
+    sigs = signatures(rows, ["row"], ["text"], numbers=["id"], samples=samples)
     return sigs.select(F.col("id").alias("doc_id"), hex_digits(F.col("sig_text"), 6).alias("fingerprint"))
 
 
