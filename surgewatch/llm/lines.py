@@ -23,11 +23,12 @@ empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -246,6 +247,25 @@ def _candidates(chunks: DataFrame, n: int, max_edits: int, chars_per_edit: int)
     return exchange.asked(chunks.select("chunk", "ids", "lens", "text"), ask, reply, tell, CANDIDATES)
 
 
+def histograms(chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each line 32 counts of its characters, folded by their low bits and cut at 255, as four 64-bit numbers."""
+    n = len(ends)
+    size = np.diff(np.concatenate([[0], ends]))
+    owner = np.repeat(np.arange(n, dtype=np.int64), size)
+    counts = np.bincount(owner * 32 + (chars & np.uint32(31)).astype(np.int64), minlength=n * 32)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, 32).view("<i8")
+
+
+def alike(max_edits: int) -> Callable[[Column, Column], Column]:
+    """Whether two lines' lengths and histograms allow ``max_edits`` edits: each edit moves a length by one, the counts by two."""
+    def possible(x: Column, y: Column) -> Column:
+        apart = [F.abs(F.shiftrightunsigned(x[f"h{i}"], at).bitwiseAND(255) - F.shiftrightunsigned(y[f"h{i}"], at).bitwiseAND(255))
+                 for i in range(4) for at in range(0, 64, 8)]
+        return (F.abs(x["size"] - y["size"]) <= max_edits) & (reduce(lambda a, b: a + b, apart) <= 2 * max_edits)
+
+    return possible
+
+
 def _near(pairs: DataFrame, lines: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
     text = lines.select("sig", "line")
     joined = (pairs.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a").select("a", "b", "ta", "tb"))
@@ -276,14 +296,15 @@ def decisions(candidates: DataFrame, max_edits: int, chars_per_edit: int) -> Dat
                 order, at = exchange.distinct_pairs(keys, owners)
                 mine = np.add.reduceat(own[order].astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
                 lines_of = owners[order][at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[order][at].view(np.int64)), batch["sig"].take(pa.array(lines_of + lo)), pa.array(mine),
-                                                  pa.array(size[lines_of].astype(np.int32))], names=["bucket", "node", "own", "info"])
+                counts = histograms(chars, ends)[lines_of]
+                info = pa.StructArray.from_arrays([pa.array(size[lines_of].astype(np.int32)), *[pa.array(counts[:, i].copy()) for i in range(4)]], ["size", "h0", "h1", "h2", "h3"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[order][at].view(np.int64)), batch["sig"].take(pa.array(lines_of + lo)), pa.array(mine), info], names=["bucket", "node", "own", "info"])
 
-    members = exchange.saved(lines.mapInArrow(keys_of, "bucket bigint, node string, own boolean, info int"), "segments")
+    members = exchange.saved(lines.mapInArrow(keys_of, "bucket bigint, node string, own boolean, info struct<size: int, h0: bigint, h1: bigint, h2: bigint, h3: bigint>"), "segments")
     # buckets that no line's own segment is in, or that one line has for itself, link nothing
     live = members.groupBy("bucket").agg(F.max("own").alias("own"), F.min("node").alias("x"), F.max("node").alias("y")).filter("own and x <> y").select("bucket")
     members = members.join(live, "bucket").select("bucket", "node", "info")
-    comps, _ = linking.link(members, lambda x, y: F.abs(x - y) <= max_edits, lambda pairs: _near(pairs, lines, max_edits, chars_per_edit), 1.0)
+    comps, _ = linking.link(members, alike(max_edits), lambda pairs: _near(pairs, lines, max_edits, chars_per_edit), 1.0)
     classed = lines.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("class"))
     keep = classed.groupBy("class").agg(F.min("first").alias("keep"))
     classed = classed.join(keep, "class").select("sig", "keep.doc", "keep.at")
