@@ -42,8 +42,8 @@ class Seeds:
     """All seeds of a slice of the benchmark, sorted, with the items and places that hold them."""
 
     def __init__(self, ids: list, texts: list[str | None], min_match: int):
-        lower = pa.array([(t or "").lower() for t in texts], pa.large_string())
-        data, offsets = words.buffers(lower)
+        # lower case as of the documents: other rules differ for some Greek and Turkish letters
+        data, offsets = exchange.lowered(exchange.Texts(np.zeros(len(texts), np.int64), *words.buffers(pa.array(texts, pa.large_string()))))
         s, e, bounds = words.split(data, offsets, words.NORMAL)
         first, keys = words.windows(words.hash_spans(data, s, e), bounds, min_match)
         item = np.searchsorted(bounds, first, side="right") - 1
@@ -103,6 +103,16 @@ def tiles(d: np.ndarray, i: np.ndarray, item_words: int, min_match: int) -> list
     return out
 
 
+def reached(seeds: Seeds, item: np.ndarray, item_at: np.ndarray, coverage: float) -> np.ndarray:
+    """The items of which the shared seeds, wherever they stand, cover enough: one count over all of them."""
+    its, which = np.unique(item, return_inverse=True)
+    sizes = seeds.lengths[its]
+    base = np.r_[0, np.cumsum(sizes + 1)]   # the items side by side, a free place after each
+    at = base[which] + item_at
+    covered = np.cumsum(np.bincount(at, minlength=base[-1]) - np.bincount(at + seeds.min_match, minlength=base[-1])) > 0
+    return its[np.add.reduceat(covered, base[:-1]) >= coverage * sizes]
+
+
 def found(seeds: Seeds, texts: pa.Array, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     """``(row, item, tiles)`` of each text and item with enough coverage."""
     n = seeds.min_match
@@ -123,14 +133,9 @@ def found(seeds: Seeds, texts: pa.Array, coverage: float) -> Iterator[tuple[int,
             places, seed = at[own] - bounds[doc], slot[own]
             distinct, which = np.unique(seed, return_inverse=True)
             holder, item, item_at = seeds.places(distinct)
-            for it in np.unique(item):
+            for it in reached(seeds, item, item_at, coverage).tolist():
                 sel = item == it
                 size = int(seeds.lengths[it])
-                reach = np.zeros(size + 1, np.int64)
-                np.add.at(reach, item_at[sel], 1)
-                np.add.at(reach, item_at[sel] + n, -1)
-                if (np.cumsum(reach[:-1]) > 0).sum() < coverage * size:
-                    continue
                 # every place of the document with a seed, against every place of the item with that seed
                 pos = {}
                 for h, a in zip(holder[sel].tolist(), item_at[sel].tolist(), strict=True):
@@ -177,6 +182,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: f
           text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that no item contaminates, unchanged."""
     place = docs.columns.index(text_col)
+    first = True
     for seeds in slices(benchmark, min_match, slice_bytes, item_id, item_text):
         def keep(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -184,5 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: f
                 ok[[row for row, _, _ in found(seeds.value, batch.column(place), coverage)]] = False
                 yield batch.filter(pa.array(ok))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        # what is left is written before the next slice, so a worker holds one slice
+        docs = (docs if first else exchange.saved(docs, "clean")).mapInArrow(keep, docs.schema)
+        first = False
     return docs
