@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +43,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lowest_hashes(rows: DataFrame, label: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of each label with the smallest ``h`` (a 64-bit hash), ties by the other columns.
+
+    Counts come first: of a label with many rows only those under a hash that leaves about twice
+    ``limit`` are ranked, so a hot label is no hot task.
+    """
+    rows = saved(rows, "hashes")
+    mean = 2 * limit + 100
+    cuts = {r[label]: -(1 << 63) + (1 << 64) * mean // r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > 2 * mean}
+    under = F.lit(True)
+    for value, cut in cuts.items():
+        under = under & ((F.col(label) != F.lit(value)) | (F.col("h") < F.lit(cut)))
+    order = Window.partitionBy(label).orderBy("h", *[c for c in rows.columns if c not in (label, "h")])
+    return rows.filter(under).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

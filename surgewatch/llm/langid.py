@@ -218,15 +218,22 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def sampled(docs: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The bounded sample of labelled rows: as many of each language as share ``max_rows`` evenly."""
+def sampled(docs: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col: str, max_bytes: int = 16 << 20) -> DataFrame:
+    """The bounded sample of labelled rows: as many of each language as share ``max_rows`` evenly.
+
+    Equal rows count once. The texts of a language have its share of ``max_bytes`` at most: rows are
+    taken in the order of their hashes while they fit, so a text longer than the share is not learned from.
+    """
     rows = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
     n = max(1, rows.select(lang_col).distinct().count())
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    # ranks are cut in every task before the shuffle, and the texts are fetched for the chosen ids only
-    ranked = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
-    chosen = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(2, max_rows // n)).select("id")
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(chosen, "id", "left_semi")
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).withColumn("content", F.xxhash64("text"))
+    share = max_bytes // n
+    short = rows.filter(F.octet_length("text") <= share).select("lang", F.xxhash64("id").alias("h"), "id", "content", F.octet_length("text").cast("long").alias("size")).distinct()
+    chosen = exchange.lowest_hashes(short, "lang", max(2, max_rows // n))
+    upto = Window.partitionBy("lang").orderBy("place")
+    chosen = chosen.withColumn("upto", F.sum("size").over(upto)).filter(F.col("upto") <= share).select("lang", "id", "content")
+    # at most max_rows rows of two numbers and a name: bounded, so sent to every task instead of moving all texts
+    return rows.join(F.broadcast(chosen), ["lang", "id", "content"]).groupBy("id", "lang", "content").agg(F.min("text").alias("text")).select("id", "text", "lang")
 
 
 def identify(docs: DataFrame, train: DataFrame | None = None, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

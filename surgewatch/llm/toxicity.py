@@ -101,7 +101,7 @@ def swapped(text: str, salt: int) -> str | None:
     import re
 
     def other(m):
-        kind, k = PLACE[m[0].lower()]
+        kind, k = PLACE[m[0].lower().translate(FOLDED)]
         terms = IDENTITY_TERMS[kind]
         return terms[(k + 1 + salt % (len(terms) - 1)) % len(terms)]
 
@@ -109,6 +109,8 @@ def swapped(text: str, salt: int) -> str | None:
     return out if n else None
 
 
+#: Letters that case-blind patterns take for ASCII letters (lower case gives i and a dot for the first).
+FOLDED = {0x130: "i", 0x307: None, 0x131: "i", 0x17F: "s", 0x212A: "k"}
 PLACE = {t: (kind, k) for kind, terms in IDENTITY_TERMS.items() for k, t in enumerate(terms)}
 PATTERN = r"\b(?:" + "|".join(sorted(PLACE, key=lambda t: (-len(t), t))) + r")\b"
 
@@ -217,7 +219,7 @@ def fit(sample: DataFrame, max_features: int, n_buckets: int, l2: float = 1e-4,
 
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            swaps = [swapped(t, k) for k, t in enumerate(texts)]
+            swaps = [swapped(t, i) for i, t in zip(batch["id"].to_pylist(), texts, strict=True)]   # the same swap in any partitioning
             alike = of([s if s is not None else "" for s in swaps])
             yield pa.RecordBatch.from_arrays([batch["id"], batch["toxic"], pa.array(of(texts), pa.binary()),
                                               pa.array([a if s is not None else None for a, s in zip(alike, swaps, strict=True)], pa.binary())], names=["id", "toxic", "f", "swap"])
@@ -238,11 +240,13 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text
     """The bounded sample of labelled rows outside the held-out third: ``id, text, toxic``."""
     marks = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
              .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("toxic")))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = marks.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(1, max_rows // 2)).select("id", "toxic")
+    ranked = marks.select("toxic", F.xxhash64("id").alias("h"), "id")
+    chosen = exchange.lowest_hashes(ranked, "toxic", max(1, max_rows // 2)).select("id", "toxic")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most max_rows rows of two numbers: bounded, so sent to every task instead of moving all texts
-    return rows.join(F.broadcast(chosen), "id").select("id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.join(F.broadcast(chosen), "id").select("id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # of rows that share an id the smallest text is learned from, so the sample stays bounded
+    return rows.groupBy("id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text", "toxic")
 
 
 def scored(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 20_000, threshold: float = 0.7,
