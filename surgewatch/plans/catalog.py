@@ -16,7 +16,7 @@ from surgewatch.functions.timewin import column_type, day_range, relative_month
 from surgewatch.operators import baseline, classify, evaluate, forward, labels, rollup, search, stats
 from surgewatch.plans import flagship
 from surgewatch.session import shared_dir
-from surgewatch.sources import fixtures, searchbody, tables
+from surgewatch.sources import docfolder, fixtures, searchbody, tables
 from surgewatch.sources.fixtures import Tables
 from surgewatch.sources.sqlview import sql_with
 
@@ -370,6 +370,16 @@ def body_tickets_month(t: Tables) -> DataFrame:
     return flat_tickets(searchbody.matching(fixtures.tickets(t), BODIES["tickets"], TICKETS_NOW))
 
 
+@query
+def document_folder_lookback(t: Tables) -> DataFrame:
+    """The lookback over a folder of documents: exported by ranges of time with statistics, read back through the data source."""
+    root = shared_dir(t.spark, "documents")
+    rows = fixtures.sales(t).repartitionByRange(F.col("sold_at"))
+    tables.export_tables(t.spark, {"sales-all": rows}, root)
+    docfolder.write_stats(t.spark, root, {"sales-all": rows.schema}, ["sold_at"])
+    return searchbody.matching(docfolder.read_document_folder(t.spark, root, "sales-*"), BODIES["lookback"])
+
+
 # ---- splits, features, evaluation, classifier ---------------------------------
 
 SPLIT_SEED = 42

@@ -293,6 +293,7 @@ GROUP BY key""",
     "body_first_n": ORACLE["first_n"],
     "body_match_any": ORACLE["match_any"],
     "body_lookback": ORACLE["sales_lookback"],
+    "document_folder_lookback": ORACLE["sales_lookback"],
     "body_lookback_page": ORACLE["sales_lookback_page"],
     "body_client_buckets": ORACLE["client_buckets"],
     "body_client_buckets_month": ORACLE["client_buckets_month"],
