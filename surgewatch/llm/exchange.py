@@ -11,10 +11,18 @@ reads the answers next to its documents.
 Pre-aggregation inside a chunk makes hot keys harmless: a key of a third of all
 documents costs a bucket one entry per chunk. Chunks and buckets are sized from
 the input, so a task holds a bounded number of bytes at every size.
+
+A row for each chunk and bucket would grow with the square of the input. Chunks
+therefore grow with its square root, from ``CHUNK_BYTES`` up to ``MAX_CHUNK_BYTES``,
+and beyond ``HOP_CHUNKS`` chunks keys and answers travel in two hops: a chunk packs
+what goes to a group of buckets into one row, and a relay for each group of chunks
+and group of buckets, which holds about a chunk's bytes, packs anew for each bucket.
+So ``n`` chunks make about ``n ** 1.5`` rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +37,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from surgewatch.llm import words
 from surgewatch.session import shared_dir
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, MAX_CHUNK_BYTES = 4 << 20, 16 << 20
+HOP_CHUNKS = 1024
 PACK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 CHUNK_SCHEMA = "chunk int, ids binary, lens binary, text binary, rest binary"
@@ -63,17 +72,18 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def chunk_count(spark: SparkSession, size: int, per_chunk: int = CHUNK_BYTES) -> int:
+def chunk_count(spark: SparkSession, size: int) -> int:
+    per_chunk = min(MAX_CHUNK_BYTES, max(CHUNK_BYTES, int(CHUNK_BYTES * (size / (1 << 30)) ** 0.5)))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_chunk))
 
 
 def chunked(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", rest: list[str] | None = None) -> DataFrame:
-    """Documents packed into rows of many texts each, dealt by a hash of the id.
+    """Documents packed into rows of many texts each, dealt by a hash of the id and, without an id, of the text.
 
-    A null text counts as empty. Rows without an id are dealt with ``NO_ID``, below
-    every real id. ``rest`` names columns that travel along as they are.
+    A null text counts as empty. Rows without an id have ``NO_ID``, below every real id. ``rest`` names columns that travel along as they are.
     """
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int").alias("chunk"),
+    place = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(F.xxhash64(F.col(id_col).cast("long")))
+    rows = docs.select(F.pmod(place, F.lit(n)).cast("int").alias("chunk"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        *[F.col(c).alias(f"rest_{i}") for i, c in enumerate(rest or [])])
@@ -227,8 +237,28 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-def asked(chunks: DataFrame, ask: Callable, reply: Callable, tell: Callable, out_ddl: str) -> DataFrame:
-    """Chunks ask, buckets reply, chunks tell.
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blobs: pa.ChunkedArray, schema: pa.Schema) -> pa.Table:
+    parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs]
+    return pa.concat_tables(parts).combine_chunks() if parts else schema.empty_table()
+
+
+def _split(table: pa.Table, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """``(place, packed rows)`` of each place."""
+    order = np.argsort(place, kind="stable")
+    table, place = table.take(pa.array(order)), place[order]
+    cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+    return [(int(place[lo]), _packed(table.slice(lo, hi - lo).combine_chunks())) for lo, hi in zip(cuts.tolist(), np.r_[cuts[1:], len(place)].tolist(), strict=True)]
+
+
+def asked(chunks: DataFrame, n: int, ask: Callable, reply: Callable, tell: Callable, out_ddl: str) -> DataFrame:
+    """Chunks ask, buckets reply, chunks tell; ``n`` is the number of chunks and of buckets.
 
     ``ask(chunk, table) -> request rows``, ``reply(requests table) -> list of answers, one for
     each request``, ``tell(chunk, table, answers table) -> rows of out_ddl``. The chunks are
@@ -236,18 +266,47 @@ def asked(chunks: DataFrame, ask: Callable, reply: Callable, tell: Callable, out
     """
     request, answer, out = arrow_schema(REQUEST_SCHEMA), arrow_schema(ANSWER_SCHEMA), arrow_schema(out_ddl)
 
-    def do_ask(key, table):
+    def requests_of(key, table):
         return table_of(ask(key[0].as_py(), table), request)
 
-    def do_reply(key, table):
+    def answers_of(table):
         return table_of([(c, b, a) for c, b, a in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), reply(table), strict=True)], answer)
 
-    def do_tell(key, left, right):
-        return table_of(tell(key[0].as_py(), left, right) if left.num_rows else [], out)
+    def told(key, left, answers):
+        return table_of(tell(key[0].as_py(), left, answers) if left.num_rows else [], out)
+
+    if n <= HOP_CHUNKS:
+        requests = chunks.groupBy("chunk").applyInArrow(requests_of, REQUEST_SCHEMA)
+        answers = requests.groupBy("bucket").applyInArrow(lambda key, table: answers_of(table), ANSWER_SCHEMA)
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(told, out_ddl)
+
+    width = math.isqrt(n - 1) + 1   # chunks in a group, and buckets in a group
+    relay_ddl, bucket_ddl, chunk_ddl = "chunks int, buckets int, packed binary", "bucket int, chunks int, packed binary", "chunk int, packed binary"
+    relay, to_bucket, to_chunk = arrow_schema(relay_ddl), arrow_schema(bucket_ddl), arrow_schema(chunk_ddl)
+
+    def first_hop(key, table):
+        rows = requests_of(key, table)
+        own = key[0].as_py() // width
+        return table_of([(own, b, p) for b, p in _split(rows, rows["bucket"].to_numpy() // width)], relay)
+
+    def second_hop(key, table):
+        rows = _unpacked(table["packed"], request)
+        return table_of([(b, key[0].as_py(), p) for b, p in _split(rows, rows["bucket"].to_numpy())], to_bucket)
+
+    def in_bucket(key, table):
+        rows = answers_of(_unpacked(table["packed"], request))
+        return table_of([(c, key[0].as_py() // width, p) for c, p in _split(rows, rows["chunk"].to_numpy() // width)], relay)
+
+    def back(key, table):
+        rows = _unpacked(table["packed"], answer)
+        return table_of(_split(rows, rows["chunk"].to_numpy()), to_chunk)
+
+    def at_chunk(key, left, right):
+        return told(key, left, _unpacked(right["packed"], answer))
 
-    requests = chunks.groupBy("chunk").applyInArrow(do_ask, REQUEST_SCHEMA)
-    answers = requests.groupBy("bucket").applyInArrow(do_reply, ANSWER_SCHEMA)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(do_tell, out_ddl)
+    requests = chunks.groupBy("chunk").applyInArrow(first_hop, relay_ddl).groupBy("chunks", "buckets").applyInArrow(second_hop, bucket_ddl)
+    answers = requests.groupBy("bucket").applyInArrow(in_bucket, relay_ddl).groupBy("chunks", "buckets").applyInArrow(back, chunk_ddl)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(at_chunk, out_ddl)
 
 
 def lowered(texts: Texts) -> tuple[np.ndarray, np.ndarray]:

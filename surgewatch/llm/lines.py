@@ -244,7 +244,7 @@ def _candidates(chunks: DataFrame, n: int, max_edits: int, chars_per_edit: int)
                             int(texts.ids[lines.doc[r]]), int(lines.at[r]), chunk))
         return out
 
-    return exchange.asked(chunks.select("chunk", "ids", "lens", "text"), ask, reply, tell, CANDIDATES)
+    return exchange.asked(chunks.select("chunk", "ids", "lens", "text"), n, ask, reply, tell, CANDIDATES)
 
 
 def histograms(chars: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -149,7 +149,7 @@ def sketched(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
         return out
 
     chunks = exchange.chunked(docs, n, id_col, text_col)
-    return saved(exchange.asked(chunks, ask, reply, tell, OUT), "sketches")
+    return saved(exchange.asked(chunks, n, ask, reply, tell, OUT), "sketches")
 
 
 def bounds(threshold: float) -> tuple[Callable[[Column, Column], Column], Callable[..., Column]]:

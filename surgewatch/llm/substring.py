@@ -115,7 +115,7 @@ def _level(chunks: DataFrame, n_buckets: int, length: int, half: int, keep_text:
         return rows
 
     columns = ["chunk", "ids", "lens", "text"] + ([] if first_level else ["marks"])
-    return exchange.asked(chunks.select(*columns), ask, reply, tell, out_ddl)
+    return exchange.asked(chunks.select(*columns), n_buckets, ask, reply, tell, out_ddl)
 
 
 def _done(texts: exchange.Texts, i: int, starts: np.ndarray, length: int, keep_text: bool) -> dict:
@@ -180,7 +180,7 @@ def _last(chunks: DataFrame, n_buckets: int, length: int, half: int | None, keep
         cuts = np.searchsorted(w.docs[gone], np.arange(len(texts.ids) + 1))
         return [tuple(_done(texts, i, w.starts[gone[cuts[i]:cuts[i + 1]]], length, keep_text).values()) for i in range(len(texts.ids))]
 
-    return exchange.asked(chunks.select(*columns), ask, reply, tell, DONE)
+    return exchange.asked(chunks.select(*columns), n_buckets, ask, reply, tell, DONE)
 
 
 def dedup(docs: DataFrame, length: int = 20, start: int = 5, id_col: str = "doc_id", text_col: str = "text",
