@@ -107,3 +107,35 @@ def test_empty_tables_and_null_ids(spark):
     assert decontaminate.matches(df.limit(0), b).count() == 0
     nulls = df.filter("doc_id = 3").selectExpr("cast(null as bigint) as doc_id", "text")
     assert got(decontaminate.matches(nulls, b)) == {(None, 0): 40} and decontaminate.clean(nulls, b).count() == 0
+
+
+def bench(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+
+
+def test_copies_in_capitals_of_any_alphabet(spark):
+    items = ["ΟΔΥΣΣΕΥΣ ΗΡΘΕ ΣΤΟΝ ΤΟΠΟ ΤΟΥ ΠΑΛΙ ΧΩΡΙΣ ΤΟΥΣ ΑΛΛΟΥΣ", "İSTANBUL İLE İZMİR ARASI İKİ SAAT SÜRÜYOR DİYE DUYDUM", "GROSSE STRASSE MIT ÄPFELN UND ÖL IM ÜBERFLUSS"]
+    df = docs(spark, [*items, "nothing of the kind here"])
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.matches(df, bench(spark, items)).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0}
+    assert [r.doc_id for r in decontaminate.clean(df, bench(spark, items), slice_bytes=60).collect()] == [3]
+
+
+def test_repeated_rows_are_each_reported(spark):
+    df = docs(spark, ["one two three four five six seven"])
+    assert decontaminate.matches(df.union(df), bench(spark, ["one two three four five six"])).count() == 2
+    assert decontaminate.clean(df.union(df), bench(spark, ["one two three four five six"])).count() == 0
+
+
+def test_many_items_that_begin_alike_are_ruled_out_at_once():
+    import time
+
+    import pyarrow as pa
+
+    start = "this is how each of the items begins"
+    items = [start + " " + " ".join(f"w{k}x{i}" for k in range(20)) for i in range(2000)]
+    seeds = decontaminate.Seeds(list(range(2000)), items, 5)
+    texts = pa.array([start + " and goes on " + " ".join(f"v{i}k{j}" for j in range(100)) for i in range(20)] + [items[7]])
+    began = time.perf_counter()
+    found = [(row, it) for row, it, _ in decontaminate.found(seeds, texts, 0.5)]
+    assert found == [(20, 7)] and time.perf_counter() - began < 1.0

@@ -61,3 +61,21 @@ def test_edge_cases(spark):
     assert langid.identify(df.limit(0), train).count() == 0
     nulls = df.selectExpr("cast(null as bigint) as doc_id", "text", "lang")
     assert {r.held_out for r in langid.identify(nulls, train).collect()} == {False}
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    texts = [f"das ist text {i}" for i in range(300)] + [f"this is text {i}" for i in range(40)] + ["lang " * 5000]
+    langs = ["de"] * 300 + ["en"] * 41
+    df = docs(spark, texts, langs)
+    many = df.union(df.filter("doc_id = 3").selectExpr("explode(sequence(1, 400)) as k", "*").drop("k"))
+    got = langid.sampled(many, 60, "doc_id", "text", "lang").collect()
+    assert len(got) == len({r.id for r in got}) <= 60 and sum(r.lang == "de" for r in got) == 30
+    small = langid.sampled(df, 200, "doc_id", "text", "lang", max_bytes=600).collect()
+    assert sum(len(r.text) for r in small) <= 600 and {r.lang for r in small} == {"de", "en"} and 340 not in {r.id for r in small}
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    train = docs(spark, ["das ist ein haus und ein baum", "the house is here and there"] * 6, ["de", "en"] * 6, first=100)
+    df = docs(spark, ["das haus", "the house"])
+    rows = langid.identify(df.union(df), train).collect()
+    assert len(rows) == 4 and len({(r.doc_id, r.lang_pred, r.score) for r in rows}) == 2

@@ -79,3 +79,26 @@ def test_edge_cases(spark):
     assert toxicity.scored(df.limit(0), labels).count() == 0
     odd_labels = labels.union(spark.createDataFrame([(None, 1), (3, None), (0, 1)], "doc_id bigint, toxic int"))
     assert toxicity.scored(df, odd_labels).count() == df.count()
+
+
+def test_letters_that_only_look_like_ascii_are_swapped(spark):
+    term = next(t for t in toxicity.PLACE if "s" in t)
+    new = toxicity.swapped(f"the {term.replace('s', chr(0x17F))} met", 3)
+    assert new and new != f"the {term} met" and new.split()[1] in toxicity.PLACE
+    for odd in (chr(0x130), chr(0x131), chr(0x212A)):
+        toxicity.swapped(" ".join(t.replace("i", odd).replace("k", odd) for t in toxicity.PLACE), 1)
+    df, labels, _ = biased(spark, 60)
+    odd = df.selectExpr("doc_id", f"concat(text, ' {term.replace('s', chr(0x17F))}') as text")
+    assert toxicity.scored(odd, labels).count() == df.count()
+
+
+def test_the_fit_does_not_depend_on_the_layout(spark):
+    df, labels, _ = biased(spark)
+    scores = [{r.doc_id: round(r.score, 9) for r in toxicity.scored(d, labels).collect()} for d in (df.repartition(1), df.repartition(7))]
+    assert scores[0] == scores[1]
+
+
+def test_the_sample_stays_bounded_when_rows_share_an_id(spark):
+    df, labels, n = biased(spark)
+    many = df.union(df.filter("doc_id = 1").selectExpr("explode(sequence(1, 500)) as k", "*").drop("k"))
+    assert toxicity.sampled(many, labels, 100, "doc_id", "text", "toxic").count() <= 100
