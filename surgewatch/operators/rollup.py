@@ -162,3 +162,31 @@ def token_buckets(df: DataFrame, field: str, amount: str, size: int | None = Non
         F.sum("rows").alias("doc_count"), F.sum("part").alias("part"))
     out = each.select("key", "doc_count", (F.col("part") if scale is None else money.to_double("part", scale)).alias("amount"))
     return out if size is None else top_buckets(out, size, "key")
+
+
+#: A frequent-items sketch of m counters misses no key of more than 3.5 / m of the rows (its documented error bound).
+SKETCH_ERROR = 3.5
+
+
+def heavy_buckets(df: DataFrame, key: str = "client_id", amount: str = "amount", size: int = 20, tracked: int = 1 << 16,
+                  scale: int | None = None) -> DataFrame:
+    """:func:`client_buckets` without counting every key: a frequent-items sketch first, then its keys exactly.
+
+    Each task keeps ``tracked`` counters, merged into one row. Only the keys in it are counted and summed
+    exactly (they are sent to every task: at most ``tracked`` of them). The result stands if it is
+    proven: the last bucket has more rows than a missed key can have, or no row is outside the
+    tracked keys. Else all keys are counted, as :func:`client_buckets` does. Null keys are a bucket.
+    """
+    if not 0 < size <= tracked:
+        raise ValueError("size must be positive and at most tracked")
+    total = F.count(F.lit(1))
+    found = checkpointed(df.agg(F.call_function("approx_top_k", F.col(key), F.lit(tracked), F.lit(tracked)).alias("items"), total.alias("rows")))
+    rows = found.first()["rows"]
+    keys = found.select(F.explode("items.item").alias(key)).unionByName(df.sparkSession.createDataFrame([(None,)], df.select(key).schema))
+    exact = df.join(F.broadcast(keys), df[key].eqNullSafe(keys[key]), "left_semi").groupBy(key).agg(total.alias("doc_count"), money.amount_sum(amount, scale).alias("amount"))
+    exact = checkpointed(exact)   # at most one row for each tracked key
+    out = top_by_count(exact, size, key)
+    last, held, top = exact.agg(F.sum("doc_count")).first()[0] or 0, exact.count(), out.agg(F.min("doc_count")).first()[0] or 0
+    if last == rows or held >= size and top > SKETCH_ERROR * rows / tracked:
+        return out
+    return client_buckets(df, key, amount, size, scale=scale)

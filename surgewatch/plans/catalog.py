@@ -300,6 +300,13 @@ def client_buckets(t: Tables) -> DataFrame:
     return rollup.top_buckets(totals, BUCKETS, "client_id")
 
 
+@query
+def client_buckets_heavy(t: Tables) -> DataFrame:
+    """The client buckets with a frequent-items sketch before the exact pass."""
+    rows = fixtures.sales(t, flagship.sales_window(TEST_ANCHOR, LOOKBACK_DAYS, "(]"), salted=True)
+    return rollup.heavy_buckets(rows, "client_id", "amount", BUCKETS, 1 << 17, fixtures.SCALE)
+
+
 @query
 def client_buckets_month(t: Tables) -> DataFrame:
     def month(df):

@@ -299,6 +299,7 @@ GROUP BY key""",
     "body_client_buckets_month": ORACLE["client_buckets_month"],
     "body_tickets_month": ORACLE["tickets_last_month"],
     "sales_last24h_split": ORACLE["sales_last24h"],
+    "client_buckets_heavy": ORACLE["client_buckets"],
 })
 
 

@@ -110,3 +110,23 @@ def test_token_buckets(spark):
     got = {r.key: (r.doc_count, r.amount) for r in rollup.token_buckets(df, "country", "amount", scale=2).collect()}
     assert got == {"new": (2, 3.75), "york": (2, 3.75), "city": (1, 2.25), "österreich": (2, 0.3), "7": (2, 0.3)}
     assert [r.key for r in rollup.token_buckets(df, "country", "amount", size=2, scale=2).collect()] == ["7", "new"]
+
+
+def test_heavy_buckets_equal_the_exact_pass(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    keys = [7] * 3000 + [None] * 800 + [k for k in range(100, 110) for _ in range(400)] + [rnd.randrange(10**6) for _ in range(3000)]
+    rnd.shuffle(keys)
+    df = spark.createDataFrame([(k, i / 100) for i, k in enumerate(keys)], "client_id bigint, amount double").repartition(4)
+    fallbacks = []
+    real = rollup.client_buckets
+    monkeypatch.setattr(rollup, "client_buckets", lambda *a, **k: (fallbacks.append(1), real(*a, **k))[1])
+    for size, tracked, proven in ((1, 1024, True), (12, 1024, True), (30, 256, False), (5, 1 << 14, True)):
+        got = [tuple(r) for r in rollup.heavy_buckets(df, size=size, tracked=tracked, scale=2).collect()]
+        assert got == [tuple(r) for r in real(df, size=size, scale=2).collect()] and len(got) == size
+        assert bool(fallbacks) == (not proven)
+        fallbacks.clear()
+    few = df.filter("client_id between 100 and 109")
+    assert len(rollup.heavy_buckets(few, size=50, tracked=64, scale=2).collect()) == 10 and not fallbacks
+    assert rollup.heavy_buckets(df.limit(0), size=5).collect() == []
