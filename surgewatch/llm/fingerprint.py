@@ -8,8 +8,8 @@ that depend on the word and ``k`` alone. The weight is rounded down on a logarit
 sample with a probability of sum(min weight) / sum(max weight), the generalised Jaccard
 similarity, so the share of equal samples estimates it.
 
-DataFrame functions only. One shuffle: rows are dealt by ranges of their order, and words,
-counts and samples of a row are found where the row lies. The grouping by word is an
+DataFrame functions only. One shuffle: rows are dealt by ranges of their order (of 16 MB of text; at most
+65,536 ranges, which then grow), and words, counts and samples of a row are found where the row lies. The grouping by word is an
 aggregation inside the task, so a word that every text holds is as cheap as any other.
 
 Defined cases: a null text is an empty text; a text without a word has the empty
@@ -22,6 +22,7 @@ interchangeable and lie in one range.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,7 @@ from surgewatch.llm.exchange import text_bytes
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 SAMPLES = 32
-RANGE_BYTES = 16 << 20
+RANGE_BYTES, MAX_RANGES = 16 << 20, 1 << 16
 #: The prime of the hash functions, and the multipliers and increments of a sample's four uniform numbers.
 PRIME = 2147483647
 SPREAD = [(48271, 11), (69621, 1299709), (16807, 15485863), (1583458089, 49979687)]
@@ -146,13 +147,13 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ident = F.col(id_col).cast("bigint")
     rows = docs.select(ident.alias("id"), text.alias("text")).withColumn("key", F.struct(F.col("id").isNull().alias("none"), F.bitwise_not("id").alias("down"), F.md5("text").alias("md5")))
-    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(rows) // RANGE_BYTES))
-    # the smallest key of each of a bounded number of ranges
+    ranges = min(MAX_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(rows) // RANGE_BYTES)))
+    # the smallest key of each range: at most MAX_RANGES rows
     starts = rows.select("key.*").repartitionByRange(ranges, "none", "down", "md5").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("none", "down", "md5")).alias("key"))
     bounds = sorted((tuple(r.key) for r in starts.collect()), key=lambda k: (k[0], k[1] or 0, k[2]))
     if not bounds:
         bounds = [(False, 0, "")]
-    literal = F.array(*[F.struct(F.lit(a).alias("none"), F.lit(b).cast("bigint").alias("down"), F.lit(c).alias("md5")) for a, b, c in bounds])
+    literal = F.from_json(F.lit(json.dumps([{"none": a, "down": b, "md5": c} for a, b, c in bounds])), "array<struct<none: boolean, down: bigint, md5: string>>")
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
     # binary search for the last bound that is not after the key
     at = F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step < len(bounds)) & (F.try_element_at(F.col("bounds"), lo + step + 1) <= F.col("key")), lo + step).otherwise(lo))
