@@ -91,7 +91,9 @@ WORD = re.compile(r"\w+")
 CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]\w*")
 PARTS = "(?:(?:" + "|".join(re.escape(p) for p in PARTICLES) + ") )?"
 NAME = re.compile(rf"(?P<title>{TITLE})\.? (?:(?P<first>{CAP}) {PARTS}(?P<last>{CAP})|{PARTS}(?P<only>{CAP}))")
-INTRODUCED = re.compile(rf"(?i:{'|'.join(re.escape(i) for i in INTRODUCTIONS)}) (?P<first>{CAP})(?: {PARTS}(?P<last>{CAP}))?")
+INTRODUCED = re.compile("(?:" + "|".join(f"[{i[0].upper()}{i[0].lower()}]{re.escape(i[1:])}" for i in INTRODUCTIONS) + rf") (?P<first>{CAP})(?: {PARTS}(?P<last>{CAP}))?")
+#: A text without any of these introduces no name: it is not searched with the pattern.
+INTRODUCING = [i[1:] for i in INTRODUCTIONS]
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Kinds whose entity is its digits, however they are written (a phone number with its ``+``).
 NUMBERS = frozenset(["card", "phone", "ssn"])
@@ -140,12 +142,16 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     at = 0
     while m := DIGIT.search(text, at):
         s = m.start()
+        account = IBAN.match(text, s - 2) if s - at >= 2 and text[s - 2:s].isupper() else None
+        if account and iban_check(account[0].replace(" ", "")) == account[0][2:4]:
+            found.append((s - 2, account.end(), "iban", account[0]))
+            at = account.end()
+            continue
         hit = NUMBER.match(text, s - 1) if s > at and text[s - 1] in "+(" else None
         hit = hit or NUMBER.match(text, s)
         if hit:
             found.append((hit.start(), hit.end(), hit.lastgroup or "phone", hit[0]))
         at = hit.end() if hit else DIGIT_RUN.match(text, s).end()
-    found += [(m.start(), m.end(), "iban", m[0]) for m in IBAN.finditer(text) if iban_check(m[0].replace(" ", "")) == m[0][2:4]]
     if "::" in text or text.count(":") >= 7:
         found += [(m.start(), m.end(), "ip6", m[0]) for m in IP6.finditer(text) if not m[0].replace(":", "").isdigit() or m[0].count(":") == 7]
     for pattern in ACCESS_KEYS:
@@ -169,7 +175,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             titled.append((*m.span("last"), "surname", m["last"]))
         else:
             titled.append((*m.span("only"), "surname", m["only"]))
-    for m in INTRODUCED.finditer(text):
+    for m in INTRODUCED.finditer(text) if any(w in text for w in INTRODUCING) else ():
         titled.append((*m.span("first"), "given-x", m["first"]))
         if m["last"]:
             titled.append((*m.span("last"), "surname", m["last"]))
