@@ -108,12 +108,13 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], digests: list
     # one row for each sample of a word; the other rows stand at places beyond the samples
     each_sample = F.array(*[place(k, by, add) for k, (by, add) in enumerate(multipliers(samples))])
     other = F.array(F.struct((F.col("tag") + samples).alias("k"), F.lit(0).cast("bigint").alias("by"), F.lit(0).cast("bigint").alias("add")))
-    held = (held.select(*keys, F.when(a_word, F.col("s.mask")).otherwise(0).alias("mask"), "term", F.col("s.w").cast("double").alias("w"),
+    # words of weight 1 stand in for what is no word, so that a sample needs no condition around it
+    held = (held.select(*keys, F.when(a_word, F.col("s.mask")).otherwise(0).alias("mask"), F.when(~a_word, F.col("term")).alias("piece"),
+                        F.when(a_word, F.col("term")).otherwise(0).alias("term"), F.when(a_word, F.col("s.w").cast("double")).otherwise(1.0).alias("w"),
                         F.explode(F.when(a_word, each_sample).otherwise(other)).alias("k"))
             .select("*", F.expr(spread_sql(("k.by", "k.add"), "({} ^ {})", "shiftright({}, 16)")).alias("z")))
-    value = F.expr(f"CASE WHEN mask > 0 THEN {sample_sql('z')} ELSE term END")
-    per = held.select(*keys, "mask", F.col("k.k").alias("k"), value.alias("value")).groupBy(*keys, "k").agg(
-        *[F.min(F.when((F.col("mask").bitwiseAND(1 << i)) > 0, F.col("value"))).alias(f"a{i}") for i in range(n)], F.max(F.when(F.col("mask") == 0, F.col("value"))).alias("piece"))
+    per = held.select(*keys, "mask", "piece", F.col("k.k").alias("k"), F.expr(sample_sql("z")).alias("value")).groupBy(*keys, "k").agg(
+        *[F.min(F.when((F.col("mask").bitwiseAND(1 << i)) > 0, F.col("value"))).alias(f"a{i}") for i in range(n)], F.max("piece").alias("piece"))
 
     def listed(value: str, first: int, end: int) -> Column:
         held_in = F.when(F.col("k").between(first, end - 1) & F.col(value).isNotNull(), F.struct("k", F.col(value).alias("value")))
