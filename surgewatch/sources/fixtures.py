@@ -114,9 +114,14 @@ def _salted_join(facts: DataFrame, dimension: DataFrame, key: str, salt: str) ->
     not split a hot key and all its rows meet in one task. With a salt (a hash of
     ``salt``, a column that tells rows apart) in the join key they do not; the
     aggregate then shuffles partial sums.
+
+    The copies come from a join with the salts, whose size Spark estimates from both
+    sides. An exploded array counts as one row, so all copies of a large dimension
+    would be collected in the driver and broadcast.
     """
+    salts = dimension.sparkSession.range(0, SALTS, 1, 1).select(F.col("id").cast("int").alias("_salt"))
     facts = facts.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = dimension.crossJoin(F.broadcast(salts))
     return facts.join(copies, [key, "_salt"]).drop("_salt")
 
 

@@ -40,6 +40,23 @@ def test_hot_keys_are_split_in_row_level_joins(spark, no_broadcast, key):
     assert joins and re.search(r"hashpartitioning\((?:client_id|agent_code)#\d+L?, _salt#\d+", plan)
 
 
+def test_copies_of_a_large_dimension_are_not_broadcast(spark):
+    """Copies count at their full size: a dimension below the broadcast limit, its copies above it."""
+    dimension = spark.range(5000).selectExpr("id as client_id", "cast(id % 7 as int) as nationkey")
+    facts = spark.range(200_000).selectExpr("id as sale_id", "if(id % 3 = 0, 1, id % 6000) as client_id", "id % 13 as amount", "id as more")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(5000 * 16 * 4))
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan_of(facts.join(dimension, "client_id"))
+        salted = fixtures._salted_join(facts, dimension, "client_id", "sale_id")
+        assert "BroadcastHashJoin" not in plan_of(salted)
+        assert salted.exceptAll(facts.join(dimension, "client_id").select(salted.columns)).count() == 0
+        assert salted.count() == facts.join(dimension, "client_id").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_a_third_of_all_rows_on_one_client(spark, no_broadcast, tmp_dir):
     """The hot client's rows are dealt over many tasks, and the sums stay right."""
     base = Tables(spark, SF_SMALL)
