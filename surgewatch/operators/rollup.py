@@ -181,7 +181,7 @@ def heavy_buckets(df: DataFrame, key: str = "client_id", amount: str = "amount",
         raise ValueError("size must be positive and at most tracked")
     total = F.count(F.lit(1))
     found = checkpointed(df.agg(F.call_function("approx_top_k", F.col(key), F.lit(tracked), F.lit(tracked)).alias("items"), total.alias("rows")))
-    rows = found.first()["rows"]
+    rows = found.select("rows").first()[0]   # the items stay with the executors
     keys = found.select(F.explode("items.item").alias(key)).unionByName(df.sparkSession.createDataFrame([(None,)], df.select(key).schema))
     exact = df.join(F.broadcast(keys), df[key].eqNullSafe(keys[key]), "left_semi").groupBy(key).agg(total.alias("doc_count"), money.amount_sum(amount, scale).alias("amount"))
     exact = checkpointed(exact)   # at most one row for each tracked key

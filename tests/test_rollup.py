@@ -130,3 +130,13 @@ def test_heavy_buckets_equal_the_exact_pass(spark, monkeypatch):
     few = df.filter("client_id between 100 and 109")
     assert len(rollup.heavy_buckets(few, size=50, tracked=64, scale=2).collect()) == 10 and not fallbacks
     assert rollup.heavy_buckets(df.limit(0), size=5).collect() == []
+
+
+def test_heavy_buckets_fetch_numbers_only(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    fetched, real = [], DataFrame.first
+    monkeypatch.setattr(DataFrame, "first", lambda self: (fetched.append(self.columns), real(self))[1])
+    df = spark.createDataFrame([(k % 9, k / 100) for k in range(300)], "client_id bigint, amount double")
+    assert len(rollup.heavy_buckets(df, size=5, tracked=64, scale=2).collect()) == 5
+    assert fetched and all("items" not in columns for columns in fetched)
