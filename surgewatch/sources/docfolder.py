@@ -136,9 +136,10 @@ class Reader(DataSourceReader):
         schema = to_arrow_schema(self.schema)
         # times are read as text: their offsets and fractions are parsed by the cast below
         plain = pa.schema([f if not pa.types.is_temporal(f.type) else pa.field(f.name, pa.string()) for f in schema])
-        with fs.open_input_file(partition.path) as f:
-            if not f.size():
+        with fs.open_input_stream(partition.path) as f:   # unpacked as the file's ending says
+            if not f.read(1):
                 return
+        with fs.open_input_stream(partition.path) as f:
             reader = pa.json.open_json(f, parse_options=pa.json.ParseOptions(explicit_schema=plain, unexpected_field_behavior="ignore"))
             for batch in reader:
                 batch = pa.RecordBatch.from_arrays([batch[f.name].cast(f.type) for f in schema], schema=schema)

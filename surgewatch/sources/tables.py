@@ -1,7 +1,7 @@
 """Table-set jobs: schema rows, profile, copy, export and restore.
 
 Export writes ``<dest>/mapping/<table>`` (the schema as JSON text) and
-``<dest>/data/<table>`` (the rows as JSON lines); restore reads the schemas
+``<dest>/data/<table>`` (the rows as JSON lines, packed); restore reads the schemas
 first and then the data with them, so no type is inferred. Timestamps are
 written with microseconds: the JSON default would drop them.
 """
@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 TIMESTAMP_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 JSON_OPTIONS = {"timestampNTZFormat": TIMESTAMP_NTZ_FORMAT, "timestampFormat": TIMESTAMP_FORMAT}
+# As text the rows are many times their size in Parquet, since each repeats its fields' names: files are packed.
+EXPORT_COMPRESSION = "gzip"
+EXPORT_FILE_ROWS = 500_000   # one task reads a packed file: a task that writes more rows goes on in another file
 
 
 def schema_rows(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -175,19 +178,22 @@ def verify_copied(spark: SparkSession, dest: str, names: Iterable[str], run: str
 
 def export_tables(spark: SparkSession, frames: Mapping[str, DataFrame], dest: str,
                   columns: Mapping[str, list[str]] | list[str] | None = None,
-                  parallelism: int = 4) -> list[str]:
+                  parallelism: int = 4, compression: str = EXPORT_COMPRESSION) -> list[str]:
     """Write each table's schema to ``mapping/<t>`` and rows to ``data/<t>`` as JSON.
 
     ``columns`` exports chosen (possibly nested, dotted) fields only, the same
-    for every table (a list) or per table (a mapping).
+    for every table (a list) or per table (a mapping). ``compression`` is Spark's name of the
+    data files' codec (``none`` for plain text); their ending tells readers which it is.
     """
+    options = JSON_OPTIONS | {"compression": compression, "maxRecordsPerFile": EXPORT_FILE_ROWS}
+
     def one(name: str, df: DataFrame) -> None:
         cols = columns.get(name) if isinstance(columns, Mapping) else columns
         if cols:
             df = df.select(*[F.col(c).alias(c.replace(".", "_")) for c in cols])
         (spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1)
          .write.mode("overwrite").text(f"{dest}/mapping/{name}"))
-        df.write.mode("overwrite").options(**JSON_OPTIONS).json(f"{dest}/data/{name}")
+        df.write.mode("overwrite").options(**options).json(f"{dest}/data/{name}")
 
     _run_all([lambda n=n, d=d: one(n, d) for n, d in frames.items()], parallelism)
     return list(frames)

@@ -115,3 +115,35 @@ def test_a_broken_copy_goes_on(spark, tmp_dir):
         assert back.count() == 503 and back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
     assert all(r.parts == 4 and r.row_count == r.rows_read == 503 and r.content_sum == r.sum_read for r in tables.verify_copied(spark, tmp_dir, names).collect())
     assert tables.copy_resumable(spark, read, tmp_dir, ["a"], parts=4, run="2") == {"a": 4}
+
+
+def test_exports_are_packed(spark, tmp_dir):
+    """Packed files hold the same rows in a fraction of the text; many rows go to several files."""
+    df = spark.range(0, 20_000, 1, 1).selectExpr("id", "cast(id as string) as client_name", "id / 8 as amount", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id / 7) as sold_at")
+    df = df.unionByName(df.limit(1).selectExpr(*[f"nullif({c}, {c}) as {c}" for c in df.columns]))
+    tables.export_tables(spark, {"sales": df}, f"{tmp_dir}/packed")
+    tables.export_tables(spark, {"sales": df}, f"{tmp_dir}/plain", compression="none")
+    sizes = {k: tables.table_sizes(spark, {k: f"{tmp_dir}/{k}/data/sales"}).first() for k in ("packed", "plain")}
+    assert sizes["packed"].size_bytes * 3 < sizes["plain"].size_bytes
+    for k in sizes:
+        back = tables.restore_tables(spark, f"{tmp_dir}/{k}")["sales"]
+        assert back.schema == df.schema and back.count() == 20_001
+        assert df.exceptAll(back).count() == 0 and back.exceptAll(df).count() == 0
+
+
+def test_a_large_export_is_read_by_many_tasks(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(tables, "EXPORT_FILE_ROWS", 100)
+    tables.export_tables(spark, {"numbers": spark.range(0, 1000, 1, 1)}, tmp_dir)
+    back = tables.restore_tables(spark, tmp_dir)["numbers"]
+    assert tables.table_sizes(spark, {"numbers": f"{tmp_dir}/data/numbers"}).first().file_count == 10
+    assert sorted(r.id for r in back.collect()) == list(range(1000))
+
+
+def test_document_folders_read_packed_and_plain_files(spark, tmp_dir):
+    from surgewatch.sources import docfolder
+
+    df = spark.range(0, 50, 1, 4).selectExpr("id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, id) as at").filter("id < 30")   # the last files are empty
+    for name, compression in (("packed", "gzip"), ("plain", "none")):
+        tables.export_tables(spark, {"sales-1": df}, f"{tmp_dir}/{name}", compression=compression)
+        back = docfolder.read_document_folder(spark, f"{tmp_dir}/{name}", "sales-*")
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
