@@ -39,16 +39,32 @@ from surgewatch.session import shared_dir
 
 CHUNK_BYTES, MAX_CHUNK_BYTES = 4 << 20, 16 << 20
 HOP_CHUNKS = 1024
+FILES_PER_CORE, PARTITIONS_PER_FILE = 4, 8
 PACK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 CHUNK_SCHEMA = "chunk int, ids binary, lens binary, text binary, rest binary"
 
 
+def file_count(spark: SparkSession) -> int:
+    """Files of a saved table at most: some for each core, so that all cores write.
+
+    Cores may still be coming (dynamic allocation): no task takes over more than
+    ``PARTITIONS_PER_FILE`` partitions of a shuffle.
+    """
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, -(-shuffled // PARTITIONS_PER_FILE))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    Partitions are put together without a shuffle, to ``file_count`` at most: a file for each of many
+    small ones costs an executor several file operations, and on some file systems (Hadoop's local one
+    without its native library) a process beside the executor for each of them.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.coalesce(file_count(spark)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

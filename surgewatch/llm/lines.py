@@ -287,7 +287,7 @@ def decisions(candidates: DataFrame, max_edits: int, chars_per_edit: int) -> Dat
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = words.buffers(batch["line"])
-            for lo, hi, _, _ in words.blocks(data, offsets, words.BLOCK_BYTES // 4):
+            for lo, hi, _, _ in words.blocks(data, offsets):
                 texts = batch["line"].slice(lo, hi - lo).to_pylist()
                 chars = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
                 size = np.array([len(t) for t in texts], np.int64)

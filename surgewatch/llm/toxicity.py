@@ -51,6 +51,7 @@ IDENTITY_TERMS = {
 }
 STEMS = (4, 5, 6)
 FILTER_BITS = 22
+COUNT_BYTES = 1 << 20   # of text whose features are counted before they are shuffled
 OUT = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
@@ -175,7 +176,7 @@ def fit(sample: DataFrame, max_features: int, n_buckets: int, l2: float = 1e-4,
         for batch in batches:
             data, offsets = _bytes_of(batch["text"])
             toxic = batch["toxic"].to_numpy(zero_copy_only=False) > 0
-            for lo, _, part, offs in words.blocks(data, offsets):
+            for lo, _, part, offs in words.blocks(data, offsets, COUNT_BYTES):
                 f, d = text_features(part, offs)
                 keys, place = np.unique(f, return_inverse=True)
                 up = np.bincount(place, toxic[lo + d], len(keys)).astype(np.uint32)

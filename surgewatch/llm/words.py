@@ -17,7 +17,8 @@ U64 = np.uint64
 #: Odd multipliers of the polynomial hashes and of the mixer.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-BLOCK_BYTES = 1 << 20
+#: Arrays of 64-bit numbers for each byte of a block, and the tables of powers that a worker keeps, bound a task's memory.
+BLOCK_BYTES = 1 << 18
 
 #: Separators of raw words: the bytes 0x20 and 0x09 to 0x0D.
 RAW = np.ones(256, dtype=bool)

@@ -5,7 +5,7 @@ from conftest import SF_SMALL
 from llm.helpers import docs
 from pyspark.sql import functions as F
 
-from surgewatch.llm import exchange, queries
+from surgewatch.llm import exchange, lines, queries, words
 
 
 def counted(spark, df, n):
@@ -81,3 +81,19 @@ def test_smallest_hashes_of_a_hot_label(spark):
     by = {y: sorted((r.h, r.id) for r in df.filter(F.col("label") == y).collect())[:30] for y in (0, 1)}
     assert got == {(y, i) for y, best in by.items() for _, i in best}
     assert isinstance(exchange._unpacked(pa.chunked_array([], pa.binary()), exchange.arrow_schema("a int")), pa.Table)
+
+
+def test_saved_tables_have_few_files(spark):
+    """Many small partitions are written as few files, with all rows."""
+    out = exchange.saved(spark.range(0, 2110, numPartitions=211).withColumn("half", F.col("id") / 2), "few")
+    assert len(out.inputFiles()) <= exchange.file_count(spark) < 211
+    assert sorted(map(tuple, out.collect())) == [(i, i / 2) for i in range(2110)]
+
+
+def test_tables_kept_by_a_worker_are_bounded():
+    """The tables of powers that stay in a worker follow the blocks, not the chunk."""
+    data = np.frombuffer(b"some words of a line\n" * 150_000, np.uint8)
+    texts = exchange.Texts(np.arange(1500), data, np.arange(1501) * (len(data) // 1500))
+    words._powers.clear()
+    assert len(lines.Lines(texts).sig) == 150_000 + 1500
+    assert sum(x.nbytes for pair in words._powers.values() for x in pair) <= 10 << 20
